@@ -1,0 +1,60 @@
+"""Queries of the training-data operators over their whole tables, with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tandemtext.llm import format_duplicates, lookalikes, survivorship
+from tandemtext.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = format_duplicates.format_duplicates(table(spark, sf_dir, "tm_store"), "entry_id", ["source", "target"])
+    return groups.where("variants and id <> first_id").select(F.col("first_id").alias("first_entry_id"), F.col("id").alias("entry_id"))
+
+
+def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_duplicates.collapsed(table(spark, sf_dir, "tm_store"), "entry_id", ["source", "target"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalikes.lookalike_pairs(table(spark, sf_dir, "transunit"), "unit_id", "source_text", table(spark, sf_dir, "tm_store"), "entry_id", "source")
+    return pairs.select(F.col("left_id").alias("unit_id"), F.col("right_id").alias("entry_id"))
+
+
+def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.consistent_form(table(spark, sf_dir, "tm_store"), "entry_id", "source")
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["target", "file"]
+    return survivorship.survivors(table(spark, sf_dir, "tm_store"), table(spark, sf_dir, "tm_files"), "entry_id", ["source", "context"], fields)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = survivorship.survivors(table(spark, sf_dir, "tm_store"), table(spark, sf_dir, "tm_files"), "entry_id", ["source", "context"], ["target"])
+    return kept.where("target_dominant is not null").select(F.col("first_id").alias("first_entry_id"), F.col("target_dominant").alias("target_entry_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors)
+}
+
+#: DuckDB's SQL for the queries that SQL can express on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": """
+WITH e AS (
+  SELECT entry_id, regexp_replace(source, '^[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+|[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+$', '', 'g') AS s,
+    regexp_replace(context, '^[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+|[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+$', '', 'g') AS c,
+    regexp_replace(target, '[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+', '', 'g') AS t,
+    lower(trim(regexp_replace(regexp_replace(file, '[\\s\\x{3000}\\x{00A0}]+$', ''), '^.*[/\\\\]', ''), ' 　 ' || chr(9) || chr(10))) AS f, committed_at AS at FROM tm_store),
+r AS (SELECT e.*, coalesce(m.trust, 0) AS trust FROM e LEFT JOIN tm_files m ON m.file = e.f WHERE s <> '' AND c <> ''),
+g AS (SELECT s, c, min(entry_id) AS first_entry_id, count(*) AS n FROM r GROUP BY s, c HAVING count(*) > 1),
+m AS (SELECT s, c, max(trust) AS trust, max(at) AS at FROM r WHERE t <> '' GROUP BY s, c)
+SELECT g.first_entry_id, max(r.entry_id) AS target_entry_id
+FROM g JOIN m ON g.s = m.s AND g.c = m.c JOIN r ON r.s = m.s AND r.c = m.c AND r.t <> '' AND r.trust = m.trust AND r.at = m.at
+GROUP BY g.first_entry_id HAVING count(*) = 1""",
+}
