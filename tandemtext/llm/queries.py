@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import format_duplicates, lookalikes, survivorship
+from tandemtext.llm import format_duplicates, lookalikes, shared_spans, survivorship
 from tandemtext.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record ids of the two tables are told apart by their lowest bit."""
+    entries = table(spark, sf_dir, "tm_store").select((F.col("entry_id") * 2).alias("rid"), F.col("source").alias("text"))
+    units = table(spark, sf_dir, "transunit").select((F.col("unit_id") * 2 + 1).alias("rid"), F.col("source_text").alias("text"))
+    spans = shared_spans.shared_spans([entries, units])
+    name = F.when(F.col("rid") % 2 == 0, F.lit("tm_store")).otherwise(F.lit("transunit"))
+    return spans.select(name.alias("tab"), F.shiftright("rid", 1).alias("row_id"), "span_start", "span_len")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = format_duplicates.format_duplicates(table(spark, sf_dir, "tm_store"), "entry_id", ["source", "target"])
     return groups.where("variants and id <> first_id").select(F.col("first_id").alias("first_entry_id"), F.col("id").alias("entry_id"))
@@ -40,7 +49,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors)
+    f.__name__: f for f in (p1_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors)
 }
 
 #: DuckDB's SQL for the queries that SQL can express on whole tables.
