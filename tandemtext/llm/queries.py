@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import format_duplicates, lookalikes, shared_spans, survivorship
+from tandemtext.llm import format_duplicates, lookalikes, near_duplicates, shared_spans, survivorship
 from tandemtext.session import table
 
 
@@ -48,8 +48,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where("target_dominant is not null").select(F.col("first_id").alias("first_entry_id"), F.col("target_dominant").alias("target_entry_id"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "tm_store"), "entry_id", "source", "target")
+    return pairs.select(F.col("id_a").alias("entry_id_a"), F.col("id_b").alias("entry_id_b"))
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_links(table(spark, sf_dir, "tm_store"), "entry_id", "source", "target")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors)
+    f.__name__: f for f in (p1_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links)
 }
 
 #: DuckDB's SQL for the queries that SQL can express on whole tables.
