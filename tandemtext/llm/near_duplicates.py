@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +19,29 @@ from tandemtext.functions.codepoints import MASK53, fold_batch, mix64, trigrams
 from tandemtext.session import durable
 
 GRAM = 3
-#: Kinds of index entries: to be found, looking for others, with one token left out.
-INDEXED, PROBING, REDUCED = 1, 2, 4
+#: Kinds of index entries: to be found, looking for others.
+INDEXED, PROBING = 1, 2
+#: 64-bit words of a set's signature: the parity of the tokens that fall on each bit. Sets that differ in d tokens have
+#: signatures that differ in at most d bits, so a pair with more is none; nothing else is left out by it.
+WORDS = 6
 #: Records in a block of entries; with the kinds, a record's number in it fits in 16 bits.
 BLOCK = 4096
 
 
 @dataclass(frozen=True)
 class Partition:
-    """How token sets are cut into segments.
+    """How token sets are cut into groups of segments.
 
-    threshold: least similarity (Jaccard). slack: segments over those that the pigeonhole needs, so that each set may leave
-    out its costliest ones. wide: share of the segments whose one-deletion neighbourhoods are indexed. slots: size of the
-    table of key frequencies, which only steers the choice of segments and never loses a pair.
+    threshold: least similarity (Jaccard). ratio: between the largest and the least set size of a band. slack: groups over
+    those that the pigeonhole needs, so that each set may leave out its costliest ones. pieces: segments in a group; its
+    one-deletion neighbourhood are the subsets with one segment left out. slots: size of the table of key frequencies, which
+    only steers the choice of groups and never loses a pair.
     """
 
     threshold: Fraction = Fraction(7, 10)
-    slack: float = 1.3
-    wide: float = 0.08
+    ratio: float = 1.43
+    slack: float = 1.05
+    pieces: int = 2
     slots: int = 1 << 20
 
     def differences(self, n: np.ndarray | int, s: np.ndarray | int) -> np.ndarray | int:
@@ -43,22 +49,29 @@ class Partition:
         p, q = self.threshold.numerator, self.threshold.denominator
         return ((q - p) * (n + s)) // (q + p)
 
-    def bands(self, largest: int) -> np.ndarray:
-        """The largest size of each band; a set's partners that are not larger stand in its band or the one below."""
+    def least_partner(self, n: np.ndarray) -> np.ndarray:
+        """The least size of a set that can reach the threshold with one of size n."""
         p, q = self.threshold.numerator, self.threshold.denominator
+        return -(-p * n // q)
+
+    def bands(self, largest: int) -> np.ndarray:
+        """The largest size of each band."""
         out = [1]
         while out[-1] < largest:
             lo = out[-1] + 1
-            out.append(max(lo, lo * q // p))
+            out.append(max(lo, int(lo * self.ratio)))
         return np.array(out, np.int64)
 
-    def segments(self, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For the bands: the number of segments, and how many of them are wide."""
+    def groups(self, hi: np.ndarray) -> np.ndarray:
+        """The number of groups of each band: enough for the largest set that looks for partners in it."""
         p, q = self.threshold.numerator, self.threshold.denominator
-        own, above = self.differences(hi, hi) + 1, self.differences(hi, hi * q // p) + 1
-        m = np.ceil(self.slack * own).astype(np.int64)
-        wide = np.ceil(self.wide * m).astype(np.int64)
-        return np.maximum(m, above - wide), wide
+        return np.ceil(self.slack * (self.differences(hi, hi * q // p) + 1) / 2).astype(np.int64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorting is faster here than the hash table of np.unique."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def token_sets(sources: list[str], targets: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,70 +88,59 @@ def token_sets(sources: list[str], targets: list[str]) -> tuple[np.ndarray, np.n
     out_h, out_o = [], []
     for a in range(0, n, 2048):  # 11 bits for the record, 53 for the hash
         mine = (o >= a) & (o < a + 2048)
-        both = np.unique(((o[mine] - a).astype(np.uint64) << np.uint64(53)) | h[mine])
+        both = distinct(((o[mine] - a).astype(np.uint64) << np.uint64(53)) | h[mine])
         out_h.append(both & MASK53)
         out_o.append((both >> np.uint64(53)).astype(np.int64) + a)
     return (np.concatenate(out_h), np.concatenate(out_o)) if out_h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-@dataclass
-class Keys:
-    """The keys of some records in one band each: full segments, then wide segments without one token."""
+def signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The parity signature of each of n records' token sets, one row a record."""
+    bit = (mix64(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(20)) % np.uint64(64 * WORDS)
+    odd = (np.bincount(owner * (64 * WORDS) + bit.astype(np.int64), minlength=n * 64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, -1), axis=1).view(np.uint64)
 
-    key: np.ndarray
-    owner: np.ndarray
-    segment: np.ndarray  # place in the records' segments laid end to end
-    reduced: np.ndarray
 
+def group_keys(h: np.ndarray, owner: np.ndarray, chosen: np.ndarray, band: np.ndarray, part: Partition, his: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the chosen records' groups, each record's number of groups, and the record of each group.
 
-def segment_keys(h: np.ndarray, owner: np.ndarray, chosen: np.ndarray, band: np.ndarray, part: Partition, his: np.ndarray) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the chosen records, and for each record its segments' place, number and wide number.
-
-    A segment's key comes from the sum of its tokens' weights, so that leaving one token out is a subtraction.
+    keys: one row a group; in column 0 the whole group's key, then those with the first, second... segment left out. They come
+    from sums of the tokens' weights, so that leaving out a segment is a subtraction.
     """
-    ms, wides = part.segments(his)
-    m = np.where(chosen, ms[band], 0)
-    wide = np.where(chosen, wides[band], 0)
+    m = np.where(chosen, part.groups(his)[band], 0)
     at = np.concatenate([[0], np.cumsum(m)])
     mine = chosen[owner]
     h, owner = h[mine], owner[mine]
-    segment = (h % np.maximum(m[owner], 1).astype(np.uint64)).astype(np.int64)
-    weight = mix64(h) >> np.uint64(32)
-    place = at[owner] + segment
-    total = np.bincount(place, weights=weight.astype(np.float64), minlength=int(at[-1])).astype(np.uint64)
-    full_owner = np.repeat(np.arange(len(m)), m)
-    full_segment = np.arange(int(at[-1])) - at[full_owner]
-    in_wide = segment < wide[owner]
-    sums = np.concatenate([total, total[place[in_wide]] - weight[in_wide]])
-    owners = np.concatenate([full_owner, owner[in_wide]])
-    segments = np.concatenate([full_segment, segment[in_wide]])
-    salt = (band[owners].astype(np.uint64) << np.uint64(48)) | (segments.astype(np.uint64) << np.uint64(32))
-    reduced = np.zeros(len(sums), bool)
-    reduced[len(total) :] = True
-    return Keys(mix64(mix64(sums) ^ salt), owners, at[owners] + segments, reduced), at[:-1], m, wide
-
-
-def allocated(keys: Keys, at: np.ndarray, m: np.ndarray, wide: np.ndarray, need: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """Which keys each record looks for: the cheapest segments, or one-deletion neighbourhoods, that add up to its need.
-
-    A segment that must be equal counts 1, one that may differ in a token 2; the costs are the keys' frequencies.
+    segment = (h % np.maximum(m[owner] * part.pieces, 1).astype(np.uint64)).astype(np.int64)
+    weight = (mix64(h) >> np.uint64(32)).astype(np.float64)  # sums of 32-bit numbers are exact
+    sums = np.bincount(at[owner] * part.pieces + segment, weights=weight, minlength=int(at[-1]) * part.pieces).astype(np.uint64).reshape(-1, part.pieces)
+    whole = sums.sum(axis=1, dtype=np.uint64)[:, None]
+    of = np.repeat(np.arange(len(m)), m)
+    group = np.arange(len(of)) - at[of]
+    salt = (band[of].astype(np.uint64) << np.uint64(40)) | (group.astype(np.uint64) << np.uint64(8))
+    left_out = np.arange(part.pieces + 1, dtype=np.uint64)[None, :]
+    return mix64(mix64(np.concatenate([whole, whole - sums], axis=1)) ^ (salt[:, None] | left_out)), m, of
+
+
+def allocated(keys: np.ndarray, m: np.ndarray, of: np.ndarray, need: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Which keys each record looks for: the cheapest choice of groups that adds up to its need.
+
+    A group that must be equal counts 1, one that may differ in a segment 2; the costs are the frequencies of the keys.
     """
-    n = int(m.sum())
-    cost = frequency[keys.key & np.uint64(len(frequency) - 1)].astype(np.int64)
-    first = cost[:n]
-    more = np.bincount(keys.segment[n:], weights=cost[n:], minlength=n).astype(np.int64)
-    owner = keys.owner[:n]
-    upgradable = np.nonzero(np.arange(n) - at[owner] < wide[owner])[0]
-    item_cost = np.concatenate([first, np.maximum(more[upgradable], first[upgradable])])
-    item_owner = np.concatenate([owner, owner[upgradable]])
-    order = np.lexsort((np.arange(len(item_cost)), item_cost, item_owner))
-    begin = np.concatenate([[0], np.cumsum(m + wide)])[:-1]
-    rank = np.arange(len(order)) - begin[item_owner[order]]
-    taken = order[rank < need[item_owner[order]]]
-    equal, loose = np.zeros(n, bool), np.zeros(n, bool)
-    equal[taken[taken < n]] = True
-    loose[upgradable[taken[taken >= n] - n]] = True
-    return np.where(keys.reduced, loose[keys.segment], equal[keys.segment])
+    cost = frequency[keys & np.uint64(len(frequency) - 1)].astype(np.int64)
+    equal, loose = cost[:, 0], cost[:, 1:].sum(axis=1)
+    n = len(of)
+    item = np.concatenate([equal, np.maximum(loose - equal, equal)])
+    owner = np.concatenate([of, of])
+    order = np.argsort((owner << 40) + (np.minimum(item, (1 << 38) - 1) << 1) + (np.arange(2 * n) >= n), kind="stable")
+    begin = np.cumsum(2 * m) - 2 * m
+    taken = order[np.arange(2 * n) - begin[owner[order]] < need[owner[order]]]
+    out = np.zeros(keys.shape, bool)
+    out[taken[taken < n], 0] = True
+    two = taken[taken >= n] - n
+    out[two, 0] = False
+    out[two, 1:] = True
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,24 +153,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packs the index and probe entries of each block by bucket: keys (32 bits), record and kind (16 bits), record ids."""
+    """Packs the index and probe entries of each block by bucket: keys (32 bits), record and kind (16 bits), and what is needed of the records."""
     hot = np.maximum(1, -(-frequency // 200_000)).astype(np.int64)  # a key on more records than that is spread over several buckets
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for no, (cid, h, owner, size) in enumerate(_blocks(batches)):
             his = part.bands(int(size.max(initial=1)))
             band = np.searchsorted(his, size)
-            every = np.ones(len(cid), bool)
-            keys, at, m, wide = segment_keys(h, owner, every, band, part, his)
-            probing = allocated(keys, at, m, wide, part.differences(size, size) + 1, frequency)
-            kind = INDEXED | np.where(probing, PROBING, 0) | np.where(keys.reduced, REDUCED, 0)
-            p, q = part.threshold.numerator, part.threshold.denominator
-            lower = (band > 0) & (-(-p * size // q) <= his[np.maximum(band - 1, 0)])
-            below, at, m, wide = segment_keys(h, owner, lower, np.maximum(band - 1, 0), part, his)
-            probing = allocated(below, at, m, wide, part.differences(size, his[np.maximum(band - 1, 0)]) + 1, frequency)
-            key = np.concatenate([keys.key, below.key[probing]])
-            kind = np.concatenate([kind, PROBING | np.where(below.reduced[probing], REDUCED, 0)])
-            local = np.concatenate([keys.owner, below.owner[probing]])
+            key, kind, local = [], [], []
+            for below in range(len(his)):  # partners that are not larger stand in the own band or a few below
+                lower = np.maximum(band - below, 0)
+                chosen = (band >= below) & (part.least_partner(size) <= his[lower])
+                if not chosen.any():
+                    break
+                keys, m, of = group_keys(h, owner, chosen, lower, part, his)
+                probing = allocated(keys, m, of, part.differences(size, np.minimum(size, his[lower])) + 1, frequency)
+                wanted = np.ones(keys.shape, bool) if below == 0 else probing
+                key.append(keys[wanted])
+                kind.append((INDEXED if below == 0 else 0) | np.where(probing[wanted], PROBING, 0))
+                local.append(np.broadcast_to(of[:, None], keys.shape)[wanted])
+            key, kind, local = np.concatenate(key), np.concatenate(kind), np.concatenate(local)
             spread = hot[key & np.uint64(len(hot) - 1)]
             salt = np.where(spread > 1, (no * 7919 + int(cid[0])) % spread, 0)
             if (spread > 1).any():  # probes go to every bucket of a hot key, index entries to one
@@ -180,7 +184,9 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
                 salt = np.concatenate([salt, (salt[rep] + step) % spread[rep]])
                 kind = np.concatenate([kind, kind[rep] & ~INDEXED])
             bucket = (mix64((key >> np.uint64(32)) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((key & np.uint64(0xFFFFFFFF), bucket))
+            order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)))
+            described = np.concatenate([cid.view(np.uint64)[:, None], size.astype(np.uint64)[:, None], signatures(h, owner, len(cid))], axis=1)
+            pack = zstandard.ZstdCompressor(level=1).compress
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out: tuple[list, list, list, list] = ([], [], [], [])
             for k in np.nonzero(np.diff(bounds))[0]:
@@ -189,51 +195,62 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
                 low = (key[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 gaps = np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)  # sorted: the high bytes are mostly 0
                 out[0].append(int(k))
-                out[1].append(np.ascontiguousarray(gaps.T).tobytes())
-                out[2].append(((inverse << 3) | kind[here]).astype(np.uint16).tobytes())
-                out[3].append(cid[used].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "keys", "kinds", "ids"])
+                out[1].append(pack(np.ascontiguousarray(gaps.T).tobytes()))
+                both = ((inverse << 2) | kind[here]).astype(np.uint16).view(np.uint8).reshape(-1, 2)
+                out[2].append(pack(np.ascontiguousarray(both.T).tobytes()))
+                out[3].append(described[used].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "keys", "kinds", "records"])
 
     return scan
 
 
-def _meet(entries: pa.Table) -> pa.Table:
-    """Pairs of records in one bucket: one looks for a key that the other has."""
-    keys, kinds, ids = [], [], []
-    base = 0
-    for k, x, i in zip(entries["keys"].to_pylist(), entries["kinds"].to_pylist(), entries["ids"].to_pylist(), strict=True):
-        gaps = np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        packed = np.frombuffer(x, np.uint16)
-        keys.append(np.cumsum(gaps, dtype=np.uint32))
-        kinds.append(((packed >> 3).astype(np.int64) + base) * 8 + (packed & 7))
-        ids.append(np.frombuffer(i, np.int64))
-        base += len(ids[-1])
-    key, kind, cid = np.concatenate(keys), np.concatenate(kinds), np.concatenate(ids)
-    order = np.argsort(key, kind="stable")
-    key, kind = key[order], kind[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    start = np.nonzero(new)[0]
-    run = np.cumsum(new) - 1
-    length = np.diff(np.concatenate([start, [len(key)]]))
-    probes = np.nonzero((kind & PROBING > 0) & (length[run] > 1))[0]
-    pairs = [np.zeros(0, np.int64)]
-    width = length[run[probes]]
-    ends = np.cumsum(width)
-    a = 0
-    while a < len(probes):  # so many probes at a time that few million meetings are in memory
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 4_000_000)))
-        w = width[a:z]
-        x = np.repeat(probes[a:z], w)
-        y = np.repeat(start[run[probes[a:z]]], w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        p, q = kind[x], kind[y]
-        met = (q & INDEXED > 0) & ((p & q & REDUCED) == 0) & (p >> 3 != q >> 3)
-        p, q = p[met] >> 3, q[met] >> 3
-        pairs.append(np.unique(np.minimum(p, q) * base + np.maximum(p, q)))
-        a = z
-    both = np.unique(np.concatenate(pairs))
-    one, two = cid[both // max(base, 1)], cid[both % max(base, 1)]
-    apart = one != two
-    return pa.table({"a": np.minimum(one, two)[apart], "b": np.maximum(one, two)[apart]})
+def _meet(part: Partition) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of records in one bucket: one looks for a key that the other has, and their signatures and sizes allow the threshold."""
+
+    def meet(entries: pa.Table) -> pa.Table:
+        keys, kinds, about = [], [], []
+        base, unpack = 0, zstandard.ZstdDecompressor().decompress
+        for k, x, i in zip(entries["keys"].to_pylist(), entries["kinds"].to_pylist(), entries["records"].to_pylist(), strict=True):
+            gaps = np.ascontiguousarray(np.frombuffer(unpack(k), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            packed = np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+            keys.append(np.cumsum(gaps, dtype=np.uint32))
+            about.append(np.frombuffer(i, np.uint64).reshape(-1, 2 + WORDS))
+            kinds.append(((packed >> 2).astype(np.int64) + base) * 4 + (packed & 3))
+            base += len(about[-1])
+        key, kind, record = np.concatenate(keys), np.concatenate(kinds), np.concatenate(about)
+        cid, size, signature = record[:, 0].view(np.int64), record[:, 1].astype(np.int64), np.ascontiguousarray(record[:, 2:])
+        del keys, kinds, about, record
+        order = np.argsort(key, kind="stable")
+        key, kind = key[order], kind[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        start = np.nonzero(new)[0]
+        run = np.cumsum(new) - 1
+        length = np.diff(np.concatenate([start, [len(key)]]))
+        probes = np.nonzero((kind & PROBING > 0) & (length[run] > 1))[0]
+        pairs = [np.zeros(0, np.int64)]
+        width = length[run[probes]]
+        ends = np.cumsum(width)
+        a = 0
+        while a < len(probes):  # so many probes at a time that a million meetings are in memory
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000)))
+            w = width[a:z]
+            x = np.repeat(probes[a:z], w)
+            y = np.repeat(start[run[probes[a:z]]], w) + np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            p, q = kind[x], kind[y]
+            met = (q & INDEXED > 0) & (p >> 2 != q >> 2)
+            p, q = p[met] >> 2, q[met] >> 2
+            small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+            fit = part.least_partner(large) <= small
+            p, q, limit = p[fit], q[fit], part.differences(small[fit], large[fit])
+            fit = np.bitwise_count(signature[p] ^ signature[q]).sum(axis=1) <= limit
+            pairs.append(distinct(np.minimum(p[fit], q[fit]) * base + np.maximum(p[fit], q[fit])))
+            a = z
+        both = distinct(np.concatenate(pairs))
+        one, two = cid[both // max(base, 1)], cid[both % max(base, 1)]
+        apart = one != two
+        return pa.table({"a": np.minimum(one, two)[apart], "b": np.maximum(one, two)[apart]})
+
+    return meet
 
 
 def _similar(threshold: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -310,19 +327,19 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for cid, h, owner, size in _blocks(iter([batch])):
             his = part.bands(int(size.max(initial=1)))
-            keys, *_ = segment_keys(h, owner, np.ones(len(cid), bool), np.searchsorted(his, size), part, his)
-            total += np.bincount((keys.key & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
+            keys, *_ = group_keys(h, owner, np.ones(len(cid), bool), np.searchsorted(his, size), part, his)
+            total += np.bincount((keys.ravel() & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
 
     frequency = summed(texts, lambda: np.zeros(part.slots, np.int64), count)
-    buckets = max(12, math.ceil(int(frequency.sum()) / 2_000_000))
+    buckets = max(6, math.ceil(int(frequency.sum()) / 5_000_000))
     frequency = np.minimum(frequency, 2**31 - 1).astype(np.int32) if frequency.max(initial=0) < 2**31 else frequency
     shared = df.sparkSession.sparkContext.broadcast(frequency)  # a table of fixed size: slots * 4 bytes
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _entries(part, shared.value, buckets)(batches)
 
-    entries = texts.mapInArrow(emit, "bucket int, keys binary, kinds binary, ids binary")
-    candidates = entries.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint").distinct()
+    entries = texts.mapInArrow(emit, "bucket int, keys binary, kinds binary, records binary")
+    candidates = entries.groupBy("bucket").applyInArrow(_meet(part), "a bigint, b bigint").distinct()
     whole = candidates.join(texts.withColumnRenamed("cid", "a"), "a").join(texts.select(F.col("cid").alias("b"), F.col("s").alias("u"), F.col("t").alias("v")), "b")
     return durable(whole.mapInArrow(_similar(part.threshold), "a bigint, b bigint"), "near-pairs"), members
 
