@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import format_duplicates, lookalikes, near_duplicates, shared_spans, survivorship
+from tandemtext.llm import format_duplicates, lookalikes, near_duplicates, shared_spans, survivorship, truncation
 from tandemtext.session import table
 
 
@@ -57,8 +57,16 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(table(spark, sf_dir, "tm_store"), "entry_id", "source", "target")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source").where("truncated").select(F.col("id").alias("doc_id"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links)
+    f.__name__: f for f in (p1_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links, p9_found, p9_rates)
 }
 
 #: DuckDB's SQL for the queries that SQL can express on whole tables.
