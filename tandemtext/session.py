@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Parallelism hint for stages that must not shrink below the cluster's cores.
 MIN_PARTITIONS = 12
@@ -35,3 +36,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(MIN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sized_join(df: DataFrame, ids: DataFrame, key: str, how: str, most_mb: int = 16) -> DataFrame:
+    """A semi or anti join with a one-column table of ids: broadcast if the ids, counted, take at most `most_mb`, else shuffled."""
+    small = ids.count() * 16 <= most_mb << 20
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
