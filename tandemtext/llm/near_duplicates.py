@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions.arrays import summed
 from tandemtext.functions.codepoints import MASK53, fold_batch, mix64, trigrams
-from tandemtext.session import durable
+from tandemtext.session import durable, sized_join
 
 GRAM = 3
 #: Kinds of index entries: to be found, looking for others.
@@ -24,6 +24,8 @@ INDEXED, PROBING = 1, 2
 #: 64-bit words of a set's signature: the parity of the tokens that fall on each bit. Sets that differ in d tokens have
 #: signatures that differ in at most d bits, so a pair with more is none; nothing else is left out by it.
 WORDS = 6
+#: Bits of a key inside its bucket; keys that agree by chance only cost a comparison of signatures.
+KEY_BITS = 26
 #: Records in a block of entries; with the kinds, a record's number in it fits in 16 bits.
 BLOCK = 4096
 
@@ -184,7 +186,7 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
                 salt = np.concatenate([salt, (salt[rep] + step) % spread[rep]])
                 kind = np.concatenate([kind, kind[rep] & ~INDEXED])
             bucket = (mix64((key >> np.uint64(32)) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)))
+            order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | (key & np.uint64((1 << KEY_BITS) - 1)))
             described = np.concatenate([cid.view(np.uint64)[:, None], size.astype(np.uint64)[:, None], signatures(h, owner, len(cid))], axis=1)
             pack = zstandard.ZstdCompressor(level=1).compress
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -192,7 +194,7 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
             for k in np.nonzero(np.diff(bounds))[0]:
                 here = order[bounds[k] : bounds[k + 1]]
                 used, inverse = np.unique(local[here], return_inverse=True)
-                low = (key[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                low = (key[here] & np.uint64((1 << KEY_BITS) - 1)).astype(np.uint32)
                 gaps = np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)  # sorted: the high bytes are mostly 0
                 out[0].append(int(k))
                 out[1].append(pack(np.ascontiguousarray(gaps.T).tobytes()))
@@ -322,7 +324,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     keyed = durable(long.mapInArrow(_class_keys(least), "id bigint, k1 bigint, k2 bigint"), "near-keys")
     classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("cid"))
     members = durable(keyed.join(classes, ["k1", "k2"]).select("cid", "id"), "near-members")
-    texts = durable(long.join(members.where("cid = id").select("id").distinct(), "id", "left_semi").mapInArrow(_folded_rows, "cid bigint, s string, t string"), "near-texts")
+    copies = members.where("cid <> id").select("id")
+    texts = durable(sized_join(long, copies, "id", "left_anti").mapInArrow(_folded_rows, "cid bigint, s string, t string"), "near-texts")
 
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for cid, h, owner, size in _blocks(iter([batch])):
@@ -339,7 +342,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
         yield from _entries(part, shared.value, buckets)(batches)
 
     entries = texts.mapInArrow(emit, "bucket int, keys binary, kinds binary, records binary")
-    candidates = entries.groupBy("bucket").applyInArrow(_meet(part), "a bigint, b bigint").distinct()
+    candidates = durable(entries.groupBy("bucket").applyInArrow(_meet(part), "a bigint, b bigint").distinct(), "near-candidates")
+    texts = sized_join(texts, durable(candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "near-chosen"), "cid", "left_semi")
     whole = candidates.join(texts.withColumnRenamed("cid", "a"), "a").join(texts.select(F.col("cid").alias("b"), F.col("s").alias("u"), F.col("t").alias("v")), "b")
     return durable(whole.mapInArrow(_similar(part.threshold), "a bigint, b bigint"), "near-pairs"), members
 
