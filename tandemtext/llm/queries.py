@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import format_duplicates, lookalikes, near_duplicates, shared_spans, survivorship, truncation
+from tandemtext.llm import format_duplicates, lookalikes, near_duplicates, pair_defects, shared_spans, survivorship, truncation
 from tandemtext.session import table
 
 
@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(name.alias("tab"), F.shiftright("rid", 1).alias("row_id"), "span_start", "span_len")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worked_on = table(spark, sf_dir, "transunit").where("status is null or status <> 'NotStarted'")
+    found = pair_defects.pair_defects(worked_on, "unit_id", "source_text", "target_text")
+    return found.select(F.col("id").alias("unit_id"), "defect")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = format_duplicates.format_duplicates(table(spark, sf_dir, "tm_store"), "entry_id", ["source", "target"])
     return groups.where("variants and id <> first_id").select(F.col("first_id").alias("first_entry_id"), F.col("id").alias("entry_id"))
@@ -66,7 +72,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links, p9_found, p9_rates)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links, p9_found, p9_rates)
 }
 
 #: DuckDB's SQL for the queries that SQL can express on whole tables.
