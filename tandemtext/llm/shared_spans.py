@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemtext.functions.codepoints import codepoints, mix64
-from tandemtext.functions.folding import TAG
-from tandemtext.session import durable, shared_dir, shuffle_partitions
+from tandemtext.functions.folding import TAG, hash128
+from tandemtext.session import durable, shared_dir, shuffle_partitions, sized_join
 
 #: A span's least length, and the length of the runs whose hashes stand for the windows of that length.
 SPAN, ANCHOR = 40, 16
@@ -216,7 +216,8 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
 
     Each batch is appended to the fingerprint index; the hashes of the index that stand in two records name candidate
     records, usually few, of whose windows only those with such a hash are compared by a hash of the whole window. Each window
-    gets a partner record and is verified against its text; verified windows are joined to maximal runs of shared characters.
+    gets a partner record and is verified against its text; verified windows are joined to maximal runs of shared characters. Of
+    records with one and the same text (128-bit hash) only the first takes part in this; all of them share every long stretch.
 
     Returns `rid, span_start, span_len`: code points, span_start from 1. No sampling: every window of every record takes part
     (equal windows have equal anchors). A text on a third of all rows is folded to its least and greatest record before every
@@ -234,16 +235,37 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
     every = records[0]
     for r in records[1:]:
         every = every.unionByName(r)
-    chosen = durable(every.join(index.candidates(), "rid").select("rid", "text", "hs"), "span-candidates")
-    windows = durable(chosen.mapInArrow(_window_rows(span, anchor), "w bigint, rid bigint, start int"), "span-windows")
+    t1, t2 = hash128(F.col("text"))
+    chosen = durable(every.join(index.candidates(), "rid").select("rid", "text", "hs", t1.alias("t1"), t2.alias("t2")), "span-candidates")
+    members = durable(
+        chosen.select("rid", "t1", "t2").join(chosen.groupBy("t1", "t2").agg(F.min("rid").alias("rep"), (F.count("*") > 1).alias("copied")), ["t1", "t2"]).select("rid", "rep", "copied"),
+        "span-copies",
+    )
+    reps = durable(sized_join(chosen.drop("t1", "t2"), members.where("rid <> rep").select("rid"), "rid", "left_anti"), "span-texts")
+    windows = durable(reps.mapInArrow(_window_rows(span, anchor), "w bigint, rid bigint, start int"), "span-windows")
     shared = windows.groupBy("w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b")
     partners = windows.join(shared, "w").select("rid", "start", F.when(F.col("a") == F.col("rid"), F.col("b")).otherwise(F.col("a")).alias("partner"))
-    runs = partners.groupBy("rid", "partner").agg(F.collect_set("start").alias("starts"))
-    texts = chosen.select("rid", "text")
+    copied = durable(members.where("copied and rid = rep").select("rid"), "span-copied")
+    runs = sized_join(partners, copied, "rid", "left_anti").groupBy("rid", "partner").agg(F.collect_set("start").alias("starts"))
+    texts = reps.select("rid", "text")
     checked = runs.join(texts, "rid").join(texts.select(F.col("rid").alias("partner"), F.col("text").alias("other")), "partner")
     spans = checked.select("rid", "starts", "text", "other").mapInArrow(_verified(span), "rid bigint, start int, stop int")
+    whole = sized_join(texts, copied, "rid", "left_semi").mapInArrow(_whole(span), "rid bigint, start int, stop int")
     per = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    return per.select("rid", F.explode(_merged("spans")).alias("m")).select("rid", (F.col("m.start") + 1).cast("bigint").alias("span_start"), (F.col("m.stop") - F.col("m.start")).cast("bigint").alias("span_len"))
+    merged = per.select("rid", F.explode(_merged("spans")).alias("m")).select("rid", "m.start", "m.stop").unionByName(whole)
+    every_copy = merged.withColumnRenamed("rid", "rep").join(members.select("rid", "rep"), "rep")
+    return every_copy.select("rid", (F.col("start") + 1).cast("bigint").alias("span_start"), (F.col("stop") - F.col("start")).cast("bigint").alias("span_len"))
+
+
+def _whole(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All long stretches of texts that stand unchanged in another record."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r, at, at + len(s)) for r, t in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True) for at, s in stretches(t, span)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *[pa.array([x[k] for x in rows], pa.int32()) for k in (1, 2)]], ["rid", "start", "stop"])
+
+    return scan
 
 
 def _merged(spans: str) -> Column:
