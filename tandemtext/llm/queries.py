@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import format_duplicates, lookalikes, mixture, near_duplicates, pair_defects, shared_spans, survivorship, truncation
+from tandemtext.llm import contamination, format_duplicates, lookalikes, mixture, near_duplicates, pair_defects, shared_spans, survivorship, truncation
 from tandemtext.session import table
 
 
@@ -63,6 +63,15 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(table(spark, sf_dir, "tm_store"), "entry_id", "source", "target")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where(F.col("run") >= contamination.Passages().run).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
 
@@ -80,7 +89,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links, p8_mixture, p8_shares, p9_found, p9_rates)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_collapsed, p4_found, p4_consistent, p5_found, p5_survivors, p6_found, p6_links, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_rates)
 }
 
 #: DuckDB's SQL for the queries that SQL can express on whole tables.
