@@ -93,17 +93,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB's SQL for the queries that SQL can express on whole tables.
+_WS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _trimmed(column: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
 ORACLE_SQL: dict[str, str] = {
-    "p5_found": """
-WITH e AS (
-  SELECT entry_id, regexp_replace(source, '^[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+|[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+$', '', 'g') AS s,
-    regexp_replace(context, '^[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+|[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+$', '', 'g') AS c,
-    regexp_replace(target, '[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{000B}]+', '', 'g') AS t,
-    lower(trim(regexp_replace(regexp_replace(file, '[\\s\\x{3000}\\x{00A0}]+$', ''), '^.*[/\\\\]', ''), ' 　 ' || chr(9) || chr(10))) AS f, committed_at AS at FROM tm_store),
+    "p5_found": f"""WITH e AS (SELECT entry_id, {_trimmed("source")} AS s, {_trimmed("context")} AS c, {_trimmed("target")} AS t,
+lower({_trimmed("regexp_replace(" + _trimmed("file") + r", '^.*[/\\]', '')")}) AS f, committed_at AS cm FROM tm_store),
 r AS (SELECT e.*, coalesce(m.trust, 0) AS trust FROM e LEFT JOIN tm_files m ON m.file = e.f WHERE s <> '' AND c <> ''),
-g AS (SELECT s, c, min(entry_id) AS first_entry_id, count(*) AS n FROM r GROUP BY s, c HAVING count(*) > 1),
-m AS (SELECT s, c, max(trust) AS trust, max(at) AS at FROM r WHERE t <> '' GROUP BY s, c)
+g AS (SELECT s, c, min(entry_id) AS first_entry_id FROM r GROUP BY s, c HAVING count(*) > 1),
+m AS (SELECT s, c, max(trust) AS trust, max(cm) AS cm FROM r WHERE t <> '' GROUP BY s, c)
 SELECT g.first_entry_id, max(r.entry_id) AS target_entry_id
-FROM g JOIN m ON g.s = m.s AND g.c = m.c JOIN r ON r.s = m.s AND r.c = m.c AND r.t <> '' AND r.trust = m.trust AND r.at = m.at
+FROM g JOIN m ON g.s = m.s AND g.c = m.c JOIN r ON r.s = m.s AND r.c = m.c AND r.t <> '' AND r.trust = m.trust AND r.cm = m.cm
 GROUP BY g.first_entry_id HAVING count(*) = 1""",
-}
+}
