@@ -66,11 +66,11 @@ def fuzzy_matches(queries: DataFrame, entries: DataFrame, threshold: float = THR
 
 def idf_candidates(queries: DataFrame, entries: DataFrame, limit: int = 200) -> DataFrame:
     """Entries by the sum of the inverse frequencies of shared 3- and 2-grams: `q, e, score`, at most `limit` a query."""
-    total = entries.agg((F.count("*") + 1).alias("n1"))
+    total = entries.count() + 1
     parts = []
     for n in (3, 2):
         grams = gram_table(entries, "e", "source", n)
-        idf = document_frequency(grams).crossJoin(F.broadcast(total)).select("gram", (F.log(F.col("n1") / (F.col("df") + 1)) + 1).alias("idf"))
+        idf = document_frequency(grams).select("gram", (F.log(F.lit(total) / (F.col("df") + 1)) + 1).alias("idf"))
         parts.append(gram_table(queries, "q", "source", n).withColumnRenamed("id", "q").join(idf, "gram").join(grams.withColumnRenamed("id", "e"), "gram"))
     scores = parts[0].unionByName(parts[1]).groupBy("q", "e").agg(F.sum("idf").alias("score"))
     sized = scores.join(entries.select("e", F.length(tx.normalized(F.col("source"))).alias("size")), "e")
@@ -125,7 +125,7 @@ def upsert(old: DataFrame, new: DataFrame, replace: bool = True) -> DataFrame:
     """MERGE of new entries into a memory, by source and context (outer blanks aside).
 
     A new key is appended with a new entry_id, its own counted on from the memory's last (no global numbering); an existing key takes the new target if `replace` and the file is the same, and
-    keeps the old row otherwise. Of new rows with one key, the last by entry_id counts for replacing and the first for appending.
+    keeps the old row otherwise, as if the new rows came one after another by entry_id. A null file equals none.
     """
     key = {"_s": tx.stripped(F.coalesce("source", F.lit(""))), "_c": tx.stripped(F.coalesce("context", F.lit("")))}
     o, n = old.withColumns(key), new.withColumns(key)
@@ -134,8 +134,9 @@ def upsert(old: DataFrame, new: DataFrame, replace: bool = True) -> DataFrame:
     pick = lambda c: F.when(F.col("u").isNotNull() & F.lit(replace), F.col(f"u.{c}")).otherwise(F.col(c)).alias(c)
     kept = changed.select("entry_id", pick("source"), pick("target"), pick("context"), "file")
     fresh = n.join(o.select("_s", "_c").distinct(), ["_s", "_c"], "left_anti").groupBy("_s", "_c").agg(F.min_by(F.struct("source", "target", "context", "file"), "entry_id").alias("u"), F.min("entry_id").alias("at"))
-    last = old.agg(F.coalesce(F.max("entry_id"), F.lit(0)).alias("last"))
-    added = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("at")).cast("bigint").alias("entry_id"), "u.*")
+    last = old.agg(F.coalesce(F.max("entry_id"), F.lit(0))).first()[0]
+    fresh = fresh.select("_s", "_c", "at", "u.*").join(same_file, ["_s", "_c", "file"], "left")
+    added = fresh.select((F.lit(last) + F.col("at")).cast("bigint").alias("entry_id"), pick("source"), pick("target"), pick("context"), "file")
     return kept.unionByName(added)
 
 

@@ -134,7 +134,7 @@ _KEY = STRIP("coalesce(source, '')") + " AS s, " + STRIP("coalesce(context, '')"
 u AS (SELECT s, c, file, max(entry_id) AS id FROM n WHERE file IS NOT NULL GROUP BY s, c, file), l AS (SELECT coalesce(max(entry_id), 0) AS last FROM o),
 k AS (SELECT o.entry_id, CASE WHEN u.id IS NULL THEN o.target ELSE n.target END AS target FROM o LEFT JOIN u ON o.s = u.s AND o.c = u.c AND o.file = u.file LEFT JOIN n ON n.entry_id = u.id),
 a AS (SELECT min(entry_id) AS id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.s = n.s AND o.c = n.c) GROUP BY s, c)
-SELECT entry_id, target FROM k UNION ALL SELECT l.last + a.id, n.target FROM a JOIN n ON n.entry_id = a.id, l""")
+SELECT entry_id, target FROM k UNION ALL SELECT l.last + a.id, coalesce(m.target, n.target) FROM a JOIN n ON n.entry_id = a.id LEFT JOIN u ON u.s = n.s AND u.c = n.c AND u.file = n.file LEFT JOIN n m ON m.entry_id = u.id, l""")
 def tm_upsert(spark: SparkSession, d: str) -> DataFrame:
     store = _store(spark, d)
     return memory.upsert(store.where("scope = 'permanent'"), store.where("scope = 'runtime'")).select("entry_id", "target")
