@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -21,13 +20,14 @@ from tandemtext.session import durable, sized_join
 GRAM = 3
 #: Kinds of index entries: to be found, looking for others.
 INDEXED, PROBING = 1, 2
-#: 64-bit words of a set's signature: the parity of the tokens that fall on each bit. Sets that differ in d tokens have
-#: signatures that differ in at most d bits, so a pair with more is none; nothing else is left out by it.
-WORDS = 6
+#: Bands that are told apart in counts; a set in the last one would have more tokens than memory.
+BANDS = 64
 #: Bits of a key inside its bucket; keys that agree by chance only cost a comparison of signatures.
 KEY_BITS = 26
 #: Records in a block of entries; with the kinds, a record's number in it fits in 16 bits.
 BLOCK = 4096
+#: Keys in a bucket, about; the buckets of a band follow the number of its keys, so that a task's memory is bounded.
+BUCKET = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,10 @@ class Partition:
             out.append(max(lo, int(lo * self.ratio)))
         return np.array(out, np.int64)
 
+    def words(self, band: int, largest: int = 1 << 40) -> int:
+        """64-bit words of the signatures compared in a band: enough bits to tell unlike sets of its size apart."""
+        return int(1.6 * self.bands(largest)[band] // 64) + 1
+
     def groups(self, hi: np.ndarray) -> np.ndarray:
         """The number of groups of each band: enough for the largest set that looks for partners in it."""
         p, q = self.threshold.numerator, self.threshold.denominator
@@ -96,10 +100,14 @@ def token_sets(sources: list[str], targets: list[str]) -> tuple[np.ndarray, np.n
     return (np.concatenate(out_h), np.concatenate(out_o)) if out_h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The parity signature of each of n records' token sets, one row a record."""
-    bit = (mix64(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(20)) % np.uint64(64 * WORDS)
-    odd = (np.bincount(owner * (64 * WORDS) + bit.astype(np.int64), minlength=n * 64 * WORDS) & 1).astype(np.uint8)
+def signatures(h: np.ndarray, owner: np.ndarray, n: int, words: int) -> np.ndarray:
+    """The parity signature of each of n records' token sets, one row a record.
+
+    A bit is the parity of the tokens that fall on it. Sets that differ in d tokens have signatures that differ in at most d
+    bits, so a pair with more is none; nothing else is left out by it.
+    """
+    bit = (mix64(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(20)) % np.uint64(64 * words)
+    odd = (np.bincount(owner * (64 * words) + bit.astype(np.int64), minlength=n * 64 * words) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(n, -1), axis=1).view(np.uint64)
 
 
@@ -154,15 +162,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield part.column("cid").to_numpy(), h, owner, np.bincount(owner, minlength=part.num_rows)
 
 
-def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(part: Partition, frequency: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Packs the index and probe entries of each block by bucket: keys (32 bits), record and kind (16 bits), and what is needed of the records."""
+    in_band = np.where(counts > 0, np.maximum(1, -(-counts // BUCKET)), 1)  # buckets of each band
+    base = np.concatenate([[0], np.cumsum(in_band)])
+    band_of = np.repeat(np.arange(BANDS), in_band)
+    width = [part.words(b, 1 << 20) if counts[b] else 1 for b in range(BANDS)]
     hot = np.maximum(1, -(-frequency // 200_000)).astype(np.int64)  # a key on more records than that is spread over several buckets
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for no, (cid, h, owner, size) in enumerate(_blocks(batches)):
             his = part.bands(int(size.max(initial=1)))
             band = np.searchsorted(his, size)
-            key, kind, local = [], [], []
+            key, kind, local, level = [], [], [], []
             for below in range(len(his)):  # partners that are not larger stand in the own band or a few below
                 lower = np.maximum(band - below, 0)
                 chosen = (band >= below) & (part.least_partner(size) <= his[lower])
@@ -174,7 +186,8 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
                 key.append(keys[wanted])
                 kind.append((INDEXED if below == 0 else 0) | np.where(probing[wanted], PROBING, 0))
                 local.append(np.broadcast_to(of[:, None], keys.shape)[wanted])
-            key, kind, local = np.concatenate(key), np.concatenate(kind), np.concatenate(local)
+                level.append(lower[local[-1]])
+            key, kind, local, level = np.concatenate(key), np.concatenate(kind), np.concatenate(local), np.concatenate(level)
             spread = hot[key & np.uint64(len(hot) - 1)]
             salt = np.where(spread > 1, (no * 7919 + int(cid[0])) % spread, 0)
             if (spread > 1).any():  # probes go to every bucket of a hot key, index entries to one
@@ -182,15 +195,17 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
                 times = spread[again] - 1
                 rep = np.repeat(again, times)
                 step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1
-                key, local = np.concatenate([key, key[rep]]), np.concatenate([local, local[rep]])
+                key, local, level = np.concatenate([key, key[rep]]), np.concatenate([local, local[rep]]), np.concatenate([level, level[rep]])
                 salt = np.concatenate([salt, (salt[rep] + step) % spread[rep]])
                 kind = np.concatenate([kind, kind[rep] & ~INDEXED])
-            bucket = (mix64((key >> np.uint64(32)) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+            inside = mix64((key >> np.uint64(32)) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % in_band[level].astype(np.uint64)
+            bucket = base[level] + inside.astype(np.int64)
             order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | (key & np.uint64((1 << KEY_BITS) - 1)))
-            described = np.concatenate([cid.view(np.uint64)[:, None], size.astype(np.uint64)[:, None], signatures(h, owner, len(cid))], axis=1)
+            about = np.stack([cid.view(np.uint64), size.astype(np.uint64)], axis=1)
+            signed: dict[int, np.ndarray] = {}
             pack = zstandard.ZstdCompressor(level=1).compress
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            bounds = np.searchsorted(bucket[order], np.arange(base[-1] + 1))
+            out: tuple[list, ...] = ([], [], [], [], [])
             for k in np.nonzero(np.diff(bounds))[0]:
                 here = order[bounds[k] : bounds[k + 1]]
                 used, inverse = np.unique(local[here], return_inverse=True)
@@ -200,8 +215,12 @@ def _entries(part: Partition, frequency: np.ndarray, buckets: int) -> Callable[[
                 out[1].append(pack(np.ascontiguousarray(gaps.T).tobytes()))
                 both = ((inverse << 2) | kind[here]).astype(np.uint16).view(np.uint8).reshape(-1, 2)
                 out[2].append(pack(np.ascontiguousarray(both.T).tobytes()))
-                out[3].append(described[used].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["bucket", "keys", "kinds", "records"])
+                words = width[band_of[k]]
+                if words not in signed:
+                    signed[words] = signatures(h, owner, len(cid), words)
+                out[3].append(np.concatenate([about[used], signed[words][used]], axis=1).tobytes())
+                out[4].append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:4]], pa.array(out[4], pa.int32())], ["bucket", "keys", "kinds", "records", "words"])
 
     return scan
 
@@ -212,11 +231,12 @@ def _meet(part: Partition) -> Callable[[pa.Table], pa.Table]:
     def meet(entries: pa.Table) -> pa.Table:
         keys, kinds, about = [], [], []
         base, unpack = 0, zstandard.ZstdDecompressor().decompress
+        words = entries["words"][0].as_py()
         for k, x, i in zip(entries["keys"].to_pylist(), entries["kinds"].to_pylist(), entries["records"].to_pylist(), strict=True):
             gaps = np.ascontiguousarray(np.frombuffer(unpack(k), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
             packed = np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
             keys.append(np.cumsum(gaps, dtype=np.uint32))
-            about.append(np.frombuffer(i, np.uint64).reshape(-1, 2 + WORDS))
+            about.append(np.frombuffer(i, np.uint64).reshape(-1, 2 + words))
             kinds.append(((packed >> 2).astype(np.int64) + base) * 4 + (packed & 3))
             base += len(about[-1])
         key, kind, record = np.concatenate(keys), np.concatenate(kinds), np.concatenate(about)
@@ -330,18 +350,20 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for cid, h, owner, size in _blocks(iter([batch])):
             his = part.bands(int(size.max(initial=1)))
-            keys, *_ = group_keys(h, owner, np.ones(len(cid), bool), np.searchsorted(his, size), part, his)
-            total += np.bincount((keys.ravel() & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
+            band = np.searchsorted(his, size)
+            keys, _, of = group_keys(h, owner, np.ones(len(cid), bool), band, part, his)
+            total[: part.slots] += np.bincount((keys.ravel() & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
+            total[part.slots :] += np.bincount(band[of], minlength=BANDS) * keys.shape[1]
 
-    frequency = summed(texts, lambda: np.zeros(part.slots, np.int64), count)
-    buckets = max(6, math.ceil(int(frequency.sum()) / 5_000_000))
+    total = summed(texts, lambda: np.zeros(part.slots + BANDS, np.int64), count)
+    frequency, counts = total[: part.slots], total[part.slots :]
     frequency = np.minimum(frequency, 2**31 - 1).astype(np.int32) if frequency.max(initial=0) < 2**31 else frequency
     shared = df.sparkSession.sparkContext.broadcast(frequency)  # a table of fixed size: slots * 4 bytes
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _entries(part, shared.value, buckets)(batches)
+        yield from _entries(part, shared.value, counts)(batches)
 
-    entries = texts.mapInArrow(emit, "bucket int, keys binary, kinds binary, records binary")
+    entries = texts.mapInArrow(emit, "bucket int, keys binary, kinds binary, records binary, words int")
     candidates = durable(entries.groupBy("bucket").applyInArrow(_meet(part), "a bigint, b bigint").distinct(), "near-candidates")
     texts = sized_join(texts, durable(candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "near-chosen"), "cid", "left_semi")
     whole = candidates.join(texts.withColumnRenamed("cid", "a"), "a").join(texts.select(F.col("cid").alias("b"), F.col("s").alias("u"), F.col("t").alias("v")), "b")
