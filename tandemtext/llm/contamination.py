@@ -32,8 +32,8 @@ class Passages:
     run: int = 70
     spread: int = 11
     features: int = 1 << 13
-    rank: int = 24
-    extra: int = 8
+    rank: int = 16
+    extra: int = 4
     bits: int = 30
     probes: int = 3
     cosine: float = 0.95
@@ -59,7 +59,8 @@ def starts(points: np.ndarray, offsets: np.ndarray, how: Passages) -> tuple[np.n
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     window = np.arange(len(least))
     inside = owner[window] == owner[np.minimum(window + how.spread + 2, len(points) - 1)]
-    at = np.unique(least[inside])
+    at = least[inside]  # never falls from window to window
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     fits = at + how.length <= offsets[owner[at] + 1]
     return at[fits], owner[at[fits]]
 
@@ -106,7 +107,7 @@ def fit_space(docs: DataFrame, how: Passages) -> tuple[np.ndarray, np.ndarray]:
             aw = np.add.reduceat(iw[part], begin, axis=0)  # rows of A W
             norm = np.sqrt(np.add.reduceat(idf[part] ** 2, begin)) + 1e-6
             scaled = (aw / norm[:, None] ** 2)[np.cumsum(np.concatenate([[0], mine[1:] != mine[:-1]]))]
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16), kind="stable") if d <= 1 << 16 else np.argsort(part, kind="stable")
             first = np.nonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))[0]
             total[part[order][first]] += np.add.reduceat(scaled[order], first, axis=0)
 
