@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
+import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.sources.files import _local, decoded
+from tandemtext.sources.files import REL, SHEET, WORD, _column, _local, decoded
 
 _MARKER = re.compile(r"<tag id='([^']*)' type='([^']*)' desc='([^']*)'/>")
 
@@ -66,7 +68,85 @@ def xliff_with_targets(data: bytes, targets: dict[str, str], status: str = "Conf
     return ET.tostring(root, encoding="utf-8", xml_declaration=True, short_empty_elements=False)
 
 
-WRITERS = {"lines": lines_with_targets, "xliff": xliff_with_targets}
+def xlsx_with_targets(data: bytes, targets: dict[str, str], target: str = "B") -> bytes:
+    """A workbook with target cells set; keys are `sheet:row`. Everything else in the file, macros too, is copied as it is."""
+    ET.register_namespace("", SHEET[1:-1])
+    old, out = zipfile.ZipFile(io.BytesIO(data)), io.BytesIO()
+    links = {r.get("Id"): r.get("Target").lstrip("/") for r in ET.fromstring(old.read("xl/_rels/workbook.xml.rels"))}
+    parts = {}
+    for sheet in ET.fromstring(old.read("xl/workbook.xml")).iter(SHEET + "sheet"):
+        part = links[sheet.get(REL + "id")]
+        parts[part if part.startswith("xl/") else f"xl/{part}"] = sheet.get("name")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            content = old.read(name)
+            if name in parts:
+                root = ET.fromstring(content)
+                for row in root.iter(SHEET + "row"):
+                    text = targets.get(f"{parts[name]}:{row.get('r')}")
+                    if text is None:
+                        continue
+                    ref, at = f"{target}{row.get('r')}", _column(target)
+                    cells = {c.get("r"): c for c in row.findall(SHEET + "c")}
+                    cell = cells.get(ref)
+                    if cell is None:
+                        cell = ET.Element(SHEET + "c", {"r": ref})
+                        row.insert(sum(_column(r) < at for r in cells), cell)
+                    for x in list(cell):
+                        cell.remove(x)
+                    cell.set("t", "inlineStr")
+                    ET.SubElement(ET.SubElement(cell, SHEET + "is"), SHEET + "t").text = text
+                content = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            new.writestr(old.getinfo(name), content)
+    return out.getvalue()
+
+
+def docx_with_targets(data: bytes, targets: dict[str, str]) -> bytes:
+    """A word-processor file with the runs of the given paragraphs rebuilt; markers switch bold, italic and underline."""
+    for prefix, uri in set(re.findall(rb'xmlns:(\w+)="([^"]+)"', b"".join(zipfile.ZipFile(io.BytesIO(data)).read(n) for n in zipfile.ZipFile(io.BytesIO(data)).namelist() if n.startswith("word/") and n.endswith(".xml")))):
+        ET.register_namespace(prefix.decode(), uri.decode())
+    old, out = zipfile.ZipFile(io.BytesIO(data)), io.BytesIO()
+
+    def fill(paragraph: ET.Element, text: str) -> None:
+        for x in [x for x in paragraph if x.tag != WORD + "pPr"]:
+            paragraph.remove(x)
+        look, at = [], 0
+        for m in [*_MARKER.finditer(text), None]:
+            if piece := text[at : m.start() if m else len(text)]:
+                run = ET.SubElement(paragraph, WORD + "r")
+                style = ET.SubElement(run, WORD + "rPr")
+                for k in look:
+                    ET.SubElement(style, WORD + k, {WORD + "val": "single"} if k == "u" else {})
+                ET.SubElement(run, WORD + "t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = piece
+            if m:
+                name, at = m[3].strip("⟨⟩/"), m.end()
+                look = [k for k in look if k != name] if m[2].startswith("/") else [*look, name] if name in ("b", "i", "u") else look
+
+    def walk(parent: ET.Element, path: str) -> None:
+        p = t = 0
+        for x in parent:
+            if x.tag == WORD + "p":
+                if f"{path}.p{p}" in targets:
+                    fill(x, targets[f"{path}.p{p}"])
+                p += 1
+            elif x.tag == WORD + "tbl":
+                for r, row in enumerate(x.findall(WORD + "tr")):
+                    for c, cell in enumerate(row.findall(WORD + "tc")):
+                        walk(cell, f"{path}.t{t}.r{r}.c{c}")
+                t += 1
+
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            content = old.read(name)
+            if m := re.fullmatch(r"word/(document|(?:header|footer)\d*)\.xml", name):
+                root = ET.fromstring(content)
+                walk(*((root.find(WORD + "body"), "body") if m[1] == "document" else (root, f"{re.match('[a-z]+', m[1]).group()}.{m[1]}")))
+                content = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            new.writestr(old.getinfo(name), content)
+    return out.getvalue()
+
+
+WRITERS = {"xlsx": xlsx_with_targets, "docx": docx_with_targets, "lines": lines_with_targets, "xliff": xliff_with_targets}
 
 
 def write_back(files: DataFrame, results: DataFrame, kind: str) -> DataFrame:

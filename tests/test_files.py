@@ -39,6 +39,8 @@ def test_xlsx():
         "xl/sharedStrings.xml": '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><r><t>剣</t></r><r><t>士</t></r></si></sst>',
     }
     assert list(files.parse_xlsx(zipped(**parts), "f")) == [{"id": "1", "source": "剣士", "target": "5", "context": "S:2", "note": "memo"}]
+    out = sinks.xlsx_with_targets(zipped(**parts), {"S:2": "剑士", "S:9": "no row"})
+    assert [r["target"] for r in files.parse_xlsx(out, "f")] == ["剑士"] and [r["source"] for r in files.parse_xlsx(out, "f")] == ["剣士"]
 
 
 def test_docx():
@@ -49,6 +51,9 @@ def test_docx():
     rows = list(files.parse_docx(data, "f"))
     assert [x["id"] for x in rows] == ["body.p0", "body.p1", "body.t0.r0.c0.p0", "header.header1.p0"]
     assert rows[1]["source"] == "文<tag id='1' type='fmt' desc='⟨b⟩'/>太<tag id='2' type='/fmt' desc='⟨/b⟩'/>" and rows[1]["context"] == "章"
+    new = {"body.p1": "译<tag id='1' type='fmt' desc='⟨b⟩'/>粗<tag id='2' type='/fmt' desc='⟨/b⟩'/>", "body.t0.r0.c0.p0": "格", "header.header1.p0": "头"}
+    again = {x["id"]: x["source"] for x in files.parse_docx(sinks.docx_with_targets(data, new), "f")}
+    assert again == {"body.p0": "章", **new}
 
 
 def test_xliff_round_trip(spark):
