@@ -102,7 +102,12 @@ def features(text: str, limits: frozenset[int], closing: frozenset[str]) -> list
     ]
     if short and not ends:
         out += [f"shape={shape(line)}", f"start={line[:2]}", f"start3={line[:3]}", f"close={line[-2:]}", f"bullet={line[:2] in ('・', '* ', '- ') or line[:1] in '・•※#＃■◆'}"]
-        words = line.lower().split()
+        words, before = line.lower().split(), t[: len(t) - len(line)].rstrip()
+        above = not before or before[-1] in SENTENCE_ENDS + CLOSERS + ">"
+        tail = line.split()[-1]
+        label = bool(re.match(r"[^\s:：]{1,10}[:：]", line))
+        out.append(f"sign={min(len(words), 4)}|capital={tail[:1].isupper()}|label={label}|bullet={line[0] in '・•※*-#＃■◆'}|above={above}|latin={last in ('lower', 'upper')}")
+        out.append(f"capital={tail[:1].isupper()}|words={min(len(words), 4)}|latin={last in ('lower', 'upper')}")
         out += [f"whole={line.lower()}"] + ([f"word={words[0]}|{words[-1]}"] if words and len(words) <= 4 else [])
     return out
 
