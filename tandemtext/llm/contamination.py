@@ -36,7 +36,7 @@ class Passages:
     extra: int = 4
     bits: int = 30
     probes: int = 3
-    cosine: float = 0.95
+    cosine: float = 0.98
 
     @property
     def length(self) -> int:
