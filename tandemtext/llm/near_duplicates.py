@@ -315,14 +315,20 @@ def _class_keys(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return scan
 
 
-def _folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        columns = []
-        for c in ("s", "t"):
-            points, at = fold_batch(b.column(c).to_pylist())
-            whole = points.tobytes().decode("utf-32-le", "surrogatepass")
-            columns.append(pa.array([whole[at[i] : at[i + 1]] for i in range(b.num_rows)]))
-        yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["cid", "s", "t"])
+def _folded_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The folded fields of the records that _class_keys() gives a key."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, rows = [], None
+            for c in ("s", "t"):
+                points, at = fold_batch(b.column(c).to_pylist())
+                rows = np.nonzero(np.diff(at) >= least)[0] if rows is None else rows
+                whole = points.tobytes().decode("utf-32-le", "surrogatepass")
+                columns.append(pa.array([whole[at[i] : at[i + 1]] for i in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), *columns], ["cid", "s", "t"])
+
+    return scan
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str, least: int = 45, part: Partition | None = None) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +351,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("cid"))
     members = durable(keyed.join(classes, ["k1", "k2"]).select("cid", "id"), "near-members")
     copies = members.where("cid <> id").select("id")
-    texts = durable(sized_join(long, copies, "id", "left_anti").mapInArrow(_folded_rows, "cid bigint, s string, t string"), "near-texts")
+    texts = durable(sized_join(long, copies, "id", "left_anti").mapInArrow(_folded_rows(least), "cid bigint, s string, t string"), "near-texts")
 
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for cid, h, owner, size in _blocks(iter([batch])):

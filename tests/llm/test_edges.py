@@ -91,6 +91,15 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "entry_id", "s", "t").count() == 0
 
 
+def test_short_folded_records_are_left_out_of_links(spark):
+    """Records long enough only by tag markers, punctuation and blanks are no partners."""
+    text = SENTENCE.replace("。", "").replace("、", "")[:46]
+    rows = [(1, text, "t" * 50), (2, text[:44] + "。" * 20, "t" * 50), (3, text[:44] + "<tag id='1' type='br' desc='x'/>", "t" * 50), (4, text + "緑", "t" * 50)]
+    df = spark.createDataFrame(rows, "entry_id bigint, s string, t string")
+    got = sorted((r["id"], r["cid"], r["links"]) for r in near_duplicates.near_duplicate_links(df, "entry_id", "s", "t").collect())
+    assert got == [(1, 1, 1), (4, 4, 1)]
+
+
 def test_partition_loses_no_pair():
     """Any two sets at the threshold share a key that the larger one looks for."""
     rng, part = np.random.default_rng(2), near_duplicates.Partition(slots=1 << 10)
