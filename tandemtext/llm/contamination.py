@@ -27,6 +27,8 @@ class Passages:
     the `spread` around it, which depends on nearby text only. Its length is run - 2 * spread - 2, so each shared run holds at
     least one whole passage that begins alike in both texts. features: hashed 3-grams; rank: latent dimensions; bits: signs
     that make a bucket; probes: near signs that are flipped to look into further buckets; cosine: least cosine of candidates.
+    overlap: least part of an item that makes a paraphrase. share: least TF-IDF weight of an item's 3-grams, over that of all of
+    them, in a part of a document that is looked through for one. block: distance of the places where such parts begin.
     """
 
     run: int = 70
@@ -37,6 +39,9 @@ class Passages:
     bits: int = 30
     probes: int = 3
     cosine: float = 0.98
+    overlap: float = 0.6
+    share: float = 0.2
+    block: int = 16
 
     @property
     def length(self) -> int:
@@ -180,6 +185,105 @@ class Retriever:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
+class Paraphrases:
+    """Parts of documents that share much of an item's TF-IDF weight, and their longest common subsequences with it.
+
+    A part is as long as one and a half items and begins at every how.block-th code point. Its share is summed over blocks from
+    the items of each feature, so that all parts and items are compared, without buckets.
+    """
+
+    def __init__(self, points: np.ndarray, offsets: np.ndarray, whole: str, idf: np.ndarray, how: Passages) -> None:
+        self.how, self.size = how, np.diff(offsets)
+        self.texts = [whole[offsets[i] : offsets[i + 1]] for i in range(len(self.size))]
+        owner = np.repeat(np.arange(len(self.size)), self.size)[: max(0, len(points) - 2)]
+        f = grams(points, how.features)
+        inside = np.arange(len(f)) + 2 < offsets[1:][owner] if len(f) else np.zeros(0, bool)
+        both = np.unique(f[inside] * len(self.size) + owner[inside])
+        f, self.items = both // max(1, len(self.size)), both % max(1, len(self.size))
+        self.first = np.searchsorted(f, np.arange(how.features + 1))
+        weight = idf.astype(np.float64) ** 2
+        self.weight = weight[f]
+        self.least = np.maximum(how.share * np.bincount(self.items, self.weight, len(self.size)), 1e-9)
+        self.reach = -(-(self.size + self.size // 2) // how.block) + 1  # blocks that hold a part, wherever it begins in the first
+        self.masks: list[dict[str, int]] = []
+        for t in self.texts:
+            places: dict[str, int] = {}
+            for i, ch in enumerate(t):
+                places[ch] = places.get(ch, 0) | 1 << i
+            self.masks.append(places)
+
+    def search(self, points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The documents with candidates, the blocks where their parts begin, and their items."""
+        n, block = len(self.size), self.how.block
+        size = np.diff(offsets)
+        blocks = -(-size // block)
+        ends = np.cumsum(blocks)
+        f = grams(points, self.how.features)
+        a = 0
+        while a < len(size) and n:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + max(1, 2_000_000 // n), "right")))
+            at = np.arange(offsets[a], min(offsets[z], len(f)))
+            doc = np.repeat(np.arange(a, z), size[a:z])[: len(at)]
+            at, doc = at[at + 2 < offsets[doc + 1]], doc[at + 2 < offsets[doc + 1]]
+            base = ends[a] - blocks[a]
+            row = ends[doc] - blocks[doc] - base + (at - offsets[doc]) // block
+            lo = self.first[f[at]]
+            times = self.first[f[at] + 1] - lo
+            place = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            total = int(ends[z - 1] - base)
+            sums = np.zeros((total + 1, n))
+            sums[1:] = np.bincount(np.repeat(row, times) * n + self.items[place], self.weight[place], total * n).reshape(total, n)
+            np.cumsum(sums, axis=0, out=sums)
+            of = np.repeat(np.arange(a, z), blocks[a:z])
+            last = ends[of] - base
+            rows, items = [], []
+            for reach in np.unique(self.reach):
+                mine = np.nonzero(self.reach == reach)[0]
+                part = sums[:, mine]
+                r, i = np.nonzero(part[np.minimum(np.arange(total) + reach, last)] - part[:-1] >= self.least[mine])
+                rows.append(r)
+                items.append(mine[i])
+            r, i = np.concatenate(rows), np.concatenate(items)
+            order = np.argsort(r, kind="stable")
+            r, i = r[order], i[order]
+            fit = (size[of[r]] >= self.how.overlap * self.size[i]) & (self.size[i] > 0)
+            r, i = r[fit], i[fit]
+            new = np.nonzero(np.diff(of[r], prepend=-1))[0]
+            for x, y in zip(new, np.append(new[1:], len(r))[: len(new)], strict=True):
+                d = int(of[r[x]])
+                yield d, r[x:y] - int(ends[d] - blocks[d] - base), i[x:y]
+            a = z
+
+    def overlaps(self, text: str, blocks: np.ndarray, items: np.ndarray) -> dict[int, float]:
+        """For each item the largest part of it that is a subsequence of one of the text's parts; all items at once, side by side in one number."""
+        chosen = sorted(set(items.tolist()), key=lambda i: -self.size[i])
+        shift, full, upto = 0, [0], [0]
+        places: dict[str, int] = dict.fromkeys(text, 0)
+        for i in chosen:  # the longest lies lowest, a free bit above each takes its carry
+            mine = self.masks[i]
+            for ch in mine.keys() & places.keys():
+                places[ch] |= mine[ch] << shift
+            full.append(full[-1] | ((1 << int(self.size[i])) - 1) << shift)
+            shift += int(self.size[i]) + 1
+            upto.append(shift)
+        best = dict.fromkeys(chosen, 0)
+        row = [places[ch] for ch in text]
+        for b in np.unique(blocks).tolist():
+            k, v, done, a = len(chosen), full[-1], 0, b * self.how.block
+            while k:  # the shortest is ready first
+                i = chosen[k - 1]
+                n, keep = int(self.size[i]), full[k]
+                stop = n + n // 2
+                for m in row[a + done : a + stop]:
+                    u = v & m
+                    v = ((v + u) | (v - u)) & keep
+                done = stop
+                best[i] = max(best[i], n - (v >> upto[k - 1]).bit_count())
+                k -= 1
+                v &= full[k]
+        return {i: x / int(self.size[i]) for i, x in best.items()}
+
+
 def common_run(a: str, i: int, b: str, j: int) -> int:
     """Length of the longest run that two texts share along the diagonal through these places, around a common character."""
     if i >= len(a) or j >= len(b) or a[i] != b[j]:
@@ -206,15 +310,19 @@ def subsequence(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer", how: Passages | None = None, most_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer", how: Passages | None = None, most_items: int = 20_000, overlaps: bool = True) -> DataFrame:
     """Documents that carry passages of evaluation items: `doc_id, item_id, run, overlap, answered, cosine`.
 
     Passages begin at places chosen by their own text and are embedded by TF-IDF and a randomised SVD fitted over the whole
     corpus. A candidate is a document passage in the bucket (or a near one) of an item passage with a cosine over the
     threshold; as equal passages have equal vectors, none that holds a shared run of how.run code points is missed. Each candidate
     is checked on the folded texts: `run` is the longest common run found through its passages, `overlap` the longest common
-    subsequence of the item and the part of the document around it, over the item's length, `answered` whether the item's answer
-    stands in the document. Rows have a run of at least how.run, or an overlap of 0.6 (a paraphrase).
+    subsequence of the item and a part of the document one and a half times as long, over the item's length, `answered` whether
+    the item's answer stands in the document. Rows have a run of at least how.run, or an overlap of how.overlap (a paraphrase).
+
+    The latent vectors of texts made of few patterns are too alike to tell a paraphrase, so the parts looked through for overlaps
+    are chosen by TF-IDF before the reduction (Paraphrases); a part with less than how.share of an item's weight is not looked
+    at. Where no passage was found, `run` is 0 and `cosine` null. overlaps=False gives the rows with a run only, `overlap` null.
 
     The items are collected and broadcast behind a check: above `most_items` items, or 64 million characters, they are searched in
     blocks of that size, one pass over the corpus each. Null and empty texts carry nothing; items shorter than a passage are never found; items with
@@ -225,46 +333,55 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"), F.coalesce(F.col(answer), F.lit("")).alias("a")).where("i is not null")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     parts = max(1, -(-n // most_items), -(-chars // 64_000_000))
-    _, coordinates = fit_space(corpus, how)
+    idf, coordinates = fit_space(corpus, how)
     out = None
     for part in range(parts):
         some = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        found = _search(corpus, [tuple(r) for r in some.orderBy("i").collect()], coordinates, how)
+        found = _search(corpus, [tuple(r) for r in some.orderBy("i").collect()], coordinates, idf if overlaps else None, how)
         out = found if out is None else out.unionByName(found)
     return durable(out, "leaks")
 
 
-def _search(corpus: DataFrame, items: list[tuple[int, str, str]], coordinates: np.ndarray, how: Passages) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast((items, coordinates))
-    made: list[Retriever] = []
+def _search(corpus: DataFrame, items: list[tuple[int, str, str]], coordinates: np.ndarray, idf: np.ndarray | None, how: Passages) -> DataFrame:
+    """idf: where overlaps are wanted, the weights of the features."""
+    shared = corpus.sparkSession.sparkContext.broadcast((items, coordinates, idf))
+    made: list[tuple[Retriever, Paraphrases | None]] = []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        retriever = made[0] if made else Retriever(*shared.value, how)
-        made[:] = [retriever]
+        if not made:
+            r = Retriever(*shared.value[:2], how)
+            made.append((r, None if idf is None else Paraphrases(r.points, r.offsets, r.whole, shared.value[2], how)))
+        retriever, paraphrases = made[0]
         for b in batches:
             points, offsets = fold_batch(b.column("t").to_pylist())
             at, passage, cosine = retriever.search(points, offsets)
-            rows: dict[tuple[int, int], list[float]] = {}
-            whole = points.tobytes().decode("utf-32-le", "surrogatepass") if len(at) else ""
+            rows: dict[tuple[int, int], list] = {}
+            whole = points.tobytes().decode("utf-32-le", "surrogatepass")
             doc = np.searchsorted(offsets, at, "right") - 1
             item = retriever.owner[passage] if len(at) else passage
-            first: dict[tuple[int, int], tuple[int, int]] = {}
+            places: dict[int, set[tuple[int, int]]] = {}
             for place, p, c, d, i in zip(at.tolist(), passage.tolist(), cosine.tolist(), doc.tolist(), item.tolist(), strict=True):
                 o, q = int(offsets[d]), int(retriever.offsets[i])
                 a, z = whole[o : int(offsets[d + 1])], retriever.whole[q : int(retriever.offsets[i + 1])]
-                best = rows.setdefault((d, i), [0, 0.0])
-                first.setdefault((d, i), (place - o, int(retriever.at[p]) - q))
+                best = rows.setdefault((d, i), [0, None, 0.0])
+                x, y = place - o, int(retriever.at[p]) - q
+                if paraphrases:  # the parts that hold the item if it lies around this passage
+                    places.setdefault(d, set()).update((k, i) for k in range(max(0, (x - y - len(z) // 2) // how.block), max(0, x - y) // how.block + 1))
                 if best[0] < how.run:
-                    best[0] = max(best[0], common_run(a, place - o, z, int(retriever.at[p]) - q))
-                best[1] = max(best[1], c)
+                    best[0] = max(best[0], common_run(a, x, z, y))
+                best[2] = max(best[2], c)
+            if paraphrases:
+                for d, blocks, found in paraphrases.search(points, offsets):
+                    places.setdefault(d, set()).update(zip(blocks.tolist(), found.tolist(), strict=True))
+                for d, some in places.items():
+                    blocks, found = np.array(sorted(some)).T
+                    for i, overlap in paraphrases.overlaps(whole[int(offsets[d]) : int(offsets[d + 1])], blocks, found).items():
+                        rows.setdefault((d, i), [0, None, None])[1] = overlap
             out: list[tuple] = []
             ids = b.column("id").to_pylist()
-            for (d, i), (run, c) in rows.items():
-                a, z = whole[int(offsets[d]) : int(offsets[d + 1])], retriever.whole[int(retriever.offsets[i]) : int(retriever.offsets[i + 1])]
-                x, y = first[d, i]
-                around = a[max(0, x - y - len(z) // 4) : x - y + len(z) + len(z) // 4]
-                overlap = subsequence(z, around) / max(1, len(z))
-                if run >= how.run or overlap >= 0.6:
+            for (d, i), (run, overlap, c) in rows.items():
+                if run >= how.run or (overlap or 0) >= how.overlap:
+                    a = whole[int(offsets[d]) : int(offsets[d + 1])]
                     out.append((ids[d], retriever.ids[i], run, overlap, bool(retriever.answers[i]) and retriever.answers[i] in a, c))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.float64())

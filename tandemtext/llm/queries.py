@@ -64,7 +64,7 @@ def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), overlaps=False)
     return found.where(F.col("run") >= contamination.Passages().run).select("doc_id", "item_id")
 
 

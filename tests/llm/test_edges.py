@@ -135,6 +135,20 @@ def test_leaks(spark):
         assert contamination.leaks(a, b).count() == 0
 
 
+def test_paraphrases_are_found(spark):
+    """Every fifth code point is another, or half of each dozen: no run of a passage's length is left."""
+    item = SENTENCE.replace("。", "").replace("、", "") + LONG[3000:3080]
+    single = "".join("違" if k % 5 == 4 else ch for k, ch in enumerate(item))
+    pieces = "".join(item[k : k + 8] + "別の話を" for k in range(0, len(item), 12))
+    docs = spark.createDataFrame([(1, LONG[:500] + single + LONG[500:900]), (2, pieces), (3, LONG[:900]), (4, "x" + item)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, item, "緑の硬貨")], "item_id bigint, text string, answer string")
+    got = {r["doc_id"]: r for r in contamination.leaks(docs, items).collect()}
+    assert set(got) == {1, 2, 4} and [got[k]["run"] for k in (1, 2)] == [0, 0] and got[4]["run"] == len(item)
+    for k, text in ((1, single), (2, pieces)):
+        assert got[k]["overlap"] >= contamination.subsequence(item, text) / len(item) - 0.05
+    assert {r["doc_id"] for r in contamination.leaks(docs, items, overlaps=False).collect()} == {4}
+
+
 def test_subsequence():
     for a, b in itertools.product(["", "abcab", "xaybz", "bbb"], repeat=2):
         row = [0] * (len(b) + 1)
