@@ -114,8 +114,8 @@ class FingerprintIndex:
     """Sorted immutable runs of the anchor hashes of all windows seen so far, each with the record it stands in.
 
     append() writes the hashes of a batch of records as a new run of level 0, sorted by hash within hash partitions; compact()
-    merges the runs of a level that has `fanout` of them into one of the next level; shared() merges all runs and gives the hashes that stand in two
-    records. Runs are written once and never changed; the manifest names the ones that count, so a job that dies leaves the
+    merges the runs of a level that has `fanout` of them into one of the next level; shared() gives the hashes that stand in two
+    records, of all runs or of newly appended ones joined with all. Runs are written once and never changed; the manifest names the ones that count, so a job that dies leaves the
     former state. open() goes on with the newest manifest in the folder.
     """
 
@@ -146,10 +146,12 @@ class FingerprintIndex:
     def _read(self, runs: list[tuple[int, str]]) -> DataFrame:
         return self.spark.read.schema("h bigint, rid bigint").parquet(*[f"{self.path}/{name}" for _, name in runs])
 
-    def append(self, records: DataFrame) -> None:
-        """Adds the records `rid, text` as one run; compacts where a level is full."""
-        self._commit([*self.runs, self._write(records.mapInArrow(_postings(self.span, self.anchor), "h bigint, rid bigint"), 0)])
+    def append(self, records: DataFrame) -> tuple[int, str]:
+        """Adds the records `rid, text` as one run, which is given back; compacts where a level is full. A merged run's files stay."""
+        run = self._write(records.mapInArrow(_postings(self.span, self.anchor), "h bigint, rid bigint"), 0)
+        self._commit([*self.runs, run])
         self.compact()
+        return run
 
     def compact(self) -> None:
         level = 0
@@ -163,13 +165,16 @@ class FingerprintIndex:
     def postings(self) -> DataFrame:
         return self._read(self.runs)
 
-    def shared(self) -> DataFrame:
-        """The hashes that stand in two records; each record of a hot hash is folded in before the shuffle."""
-        return self.postings().groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("h")
+    def shared(self, fresh: list[tuple[int, str]] | None = None) -> DataFrame:
+        """The hashes that stand in two records, one of them in the `fresh` runs if given; each record of a hot hash is folded in before the shuffle."""
+        postings = self.postings()
+        if fresh is not None:
+            postings = postings.join(self._read(fresh).select("h").distinct().hint("merge"), "h", "left_semi")
+        return postings.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("h")
 
-    def candidates(self) -> DataFrame:
-        """Records with hashes that also stand elsewhere: `rid, hs`."""
-        return self.postings().join(self.shared(), "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("hs"))
+    def candidates(self, fresh: list[tuple[int, str]] | None = None) -> DataFrame:
+        """Records with hashes that also stand elsewhere, as in shared(): `rid, hs`."""
+        return self.postings().join(self.shared(fresh), "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("hs"))
 
 
 def _window_rows(span: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -211,7 +216,7 @@ def _verified(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return scan
 
 
-def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHOR, index: FingerprintIndex | None = None) -> DataFrame:
+def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHOR, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """For the records (DataFrames `rid, text`, one per batch) which stretches also stand, unchanged, in another record.
 
     Each batch is appended to the fingerprint index; the hashes of the index that stand in two records name candidate
@@ -219,6 +224,10 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
     gets a partner record and is verified against its text; verified windows are joined to maximal runs of shared characters. Of
     records with one and the same text (128-bit hash) only the first takes part in this; all of them share every long stretch.
 
+    An index that already holds records goes on: the hashes of the new batches are joined with all runs, and spans shared with an
+    earlier record count. The index keeps no texts, so `history` must give the earlier records (`rid, text`); without it, or
+    where it lacks one that is needed, a ValueError is raised. Only spans of this call's records are returned.
+
     Returns `rid, span_start, span_len`: code points, span_start from 1. No sampling: every window of every record takes part
     (equal windows have equal anchors). A text on a third of all rows is folded to its least and greatest record before every
     shuffle, and joins on hashes or partners can be split by adaptive execution.
@@ -229,14 +238,23 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
     """
     spark = records[0].sparkSession
     index = index or FingerprintIndex(spark, span=span, anchor=anchor)
+    going_on = bool(index.runs)
+    if going_on and history is None:
+        raise ValueError("the index holds earlier records: their texts are needed as history")
     records = [r.select(F.col("rid").cast("bigint").alias("rid"), "text").where(F.col("rid").isNotNull() & (F.length("text") >= span)) for r in records]
-    for r in records:
-        index.append(r)
+    fresh = [index.append(r) for r in records]
     every = records[0]
     for r in records[1:]:
         every = every.unionByName(r)
+    own = every.select("rid")
+    candidates = index.candidates()
+    if going_on:
+        every = every.unionByName(history.select(F.col("rid").cast("bigint").alias("rid"), "text").join(own, "rid", "left_anti"))
+        candidates = durable(index.candidates(fresh), "span-hashes")
+        if missing := candidates.join(every.select("rid"), "rid", "left_anti").count():
+            raise ValueError(f"history lacks {missing} earlier records that share hashes with new ones")
     t1, t2 = hash128(F.col("text"))
-    chosen = durable(every.join(index.candidates(), "rid").select("rid", "text", "hs", t1.alias("t1"), t2.alias("t2")), "span-candidates")
+    chosen = durable(every.join(candidates, "rid").select("rid", "text", "hs", t1.alias("t1"), t2.alias("t2")), "span-candidates")
     members = durable(
         chosen.select("rid", "t1", "t2").join(chosen.groupBy("t1", "t2").agg(F.min("rid").alias("rep"), (F.count("*") > 1).alias("copied")), ["t1", "t2"]).select("rid", "rep", "copied"),
         "span-copies",
@@ -254,6 +272,8 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
     per = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     merged = per.select("rid", F.explode(_merged("spans")).alias("m")).select("rid", "m.start", "m.stop").unionByName(whole)
     every_copy = merged.withColumnRenamed("rid", "rep").join(members.select("rid", "rep"), "rep")
+    if going_on:
+        every_copy = every_copy.join(own, "rid", "left_semi")
     return every_copy.select("rid", (F.col("start") + 1).cast("bigint").alias("span_start"), (F.col("stop") - F.col("start")).cast("bigint").alias("span_len"))
 
 

@@ -82,6 +82,25 @@ def test_index_is_compacted_and_reopened(spark, tmp_path):
     assert {r["rid"] for r in again.candidates().collect()} <= set(range(5))
 
 
+def test_spans_shared_with_a_reopened_index(spark, tmp_path):
+    """Batches one call at a time against the history give what all records at once give."""
+    a, b = LONG[:300], LONG[300:500]
+    rows = [(1, a), (2, "x" + a[100:150] + "y"), (3, b), (4, b[:39]), (5, LONG[700:800]), (6, a), (7, b[50:120] + "z" + LONG[720:790]), (8, LONG[900:990]), (9, LONG[900:990]), (10, "q" + LONG[710:760])]
+    df = spark.createDataFrame(rows, "rid bigint, text string")
+    batches, path = [df.where("rid <= 3"), df.where("rid in (4, 5, 6)"), df.where("rid = 7"), df.where("rid >= 8")], str(tmp_path / "index")
+    shared_spans.shared_spans(batches[:1], index=shared_spans.FingerprintIndex(spark, path, fanout=2)).collect()
+    for k in (1, 2, 3):
+        seen = df.where(f"rid < {(4, 4, 7, 8)[k]}")
+        now = seen.unionByName(batches[k])
+        own = {r["rid"] for r in batches[k].collect()}
+        want = sorted(tuple(r) for r in shared_spans.shared_spans([now]).collect() if r["rid"] in own)
+        index = shared_spans.FingerprintIndex.open(spark, path, fanout=2)
+        assert want and sorted(map(tuple, shared_spans.shared_spans([batches[k]], index=index, history=seen).collect())) == want
+    for history in (None, df.where("rid < 3")):
+        with pytest.raises(ValueError):
+            shared_spans.shared_spans([df.where("rid = 3").withColumn("rid", F.lit(11))], index=shared_spans.FingerprintIndex.open(spark, path), history=history)
+
+
 def test_near_duplicates(spark):
     edited = SENTENCE.replace("緑", "赤")
     rows = [(1, SENTENCE, "t" * 50), (2, SENTENCE + "。", "t" * 50), (3, edited, None), (4, "短い", "t"), (5, None, None), (6, LONG, ""), (7, LONG[:-20], ""), (8, "あ" * 60, ""), (9, "あ" * 70, None), (None, SENTENCE, "t")]
