@@ -284,17 +284,17 @@ class Paraphrases:
         return {i: x / int(self.size[i]) for i, x in best.items()}
 
 
-def common_run(a: str, i: int, b: str, j: int) -> int:
-    """Length of the longest run that two texts share along the diagonal through these places, around a common character."""
+def common_run(a: str, i: int, b: str, j: int) -> tuple[int, int]:
+    """Where in `a` the longest run begins that two texts share along the diagonal through these places, around a common character, and its end."""
     if i >= len(a) or j >= len(b) or a[i] != b[j]:
-        return 0
+        return i, i
     x = 0
     while x < min(i, j) and a[i - x - 1] == b[j - x - 1]:
         x += 1
     y = 0
     while y < min(len(a) - i, len(b) - j) and a[i + y] == b[j + y]:
         y += 1
-    return x + y
+    return i - x, i + y
 
 
 def subsequence(a: str, b: str) -> int:
@@ -360,6 +360,7 @@ def _search(corpus: DataFrame, items: list[tuple[int, str, str]], coordinates: n
             doc = np.searchsorted(offsets, at, "right") - 1
             item = retriever.owner[passage] if len(at) else passage
             places: dict[int, set[tuple[int, int]]] = {}
+            covered: dict[tuple[int, int, int], tuple[int, int]] = {}  # the last run on each diagonal
             for place, p, c, d, i in zip(at.tolist(), passage.tolist(), cosine.tolist(), doc.tolist(), item.tolist(), strict=True):
                 o, q = int(offsets[d]), int(retriever.offsets[i])
                 a, z = whole[o : int(offsets[d + 1])], retriever.whole[q : int(retriever.offsets[i + 1])]
@@ -367,8 +368,10 @@ def _search(corpus: DataFrame, items: list[tuple[int, str, str]], coordinates: n
                 x, y = place - o, int(retriever.at[p]) - q
                 if paraphrases:  # the parts that hold the item if it lies around this passage
                     places.setdefault(d, set()).update((k, i) for k in range(max(0, (x - y - len(z) // 2) // how.block), max(0, x - y) // how.block + 1))
-                if best[0] < how.run:
-                    best[0] = max(best[0], common_run(a, x, z, y))
+                begin, end = covered.get((d, i, x - y), (0, 0))
+                if not begin <= x < end:
+                    begin, end = covered[d, i, x - y] = common_run(a, x, z, y)
+                    best[0] = max(best[0], end - begin)
                 best[2] = max(best[2], c)
             if paraphrases:
                 for d, blocks, found in paraphrases.search(points, offsets):

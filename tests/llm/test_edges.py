@@ -168,6 +168,13 @@ def test_paraphrases_are_found(spark):
     assert {r["doc_id"] for r in contamination.leaks(docs, items, overlaps=False).collect()} == {4}
 
 
+def test_the_longest_of_several_runs_is_given(spark):
+    item = LONG[1000:1400]
+    docs = spark.createDataFrame([(1, item[:80] + "違" * 30 + item[90:390]), (2, item[300:] + "違" * 30 + item[:250])], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, item, "")], "item_id bigint, text string, answer string")
+    assert {r["doc_id"]: r["run"] for r in contamination.leaks(docs, items).collect()} == {1: 300, 2: 250}
+
+
 def test_subsequence():
     for a, b in itertools.product(["", "abcab", "xaybz", "bbb"], repeat=2):
         row = [0] * (len(b) + 1)
