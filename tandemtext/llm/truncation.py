@@ -162,16 +162,16 @@ class TruncationModel:
         return np.where([bool(t and t.strip()) for t in texts], logistic.scores(rows, self.weights), 0.0)
 
 
-def field_limits(df: DataFrame, text: str, most: int = 32) -> frozenset[int]:
+def field_limits(df: DataFrame, text: str) -> frozenset[int]:
     """Lengths in code points or UTF-8 bytes that far more texts have than the lengths next to them; counted over all texts.
 
-    At most `most` are returned, the most frequent ones: this list is a report of the commonest limits and only one feature.
+    All of them are returned, whatever their length; only their significance bounds their number.
     """
     bare = F.length(F.regexp_replace(F.col(text), r"\s*(?:[\[［(（]?(?:…+|\.{3,}|続く?|续)[\]］)）]?)\s*$", ""))
-    both = df.select(F.explode(F.array_distinct(F.array(F.length(text), F.octet_length(text), bare))).alias("n")).where("n >= 100")
+    both = df.select(F.explode(F.array_distinct(F.array(F.length(text), F.octet_length(text), bare))).alias("n")).where("n > 0")
     counts = both.groupBy("n").agg(F.count("*").alias("c")).withColumn("b", F.floor(F.col("n") / 16))
     near = counts.groupBy("b").agg(F.sum("c").alias("s"), F.max("c").alias("m")).select("b", ((F.col("s") - F.col("m")) / 15).alias("mean"))
-    spikes = counts.join(near, "b").where("c >= 5 and c >= mean + 6 * sqrt(mean) + 4").orderBy(F.desc("c"), "n").limit(most)
+    spikes = counts.join(near, "b").where("c >= 5 and c >= mean + 6 * sqrt(mean) + 4").select("n")
     return frozenset(r["n"] for r in spikes.collect())
 
 

@@ -239,6 +239,14 @@ def test_label_model_beats_its_functions():
     assert abs(model.share - 0.05) < 0.02
 
 
+def test_all_field_limits_are_found(spark):
+    """Short ones and more than 32."""
+    limits = [64, 80, *range(200, 200 + 40 * 32, 32)]
+    lengths = [n for n in range(30, 1500) for _ in range(2)] + [n for n in limits for _ in range(40)]
+    df = spark.createDataFrame([("x" * n,) for n in lengths], "t string")
+    assert truncation.field_limits(df, "t") == set(limits)
+
+
 def test_truncation(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     more = spark.read.parquet(data.replace("0.001", "0.01") + "/documents.parquet")
