@@ -13,8 +13,9 @@ def hashed(features: list[str]) -> list[int]:
     return [0, *{1 + xxhash.xxh32_intdigest(f) % ((1 << BITS) - 1) for f in features}]
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 6, rate: float = 0.2, decay: float = 1e-4, least: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights by AdaGrad over shuffled mini-batches; features in fewer than `least` rows keep weight 0. The same rows give the same weights."""
+def fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, rate: float = 0.2, decay: float = 1e-4, least: int = 3, seed: int = 7) -> np.ndarray:
+    """Weights by AdaGrad over shuffled mini-batches of weighted rows; features in fewer than `least` rows keep weight 0. The same rows give the same weights."""
+    weights = weights / max(float(weights.mean()), 1e-9) if len(weights) else weights
     width = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.fromiter((i for r in rows for i in r), np.int64, int(width.sum()))
     known = np.nonzero(np.bincount(flat, minlength=1 << BITS) >= least)[0]
@@ -31,7 +32,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 6, rate: float
             places = np.concatenate([flat[at[i] : at[i + 1]] for i in pick])
             owner = np.repeat(np.arange(len(pick)), width[pick])
             z = np.bincount(owner, weights=w[places], minlength=len(pick))
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) * weights[pick]
             grad = np.bincount(places, weights=error[owner], minlength=len(w)) / len(pick) + decay * w
             g2 += grad * grad
             w -= rate * grad / np.sqrt(g2)

@@ -5,16 +5,18 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemtext.llm import logistic
+from tandemtext.session import durable
 
 #: Marks that stand for a rest, ends of sentences, and pairs of quotes and brackets.
 MARKS = re.compile(r"\s*(?:[\[［(（]\s*(?:…+|\.{3,}|‥+|続き?く?|续|下略|略|truncated|cut|more|cont(?:inued|\.)?)\s*[\]］)）]?|…+|‥+|\.{3,}|～+続く|>>+|→)\s*$", re.IGNORECASE)
@@ -22,6 +24,7 @@ SENTENCE_ENDS = "。！？!?.．｡…‼⁉⁇"
 PAIRS = {"「": "」", "『": "』", "“": "”", "‘": "’", "（": "）", "(": ")", "[": "]", "［": "］", "【": "】", "《": "》", "〈": "〉", "«": "»"}
 CLOSERS = "".join(PAIRS.values()) + "\"'"
 ENTITY = re.compile(r"&#?[0-9A-Za-z]{0,8}$")
+WHOLE_TAG = re.compile(r"<tag\b[^<>]*/>$")
 PARTIAL_TAG = re.compile(r"<[a-z/]?[^<>]*$")
 
 
@@ -60,13 +63,45 @@ def shape(line: str) -> str:
     return "".join(out)
 
 
-SENTENCE_TAIL = re.compile(r"([A-Za-z]+|[^\sA-Za-z]{1,2})[。！？.!?]")
+#: A word, or up to two characters, right before the end of a sentence; the pattern holds in Java and in Python.
+SENTENCE_TAIL = r"([A-Za-z]+|[^\sA-Za-z]{1,2})[。！？.!?]"
+#: A last line of at most so many characters and without a sentence end may be a signature, a date, an end mark, a list item.
+SHORT_LINE = 28
 
 
-def closing_words(texts: list[str], least: int = 5, most: int = 5_000) -> frozenset[str]:
-    """Words, or pairs of characters, that often stand right before the end of a sentence in the sampled texts."""
-    counts = Counter(w.lower() for t in texts for w in SENTENCE_TAIL.findall(t))
-    return frozenset(w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least)
+@dataclass(frozen=True)
+class Closings:
+    """What the whole corpus closes with, each found in at least a given share of it.
+
+    words: before the ends of sentences; lines, heads and tails: short last lines without a sentence end (digits levelled), the
+    first three and the last two characters of such lines.
+    """
+
+    words: frozenset[str] = frozenset()
+    lines: frozenset[str] = frozenset()
+    heads: frozenset[str] = frozenset()
+    tails: frozenset[str] = frozenset()
+
+
+def closings(df: DataFrame, text: str, share: float = 2e-4, word_share: float = 4e-5, least: int = 3) -> Closings:
+    """Counted over all texts. A relative cutoff bounds each set (5,000 lines, heads, tails, 25,000 words) at any size of the corpus.
+
+    Partial counts come before the shuffle; what the driver gets is bounded by the shares.
+    """
+    t = F.col(text)
+    line = F.lower(F.regexp_replace(F.regexp_extract(F.regexp_replace(t, r"[\s\uFEFF\u200B\x00\u3000\u00A0]+$", ""), r"([^\n]*)$", 1), r"[0-9]", "0"))
+    short = (F.length(line) <= SHORT_LINE) & (F.length(line) > 0) & ~line.rlike("[" + SENTENCE_ENDS.replace(".", "\\.") + "]")
+    entry = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
+    ends = F.array_compact(F.array(entry("all", F.lit("")), *[F.when(short, entry(k, v)) for k, v in (("line", line), ("head", F.substring(line, 1, 3)), ("tail", F.substring(line, -2, 2)))]))
+    words = F.transform(F.regexp_extract_all(t, F.lit(SENTENCE_TAIL), F.lit(1)), lambda x: entry("word", F.lower(x)))
+    counted = df.where(t.isNotNull()).select(F.explode(F.concat(words, ends)).alias("e")).select("e.kind", "e.x").groupBy("kind", "x").agg(F.count("*").alias("n"))
+    counted = durable(counted, "closings")
+    totals = {r["kind"]: r["n"] for r in counted.where("kind in ('all', 'word')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    cutoff = F.when(F.col("kind") == "word", max(least, word_share * totals.get("word", 0))).otherwise(max(least, share * totals.get("all", 0)))
+    sets: dict[str, set[str]] = {"word": set(), "line": set(), "head": set(), "tail": set()}
+    for r in counted.where((F.col("kind") != "all") & (F.col("n") >= cutoff)).collect():
+        sets[r["kind"]].add(r["x"])
+    return Closings(*(frozenset(sets[k]) for k in ("word", "line", "head", "tail")))
 
 
 def closing_word(body: str) -> str:
@@ -75,7 +110,7 @@ def closing_word(body: str) -> str:
     return m.group().lower() if m else body[-2:]
 
 
-def features(text: str, limits: frozenset[int], closing: frozenset[str]) -> list[str]:
+def features(text: str, limits: frozenset[int], closing: Closings) -> list[str]:
     """What the end of a text looks like: closing characters, marks, open quotes, tags and entities, last line, length to a limit."""
     t = text.rstrip().rstrip("﻿​\x00").rstrip()
     if not t:
@@ -92,16 +127,19 @@ def features(text: str, limits: frozenset[int], closing: frozenset[str]) -> list
     partial = bool(tag and (tag.group().startswith(("<tag", "<t", "</")) or len(tag.group()) == 1))
     entity = ENTITY.search(t)
     lengths = {len(text), len(t), len(body), len(text.encode("utf-8", "surrogatepass"))}
-    short, limit, closes = len(line) <= 28, bool(lengths & limits), closing_word(body) in closing
+    short, limit, closes = len(line) <= SHORT_LINE, bool(lengths & limits), closing_word(body) in closing.words
     ends = sum(c in SENTENCE_ENDS for c in line)
     out = [
         f"last={last}", f"mark={m}", f"mark={m}|last={last}", f"ended={ended}|mark={bool(m)}", f"open={inside[-1:]}|ended={ended}", f"open={bool(inside)}",
-        f"tag={partial}", f"entity={bool(entity)}", f"cut={t[-1] in '�' or 0xD800 <= ord(t[-1]) < 0xE000}", f"limit={limit}", f"closes={closes}|mark={bool(m)}|limit={limit}|ended={ended}", f"closes={closes}|mark={m}|latin={last in ('lower', 'upper')}",
+        f"tag={partial}|whole={bool(WHOLE_TAG.search(t))}", f"entity={bool(entity)}", f"cut={t[-1] in '�' or 0xD800 <= ord(t[-1]) < 0xE000}", f"limit={limit}", f"closes={closes}|mark={bool(m)}|limit={limit}|ended={ended}", f"closes={closes}|mark={m}|latin={last in ('lower', 'upper')}",
         f"limit={limit}|ended={ended}|mark={bool(m)}", f"end2={body[-2:]}", f"kinds={'/'.join(map(kind, body[-3:]))}",
         f"short={short}|ends={min(ends, 2)}|ended={ended}", f"first={line[:1] if kind(line[0]) == line[0] else kind(line[0])}|short={short}|ends={min(ends, 1)}|last={last}",
     ]
     if short and not ends:
         out += [f"shape={shape(line)}", f"start={line[:2]}", f"start3={line[:3]}", f"close={line[-2:]}", f"bullet={line[:2] in ('・', '* ', '- ') or line[:1] in '・•※#＃■◆'}"]
+        level = re.sub("[0-9]", "0", line).lower()
+        known = (level in closing.lines, level[:3] in closing.heads, level[-2:] in closing.tails)
+        out += [f"known={known}", f"known={known}|above={line == t or t[: len(t) - len(line)].rstrip()[-1:] in SENTENCE_ENDS + CLOSERS + '>'}"]
         words, before = line.lower().split(), t[: len(t) - len(line)].rstrip()
         above = not before or before[-1] in SENTENCE_ENDS + CLOSERS + ">"
         tail = line.split()[-1]
@@ -112,7 +150,7 @@ def features(text: str, limits: frozenset[int], closing: frozenset[str]) -> list
     return out
 
 
-def artificial_cut(text: str, limits: list[int], closing: frozenset[str], rng: random.Random) -> str | None:
+def artificial_cut(text: str, limits: list[int], closing: Closings, rng: random.Random) -> str | None:
     """The text cut somewhere before its end, with a mark or a broken piece now and then; None if the cut ends a whole sentence."""
     if len(text) < 20:
         return None
@@ -132,8 +170,7 @@ def artificial_cut(text: str, limits: list[int], closing: frozenset[str], rng: r
     if how < 0.24:
         return cut + "�"
     if how < 0.36:
-        number, type_ = rng.randrange(1, 900), rng.choice(["fmt", "br", "req", "/fmt", "fmt-open", "fmt-close"])
-        tag = f"<tag id='{number}' type='{type_}' desc='{rng.choice(['⟨strong⟩', '⟨/strong⟩', '换行', '⟨actor⟩', '⟨color=orange⟩'])}'/>"
+        tag = f"<tag id='{rng.randrange(1, 900)}' type='{'x' * rng.randrange(2, 9)}' desc='{'x' * rng.randrange(2, 16)}'/>"
         return cut + tag[: rng.randrange(1, len(tag))]
     if how < 0.44:
         whole = rng.choice(["&amp;", "&lt;", "&quot;", "&#12;", "&#8230;", "&gt;", "&nbsp;"])
@@ -141,7 +178,7 @@ def artificial_cut(text: str, limits: list[int], closing: frozenset[str], rng: r
     if how < 0.66:  # a field that marks its cuts mostly cuts at a limit
         if fitting:
             cut = text[: rng.choice(fitting)].rstrip() if rng.random() < 0.75 else cut
-        if cut[-1] in SENTENCE_ENDS + CLOSERS + ">" or (len(cut) not in fitting and closing_word(cut) in closing):
+        if cut[-1] in SENTENCE_ENDS + CLOSERS + ">" or (len(cut) not in fitting and closing_word(cut) in closing.words):
             return None
         return cut + rng.choice(["…", "...", " [...]", "……", "（続", "（续", "[…]", "(...)", " …", "（続く", "...[truncated]", "（略"])
     return text[:at]
@@ -149,13 +186,18 @@ def artificial_cut(text: str, limits: list[int], closing: frozenset[str], rng: r
 
 @dataclass
 class TruncationModel:
-    """Weights, the field limits found in the corpus, and what was reached on texts held out from the fit."""
+    """Weights, what the corpus gave, and what was reached on texts held out from the fit.
+
+    held_out_recall: share of artificial cuts found by a model that saw nothing of their text. held_out_share: share of real texts
+    that such a model finds truncated. sampled: texts of the fit.
+    """
 
     weights: np.ndarray
     limits: frozenset[int]
-    closing: frozenset[str]
+    closing: Closings
     held_out_recall: float
-    held_out_false: float
+    held_out_share: float
+    sampled: int = 0
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         rows = [logistic.hashed(features(t or "", self.limits, self.closing)) for t in texts]
@@ -175,29 +217,76 @@ def field_limits(df: DataFrame, text: str) -> frozenset[int]:
     return frozenset(r["n"] for r in spikes.collect())
 
 
-def fit(df: DataFrame, id_col: str, text: str, sample: int = 12_000, rounds: int = 4) -> TruncationModel:
-    """Fits the model on at most about `sample` texts, chosen by a hash of their id.
+#: Kinds of training rows: a text as it is, a part of it up to a line's end, an artificial cut of it.
+REAL, INNER, CUT = 0, 1, 2
+
 
-    Intact texts are unknown at first: every sampled text counts as intact, its artificial cuts as truncated; texts that the
-    model then finds truncated are left out of the next round. A fifth of the sample is held out to measure the result.
+def _examples(limits: frozenset[int], closing: Closings, lines: int, cuts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashed features of each sampled text, of some of its parts that end with a line, and of artificial cuts; random by the text itself."""
+    ordered = sorted(limits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, kinds, rows = [], [], []
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+                rng = random.Random(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")))
+                ends = [m.start() for m in re.finditer("\n", t) if m.start() > 20 and t[m.start() :].strip()]
+                parts = [(REAL, t)] + [(INNER, t[:e]) for e in rng.sample(ends, min(lines, len(ends)))]
+                parts += [(CUT, c) for _ in range(cuts) if (c := artificial_cut(t, ordered, closing, rng))]
+                for kind, part in parts:
+                    ids.append(i)
+                    kinds.append(kind)
+                    rows.append(logistic.hashed(features(part, limits, closing)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["i", "kind", "f"])
+
+    return scan
+
+
+def fit(df: DataFrame, id_col: str, text: str, sample: int = 12_000, rounds: int = 3, lines: int = 3, enough: int = 2_000) -> TruncationModel:
+    """Fits the model on at most about `sample` texts, chosen by a hash of their id; limits and closings are counted over all texts.
+
+    Intact texts are unknown at first: every sampled text counts as intact, its artificial cuts as truncated. In each round a
+    model fitted on one half of the sample judges the other half and the reverse; texts found truncated are left out of the next
+    round and of the last fit. Parts of the texts up to the end of a line count as intact, too. The fewer texts there are, the
+    more cuts are made of each, 24,000 in all, so that the fit is alike at every size. Features are made by the executors;
+    the driver gets numbers, not texts, at most 2 * sample * (1 + lines + 20) short lists. With fewer than `enough`
+    texts rare closings cannot be learned, and a warning says so.
     """
-    limits = field_limits(df.where(F.col(text).isNotNull()), text)
-    n = df.count()
-    hashed = df.select(F.col(id_col).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)))
-    texts = [r["t"] for r in hashed.orderBy("i", "t").limit(2 * sample).collect() if r["t"].strip()]
-    rng, closing = random.Random(11), closing_words(texts)
-    real = [logistic.hashed(features(t, limits, closing)) for t in texts]
-    cuts = [[logistic.hashed(features(c, limits, closing)) for _ in range(2) if (c := artificial_cut(t, sorted(limits), closing, rng))] for t in texts]
-    train = [i for i in range(len(texts)) if i % 5]
-    keep, w = train, np.zeros(1 << logistic.BITS)
-    for _ in range(rounds if texts else 0):
-        rows = [real[i] for i in keep] + [c for i in keep for c in cuts[i]]
-        w = logistic.fit(rows, np.array([0.0] * len(keep) + [1.0] * (len(rows) - len(keep))))
-        found = logistic.scores([real[i] for i in train], w)
-        keep = [i for i, s in zip(train, found, strict=True) if s < 0.5]
-    test = [i for i in range(len(texts)) if not i % 5]
-    cut_scores, real_scores = logistic.scores([c for i in test for c in cuts[i]], w), logistic.scores([real[i] for i in test], w)
-    return TruncationModel(w, limits, closing, float((cut_scores >= 0.5).mean()) if len(cut_scores) else 0.0, float((real_scores >= 0.5).mean()) if len(real_scores) else 0.0)
+    known = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
+    limits, closing = field_limits(known, "t"), closings(known, "t")
+    n = known.count()
+    cuts = min(20, max(2, 24_000 // max(1, min(n, sample))))
+    chosen = known.where(F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)).where(F.col("t").rlike(r"(?U)\S"))
+    chosen = chosen.orderBy("i", F.xxhash64("t")).limit(2 * sample) if n > 2 * sample else chosen
+    made = chosen.mapInArrow(_examples(limits, closing, lines, cuts), "i bigint, kind int, f array<int>").toArrow()
+    w, recall, share, texts = np.zeros(1 << logistic.BITS), 0.0, 0.0, 0
+    if made.num_rows:
+        every = sorted(zip(*(made.column(c).to_pylist() for c in ("i", "kind", "f")), strict=True), key=lambda r: (r[0] is not None, r))
+        rows, kind = [r[2] for r in every], np.array([r[1] for r in every])
+        of = np.unique([-(2**62) if r[0] is None else r[0] for r in every], return_inverse=True)[1]
+        weight = np.array([cuts / 2, cuts / 4, 1.0])[kind]
+        half = np.arange(of.max() + 1) % 2
+        intact = np.ones(len(rows), bool)  # of the real texts; parts and cuts go with their text
+
+        def learned(use: np.ndarray) -> np.ndarray:
+            at = np.nonzero(use & intact)[0]
+            return logistic.fit([rows[k] for k in at], (kind[at] == CUT).astype(float), weight[at])
+
+        for _ in range(rounds):
+            out = np.zeros(len(rows))
+            for h in (0, 1):
+                mine = np.nonzero(half[of] == h)[0]
+                out[mine] = logistic.scores([rows[k] for k in mine], learned(half[of] != h))
+            cut_text = np.zeros(of.max() + 1, bool)
+            cut_text[of[(kind == REAL) & (out >= 0.5)]] = True
+            intact = ~cut_text[of]
+        w = learned(np.ones(len(rows), bool))
+        texts = int((kind == REAL).sum())
+        share = float((out[kind == REAL] >= 0.5).mean())
+        recall = float((out[(kind == CUT) & intact] >= 0.5).mean()) if ((kind == CUT) & intact).any() else 0.0
+        if texts < enough:
+            warnings.warn(f"truncation: fitted on {texts} texts, fewer than {enough}; rare closings may count as cut", stacklevel=2)
+    return TruncationModel(w, limits, closing, recall, share, texts)
 
 
 def truncated(df: DataFrame, id_col: str, text: str, source: str, model: TruncationModel | None = None) -> DataFrame:
