@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 import warnings
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -63,8 +64,8 @@ def shape(line: str) -> str:
     return "".join(out)
 
 
-#: A word, or up to two characters, right before the end of a sentence; the pattern holds in Java and in Python.
-SENTENCE_TAIL = r"([A-Za-z]+|[^\sA-Za-z]{1,2})[。！？.!?]"
+#: A word, or up to two characters, right before the end of a sentence.
+SENTENCE_TAIL = re.compile(r"([A-Za-z]+|[^\sA-Za-z]{1,2})[。！？.!?]")
 #: A last line of at most so many characters and without a sentence end may be a signature, a date, an end mark, a list item.
 SHORT_LINE = 28
 
@@ -86,15 +87,22 @@ class Closings:
 def closings(df: DataFrame, text: str, share: float = 2e-4, word_share: float = 4e-5, least: int = 3) -> Closings:
     """Counted over all texts. A relative cutoff bounds each set (5,000 lines, heads, tails, 25,000 words) at any size of the corpus.
 
-    Partial counts come before the shuffle; what the driver gets is bounded by the shares.
+    Each batch of texts is counted before the shuffle; what the driver gets is bounded by the shares.
     """
-    t = F.col(text)
-    line = F.lower(F.regexp_replace(F.regexp_extract(F.regexp_replace(t, r"[\s\uFEFF\u200B\x00\u3000\u00A0]+$", ""), r"([^\n]*)$", 1), r"[0-9]", "0"))
-    short = (F.length(line) <= SHORT_LINE) & (F.length(line) > 0) & ~line.rlike("[" + SENTENCE_ENDS.replace(".", "\\.") + "]")
-    entry = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
-    ends = F.array_compact(F.array(entry("all", F.lit("")), *[F.when(short, entry(k, v)) for k, v in (("line", line), ("head", F.substring(line, 1, 3)), ("tail", F.substring(line, -2, 2)))]))
-    words = F.transform(F.regexp_extract_all(t, F.lit(SENTENCE_TAIL), F.lit(1)), lambda x: entry("word", F.lower(x)))
-    counted = df.where(t.isNotNull()).select(F.explode(F.concat(words, ends)).alias("e")).select("e.kind", "e.x").groupBy("kind", "x").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[tuple[str, str]] = Counter()
+            for t in b.column(0).to_pylist():
+                seen["all", ""] += 1
+                seen.update(("word", w.lower()) for w in SENTENCE_TAIL.findall(t))
+                body = bare_end(t)
+                line = body[body.rfind("\n") + 1 :]
+                if 0 < len(line) <= SHORT_LINE and not any(c in SENTENCE_ENDS for c in line):
+                    seen.update(zip(("line", "head", "tail"), levelled(line), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen]), pa.array([x for _, x in seen]), pa.array(list(seen.values()), pa.int64())], ["kind", "x", "n"])
+
+    counted = df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "kind string, x string, n bigint").groupBy("kind", "x").agg(F.sum("n").alias("n"))
     counted = durable(counted, "closings")
     totals = {r["kind"]: r["n"] for r in counted.where("kind in ('all', 'word')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     cutoff = F.when(F.col("kind") == "word", max(least, word_share * totals.get("word", 0))).otherwise(max(least, share * totals.get("all", 0)))
@@ -104,6 +112,17 @@ def closings(df: DataFrame, text: str, share: float = 2e-4, word_share: float =
     return Closings(*(frozenset(sets[k]) for k in ("word", "line", "head", "tail")))
 
 
+def bare_end(text: str) -> str:
+    """The text without blanks and invisible characters at its end."""
+    return text.rstrip().rstrip("\ufeff\u200b\x00").rstrip()
+
+
+def levelled(line: str) -> tuple[str, str, str]:
+    """A line with digits and letter case levelled, its head and its tail."""
+    level = re.sub("[0-9]", "0", line).lower()
+    return level, level[:3], level[-2:]
+
+
 def closing_word(body: str) -> str:
     """The last word of a text, or its last pair of characters."""
     m = re.search(r"[A-Za-z]+$", body)
@@ -112,7 +131,7 @@ def closing_word(body: str) -> str:
 
 def features(text: str, limits: frozenset[int], closing: Closings) -> list[str]:
     """What the end of a text looks like: closing characters, marks, open quotes, tags and entities, last line, length to a limit."""
-    t = text.rstrip().rstrip("﻿​\x00").rstrip()
+    t = bare_end(text)
     if not t:
         return ["blank"]
     mark = MARKS.search(t)
@@ -137,8 +156,7 @@ def features(text: str, limits: frozenset[int], closing: Closings) -> list[str]:
     ]
     if short and not ends:
         out += [f"shape={shape(line)}", f"start={line[:2]}", f"start3={line[:3]}", f"close={line[-2:]}", f"bullet={line[:2] in ('・', '* ', '- ') or line[:1] in '・•※#＃■◆'}"]
-        level = re.sub("[0-9]", "0", line).lower()
-        known = (level in closing.lines, level[:3] in closing.heads, level[-2:] in closing.tails)
+        known = tuple(x in held for x, held in zip(levelled(line), (closing.lines, closing.heads, closing.tails), strict=True))
         out += [f"known={known}", f"known={known}|above={line == t or t[: len(t) - len(line)].rstrip()[-1:] in SENTENCE_ENDS + CLOSERS + '>'}"]
         words, before = line.lower().split(), t[: len(t) - len(line)].rstrip()
         above = not before or before[-1] in SENTENCE_ENDS + CLOSERS + ">"
@@ -257,7 +275,9 @@ def fit(df: DataFrame, id_col: str, text: str, sample: int = 12_000, rounds: int
     n = known.count()
     cuts = min(20, max(2, 24_000 // max(1, min(n, sample))))
     chosen = known.where(F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)).where(F.col("t").rlike(r"(?U)\S"))
-    chosen = chosen.orderBy("i", F.xxhash64("t")).limit(2 * sample) if n > 2 * sample else chosen
+    chosen = durable(chosen, "cut-sample")
+    if chosen.count() > 2 * sample:  # only where many rows share an id
+        chosen = chosen.orderBy("i", F.xxhash64("t")).limit(2 * sample)
     made = chosen.mapInArrow(_examples(limits, closing, lines, cuts), "i bigint, kind int, f array<int>").toArrow()
     w, recall, share, texts = np.zeros(1 << logistic.BITS), 0.0, 0.0, 0
     if made.num_rows:
