@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from tandemtext.functions.folding import TAG
+from tandemtext.functions.folding import TAG, fold
 
 MASK53 = np.uint64((1 << 53) - 1)
 
@@ -37,10 +37,12 @@ def codepoints(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fold_batch(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The folded texts (no tag markers, white space, punctuation; lower case) as code points with offsets; null counts as empty."""
+    """The folded texts (no tag markers, white space, punctuation; lower case) as code points with offsets; null counts as empty.
+
+    Equal to fold() of each text: the two letters whose lower case is not one letter everywhere are left to it.
+    """
     keep, low = fold_tables()
-    clean = ["" if t is None else TAG.sub("", t) if "<tag" in t else t for t in texts]
-    clean = [t.replace("İ", "i̇") if "İ" in t else t for t in clean]
+    clean = ["" if t is None else fold(t) if "Σ" in t or "İ" in t else TAG.sub("", t) if "<tag" in t else t for t in texts]
     points, offsets = codepoints(clean)
     mask = keep[points]
     kept = np.zeros(len(points) + 1, np.int64)

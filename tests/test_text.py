@@ -69,3 +69,15 @@ def test_breaks():
 def test_tags(spark):
     assert [tuple(t) for t in col(spark, "a<tag id='1' type='fmt' desc='x'/>b", tx.tags)] == [("1", "fmt", "x")]
     assert [col(spark, x, tx.malformed) for x in ("<tag id='1' type='x' desc=''/>", "<tag id='1'/>", "<tag id='1'", "ok")] == [False, True, True, False]
+
+
+def test_batches_fold_as_single_texts():
+    import random
+
+    from tandemtext.functions.codepoints import fold_batch
+    from tandemtext.functions.folding import fold
+
+    rng = random.Random(8)
+    texts = ["ΛΟΓΟΣ", "λογος", "ΣΑΣ. Σ", "İstanbul", "ǅ Ⅷ Ⓐ", None, "", "Straße <tag id='1' type='br' desc='x'/>K"] + ["".join(chr(rng.choice((rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x20000)))) for _ in range(30)) for _ in range(2000)]
+    points, offsets = fold_batch(texts)
+    assert [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(offsets, offsets[1:])] == [fold(t) for t in texts]
