@@ -32,36 +32,39 @@ def stat_parts(text: str | None) -> list[str] | None:
     return sorted({fold(p) for p in parts} - {""})
 
 
-def canonical(text: str | None) -> str:
-    """The form by which texts are compared; a stat line's differs from that of any other text."""
-    parts = stat_parts(text)
-    return fold(text) if parts is None else "\x01" + "\x02".join(parts)
+def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The forms by which texts are compared, as code points with offsets; a stat line's differs from that of any other text.
+
+    Both the cheap invariants and the exact keys come from these forms, so texts with equal keys always have equal invariants.
+    """
+    return fold_batch(["\x01" + "\x02".join(parts) if (parts := stat_parts(t)) is not None else t for t in texts])
 
 
 def _invariants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cheap invariants: length and letter histogram of each field's folded letters, the latter as a sum of a hash of each letter."""
+    """Cheap invariants: length and letter histogram of each field's form, the latter as a sum of a hash of each letter."""
     for b in batches:
         sig = np.zeros(b.num_rows, np.uint64)
         for k in range(1, b.num_columns):
-            texts = b.column(k).to_pylist()
-            for i, t in enumerate(texts):
-                if t is not None and (parts := stat_parts(t)) is not None:
-                    texts[i] = "".join(parts)
-            points, offsets = fold_batch(texts)
+            points, offsets = canonical(b.column(k).to_pylist())
             histogram = segment_sums(mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), offsets)
             sig = mix64(sig * np.uint64(31) + histogram + np.diff(offsets).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(k))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig.view(np.int64))], ["id", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact keys: 128-bit hashes of the canonical forms and of the raw fields."""
+    """Exact keys: 128-bit hashes of the canonical forms and of the raw fields, in which null is no empty text."""
     for b in batches:
         raw = [b.column(k).to_pylist() for k in range(1, b.num_columns)]
+        forms = [canonical(texts) for texts in raw]
         out = np.empty((b.num_rows, 4), np.int64)
         for i, fields in enumerate(zip(*raw, strict=True)):
-            for j, form in ((0, canonical), (2, lambda t: t or "")):
-                joined = "\x00".join(form(t).replace("\x00", "\x00\x03") for t in fields)
-                out[i, j : j + 2] = np.frombuffer(xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass")), np.int64)
+            key, own = xxhash.xxh3_128(), xxhash.xxh3_128()
+            for (points, offsets), t in zip(forms, fields, strict=True):
+                part = points[offsets[i] : offsets[i + 1]].tobytes()
+                key.update(len(part).to_bytes(8, "little") + part)
+                part = b"" if t is None else t.encode("utf-8", "surrogatepass")
+                own.update((-1 if t is None else len(part)).to_bytes(8, "little", signed=True) + part)
+            out[i] = np.frombuffer(key.digest() + own.digest(), np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[:, j]) for j in range(4)]], ["id", "k1", "k2", "r1", "r2"])
 
 
@@ -74,8 +77,8 @@ def format_duplicates(df: DataFrame, id_col: str, fields: list[str]) -> DataFram
     before the join that brings its members, which adaptive execution can split.
 
     Returns `first_id, id, copies, variants`: `first_id` the smallest id of the group, `copies` its rows, `variants` true if
-    it has two different raw records. Every row of a group of two or more is returned. Null fields count as empty (and a
-    null and an empty field are no different raw records), so rows without any text form one group. Rows with a null id are
+    it has two different raw records. Every row of a group of two or more is returned. Null fields are compared as empty ones, so
+    rows without any text form one group; a null and an empty field are different raw records. Rows with a null id are
     left out. Ids are expected to be unique; rows that share one are members each. Other columns are ignored, whatever their
     names. An empty table gives no rows.
     """

@@ -62,11 +62,12 @@ def test_p3(spark, data, tables):
 
     groups = collections.defaultdict(list)
     for e, s, t in tables("tm_store", "entry_id", "source", "target"):
-        groups[form(s), form(t)].append((e, s or "", t or ""))
-    want = {(min(m)[0], e) for m in groups.values() if len({x[1:] for x in m}) > 1 for e, *_ in m if e != min(m)[0]}
+        groups[form(s), form(t)].append((e, s, t))
+    first = lambda m: min(x[0] for x in m)
+    want = {(first(m), e) for m in groups.values() if len({x[1:] for x in m}) > 1 for e, *_ in m if e != first(m)}
     assert want and found(q.p3_found, spark, data) == want
     left = {r["id"]: r["copies"] for r in q.p3_collapsed(spark, data).collect()}
-    assert left == {min(m)[0]: len(m) for m in groups.values()}
+    assert left == {first(m): len(m) for m in groups.values()}
 
 
 def test_p4_pairs_look_alike(spark, data, tables):
