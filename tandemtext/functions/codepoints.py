@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -36,6 +36,19 @@ def codepoints(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
+def slices(texts: Sequence[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Parts of a batch with at most so many code points, or one text: bounds memory where texts are long."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def fold_batch(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The folded texts (no tag markers, white space, punctuation; lower case) as code points with offsets; null counts as empty.
 
