@@ -12,10 +12,10 @@ from tandemtext.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record ids of the two tables are told apart by their lowest bit."""
-    entries = table(spark, sf_dir, "tm_store").select((F.col("entry_id") * 2).alias("rid"), F.col("source").alias("text"))
+    """Three batches as they come about: the permanent memory, the runtime layers, the units; record ids of the two tables are told apart by their lowest bit."""
+    entries = table(spark, sf_dir, "tm_store").select((F.col("entry_id") * 2).alias("rid"), F.col("source").alias("text"), F.coalesce(F.col("scope") == "runtime", F.lit(False)).alias("runtime"))
     units = table(spark, sf_dir, "transunit").select((F.col("unit_id") * 2 + 1).alias("rid"), F.col("source_text").alias("text"))
-    spans = shared_spans.shared_spans([entries, units])
+    spans = shared_spans.shared_spans([entries.where("not runtime"), entries.where("runtime"), units], index=shared_spans.FingerprintIndex(spark, fanout=2))
     name = F.when(F.col("rid") % 2 == 0, F.lit("tm_store")).otherwise(F.lit("transunit"))
     return spans.select(name.alias("tab"), F.shiftright("rid", 1).alias("row_id"), "span_start", "span_len")
 

@@ -5,18 +5,22 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.functions.codepoints import codepoints, mix64
+from tandemtext.functions.codepoints import codepoints, mix64, slices
 from tandemtext.functions.folding import TAG, hash128
-from tandemtext.session import durable, shared_dir, shuffle_partitions, sized_join
+from tandemtext.session import durable, remove, shared_dir, shuffle_partitions, sized_join
 
 #: A span's least length, and the length of the runs whose hashes stand for the windows of that length.
 SPAN, ANCHOR = 40, 16
+#: Records of one batch that make a hash hot.
+HOT = 32
 
 
 def stretches(text: str, least: int) -> list[tuple[int, str]]:
@@ -64,9 +68,9 @@ class Windows:
         self.place = (least[self.at] & np.uint64((1 << bits) - 1)).astype(np.int64)
         self.anchor = self.runs[self.place].view(np.int64)
 
-    def fingerprints(self) -> np.ndarray:
-        """A 64-bit hash of each whole window, independent of the anchors."""
-        return hashed_runs(self.points, self.span, 2)[self.at].view(np.int64) if len(self.at) else np.zeros(0, np.int64)
+    def fingerprints(self, seed: int) -> np.ndarray:
+        """A 64-bit hash of each whole window, independent of the anchors and of other seeds."""
+        return hashed_runs(self.points, self.span, seed)[self.at].view(np.int64) if len(self.at) else np.zeros(0, np.int64)
 
 
 def hashed_runs(points: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -99,95 +103,166 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _postings(span: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The anchors of each record, once each; `hot` marks those that HOT records of a batch have."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Windows(b.column(1).to_pylist(), span, anchor)
-            fresh = np.ones(len(w.place), bool)
-            fresh[1:] = w.place[1:] != w.place[:-1]
-            rid = b.column(0).to_numpy()[w.of[fresh]]
-            yield pa.RecordBatch.from_arrays([pa.array(w.anchor[fresh]), pa.array(rid)], ["h", "rid"])
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for x, y in slices(texts):
+                w = Windows(texts[x:y], span, anchor)
+                new = np.ones(len(w.place), bool)
+                new[1:] = w.place[1:] != w.place[:-1]
+                h, of = w.anchor[new], w.of[new]
+                order = np.lexsort((of, h))
+                h, of = h[order], of[order]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                h, of = h[once], of[once]
+                first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[x:y][of]), pa.array(np.repeat(times >= HOT, times))], ["h", "rid", "hot"])
 
     return scan
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of the anchor hashes of all windows seen so far, each with the record it stands in.
+    """A log-structured index: sorted immutable runs of the anchor hashes of all windows seen so far, each with its record.
+
+    A run is a table `h, rid` in hash buckets of h, sorted within each, written once. append() stores a batch of records (their
+    texts and a run of level 0) and gives the hashes that meet: the new run is merge-joined bucket by bucket with every
+    earlier run, which Spark does without shuffling or sorting either side. compact() merges the runs of a level that has
+    `fanout` of them into one of the next level, again bucket by bucket, and deletes the merged ones.
 
-    append() writes the hashes of a batch of records as a new run of level 0, sorted by hash within hash partitions; compact()
-    merges the runs of a level that has `fanout` of them into one of the next level; shared() gives the hashes that stand in two
-    records, of all runs or of newly appended ones joined with all. Runs are written once and never changed; the manifest names the ones that count, so a job that dies leaves the
-    former state. open() goes on with the newest manifest in the folder.
+    Hashes that many records of one batch share are kept apart in a run (`hot`), spread over tasks by record, so that a text or
+    a phrase on a third of all rows is no bucket of its own. The manifest names the runs, texts and spans that count and is
+    written last, so a job that dies leaves the former state. open() goes on with the newest manifest in the folder.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, anchor: int = ANCHOR, fanout: int = 4) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, anchor: int = ANCHOR, fanout: int = 4, buckets: int | None = None) -> None:
         self.spark, self.span, self.anchor, self.fanout = spark, span, anchor, fanout
+        self.buckets = buckets or shuffle_partitions(spark)
         self.path = path or f"{shared_dir(spark)}/tandemtext/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[tuple[int, str]] = []
+        self.texts_of: list[str] = []
+        self.spans_of: list[str] = []
         self.version = 0
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a bucket is one sorted file
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **kind: int) -> FingerprintIndex:
         index = cls(spark, path, **kind)
         names = spark.read.text(f"{path}/manifest-*").select("value", F.regexp_extract(F.col("_metadata.file_path"), r"manifest-(\d+)", 1).cast("int").alias("v"))
         newest = names.orderBy(F.desc("v")).first()
-        index.version, index.runs = newest["v"], [tuple(x) for x in json.loads(newest["value"])]
+        state = json.loads(newest["value"])
+        if (index.span, index.anchor) != (state["span"], state["anchor"]):
+            raise ValueError(f"the index was made for spans of {state['span']} and anchors of {state['anchor']}")
+        index.version, index.buckets, index.texts_of, index.spans_of = newest["v"], state["buckets"], state["texts"], state["spans"]
+        index.runs = [tuple(x) for x in state["runs"]]
         return index
 
-    def _commit(self, runs: list[tuple[int, str]]) -> None:
+    def _commit(self) -> None:
         self.version += 1
-        self.spark.createDataFrame([(json.dumps(runs),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:06d}")
-        self.runs = runs
-
-    def _write(self, postings: DataFrame, level: int) -> tuple[int, str]:
-        name = f"run-{level}-{uuid.uuid4().hex}"
-        postings.repartition(shuffle_partitions(self.spark), "h").sortWithinPartitions("h", "rid").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        return level, name
-
-    def _read(self, runs: list[tuple[int, str]]) -> DataFrame:
-        return self.spark.read.schema("h bigint, rid bigint").parquet(*[f"{self.path}/{name}" for _, name in runs])
-
-    def append(self, records: DataFrame) -> tuple[int, str]:
-        """Adds the records `rid, text` as one run, which is given back; compacts where a level is full. A merged run's files stay."""
-        run = self._write(records.mapInArrow(_postings(self.span, self.anchor), "h bigint, rid bigint"), 0)
-        self._commit([*self.runs, run])
+        state = {"runs": self.runs, "texts": self.texts_of, "spans": self.spans_of, "buckets": self.buckets, "span": self.span, "anchor": self.anchor}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:06d}")
+
+    def _write(self, postings: DataFrame, spread: bool) -> str:
+        """A run; where the postings already are in their buckets they stay there."""
+        name = f"run_{uuid.uuid4().hex}"
+        if spread:
+            apart = F.xxhash64("h", F.pmod(F.xxhash64("rid"), F.lit(64)))
+            postings = postings.repartition(self.buckets, F.when(F.col("hot"), apart).otherwise(F.col("h")))
+        writer = postings.select("h", "rid", "hot").write.partitionBy("hot").bucketBy(self.buckets, "h").sortBy("h", "rid")
+        writer.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _run(self, name: str, hot: bool) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, rid BIGINT, hot BOOLEAN) USING parquet PARTITIONED BY (hot) CLUSTERED BY (h) SORTED BY (h, rid) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return self.spark.table(name).where(F.col("hot") if hot else ~F.col("hot")).select("h", "rid")
+
+    def _meeting(self, fresh: str) -> DataFrame:
+        """The hashes of a new run that two records have, one of them in it."""
+        main, hot = self._run(fresh, False), self._run(fresh, True)
+        many = durable(hot.select("h").distinct(), "hot-hashes")
+        parts = [main.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("h"), many]
+        for _, name in self.runs:
+            earlier = self._run(name, False)
+            parts.append(earlier.join(main.select("h").hint("merge"), "h", "left_semi").select("h").distinct())
+            old = durable(self._run(name, True).select("h").distinct(), "hot-hashes")
+            parts.append(sized_join(main.select("h"), old, "h", "left_semi").distinct())
+        return durable(reduce(DataFrame.unionByName, parts).distinct(), "meeting-hashes")
+
+    def append(self, records: DataFrame) -> DataFrame:
+        """Adds the records `rid, text`; gives `h, rid` of all records, earlier ones too, with a hash that one of the new ones shares."""
+        texts = f"texts-{uuid.uuid4().hex}"
+        records.select("rid", "text").write.option("compression", "zstd").parquet(f"{self.path}/{texts}")
+        stored = self.spark.read.schema("rid bigint, text string").parquet(f"{self.path}/{texts}")
+        fresh = self._write(stored.mapInArrow(_postings(self.span, self.anchor), "h bigint, rid bigint, hot boolean"), True)
+        shared = self._meeting(fresh)
+        names = [fresh, *[name for _, name in self.runs]]
+        met = durable(reduce(DataFrame.unionByName, [sized_join(self._run(name, hot), shared, "h", "left_semi") for name in names for hot in (False, True)]), "meeting-records")
+        self.runs, self.texts_of = [*self.runs, (0, fresh)], [*self.texts_of, texts]
+        self._commit()
         self.compact()
-        return run
+        return met
 
     def compact(self) -> None:
         level = 0
         while any(x == level for x, _ in self.runs):
-            full = [r for r in self.runs if r[0] == level]
+            full = [name for x, name in self.runs if x == level]
             if len(full) >= self.fanout:
-                merged = self._write(self._read(full).distinct(), level + 1)
-                self._commit([*[r for r in self.runs if r[0] != level], merged])
+                # grouping within the buckets keeps them: no shuffle, and each task writes its bucket as one sorted file
+                main = reduce(DataFrame.unionByName, [self._run(name, False) for name in full]).groupBy("h", "rid").agg(F.lit(False).alias("hot"))
+                merged = self._write(main, False)
+                hot = reduce(DataFrame.unionByName, [self._run(name, True) for name in full]).withColumn("hot", F.lit(True))
+                if not hot.isEmpty():
+                    apart = F.xxhash64("h", F.pmod(F.xxhash64("rid"), F.lit(64)))
+                    hot.repartition(self.buckets, apart).write.insertInto(merged)
+                self.runs = [*[r for r in self.runs if r[0] != level], (level + 1, merged)]
+                self._commit()
+                for name in full:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                    remove(self.spark, f"{self.path}/{name}")
             level += 1
 
     def postings(self) -> DataFrame:
-        return self._read(self.runs)
+        return reduce(DataFrame.unionByName, [self._run(name, hot) for _, name in self.runs for hot in (False, True)])
+
+    def texts(self) -> DataFrame:
+        """The records of all batches."""
+        return self.spark.read.schema("rid bigint, text string").parquet(*[f"{self.path}/{name}" for name in self.texts_of])
 
-    def shared(self, fresh: list[tuple[int, str]] | None = None) -> DataFrame:
-        """The hashes that stand in two records, one of them in the `fresh` runs if given; each record of a hot hash is folded in before the shuffle."""
-        postings = self.postings()
-        if fresh is not None:
-            postings = postings.join(self._read(fresh).select("h").distinct().hint("merge"), "h", "left_semi")
-        return postings.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("h")
+    def add_spans(self, spans: DataFrame) -> DataFrame:
+        """Stores spans `rid, start, stop` found for a batch; gives them as they are stored."""
+        name = f"spans-{uuid.uuid4().hex}"
+        spans.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.spans_of = [*self.spans_of, name]
+        self._commit()
+        return self.spark.read.schema(spans.schema).parquet(f"{self.path}/{name}")
 
-    def candidates(self, fresh: list[tuple[int, str]] | None = None) -> DataFrame:
-        """Records with hashes that also stand elsewhere, as in shared(): `rid, hs`."""
-        return self.postings().join(self.shared(fresh), "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("hs"))
+    def spans(self) -> DataFrame:
+        """The spans of all records, as far as the batches so far show them: `rid, span_start, span_len`."""
+        if not self.spans_of:
+            return self.spark.createDataFrame([], "rid bigint, span_start bigint, span_len bigint")
+        found = self.spark.read.schema("rid bigint, start int, stop int").parquet(*[f"{self.path}/{name}" for name in self.spans_of])
+        return _rows(_joined(found))
 
 
 def _window_rows(span: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows whose anchor is among the record's hashes `hs`, each with two hashes of the whole window, 128 bits in all."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Windows(b.column("text").to_pylist(), span, anchor)
-            hs = b.column("hs")
-            row = np.repeat(np.arange(b.num_rows), np.diff(hs.offsets.to_numpy()))
-            known = mix64(hs.flatten().to_numpy().view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            mine = mix64(w.anchor.view(np.uint64) + w.of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            keep = np.isin(mine, known)
-            rid = b.column("rid").to_numpy()[w.of[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(w.fingerprints()[keep]), pa.array(rid), pa.array(w.start[keep].astype(np.int32))], ["w", "rid", "start"])
+            texts, ids, hs = b.column("text").to_pylist(), b.column("rid").to_numpy(), b.column("hs")
+            for x, y in slices(texts):
+                w = Windows(texts[x:y], span, anchor)
+                part = hs.slice(x, y - x)
+                row = np.repeat(np.arange(y - x), pc.list_value_length(part).to_numpy())
+                known = mix64(part.flatten().to_numpy().view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                mine = mix64(w.anchor.view(np.uint64) + w.of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                keep = np.isin(mine, known)
+                yield pa.RecordBatch.from_arrays([pa.array(w.fingerprints(2)[keep]), pa.array(w.fingerprints(3)[keep]), pa.array(ids[x:y][w.of[keep]]), pa.array(w.start[keep].astype(np.int32))], ["w", "v", "rid", "start"])
 
     return scan
 
@@ -216,65 +291,64 @@ def _verified(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return scan
 
 
-def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHOR, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
-    """For the records (DataFrames `rid, text`, one per batch) which stretches also stand, unchanged, in another record.
+def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHOR, index: FingerprintIndex | None = None) -> DataFrame:
+    """For records (DataFrames `rid, text`, one per batch) which stretches also stand, unchanged, in another record.
 
-    Each batch is appended to the fingerprint index; the hashes of the index that stand in two records name candidate
-    records, usually few, of whose windows only those with such a hash are compared by a hash of the whole window. Each window
-    gets a partner record and is verified against its text; verified windows are joined to maximal runs of shared characters. Of
-    records with one and the same text (128-bit hash) only the first takes part in this; all of them share every long stretch.
+    Each batch is appended to the fingerprint index, which merge-joins its hashes with those of all earlier batches. Records with
+    a hash that meets, usually few, are the candidates; of their windows only those with such a hash are compared by a
+    128-bit hash of the whole window. Each window gets a partner record and is verified against its text; verified windows are
+    joined to maximal runs of shared characters. Of candidates with one and the same text (128-bit hash) only the first takes
+    part in this; all of them share every long stretch.
 
-    An index that already holds records goes on: the hashes of the new batches are joined with all runs, and spans shared with an
-    earlier record count. The index keeps no texts, so `history` must give the earlier records (`rid, text`); without it, or
-    where it lacks one that is needed, a ValueError is raised. Only spans of this call's records are returned.
+    An index that already holds records goes on. Returned are the spans of this call's records and of earlier records that share
+    something with them, the latter with what was found before; index.spans() gives those of all records. Batches
+    in one call, in many calls, or with the index opened anew in between, give the same spans.
 
     Returns `rid, span_start, span_len`: code points, span_start from 1. No sampling: every window of every record takes part
-    (equal windows have equal anchors). A text on a third of all rows is folded to its least and greatest record before every
-    shuffle, and joins on hashes or partners can be split by adaptive execution.
+    (equal windows have equal anchors). Joins on hashes or partners can be split by adaptive execution; the hashes of a hot
+    text are spread by record in the runs.
 
     Tag markers split a text into stretches that no span crosses. Null, empty and short texts have no span. A text that
     repeats a span only within itself shares nothing. rid must be unique over all batches; rows with a null rid are left out.
-    Empty tables give no rows.
+    Other columns are ignored. Empty tables give no rows.
     """
     spark = records[0].sparkSession
     index = index or FingerprintIndex(spark, span=span, anchor=anchor)
-    going_on = bool(index.runs)
-    if going_on and history is None:
-        raise ValueError("the index holds earlier records: their texts are needed as history")
-    records = [r.select(F.col("rid").cast("bigint").alias("rid"), "text").where(F.col("rid").isNotNull() & (F.length("text") >= span)) for r in records]
-    fresh = [index.append(r) for r in records]
-    every = records[0]
-    for r in records[1:]:
-        every = every.unionByName(r)
-    own = every.select("rid")
-    candidates = index.candidates()
-    if going_on:
-        every = every.unionByName(history.select(F.col("rid").cast("bigint").alias("rid"), "text").join(own, "rid", "left_anti"))
-        candidates = durable(index.candidates(fresh), "span-hashes")
-        if missing := candidates.join(every.select("rid"), "rid", "left_anti").count():
-            raise ValueError(f"history lacks {missing} earlier records that share hashes with new ones")
+    before = list(index.spans_of)
+    met = [index.append(r.select(F.col("rid").cast("bigint").alias("rid"), "text").where(F.col("rid").isNotNull() & (F.length("text") >= span))) for r in records]
+    candidates = reduce(DataFrame.unionByName, met).groupBy("rid").agg(F.collect_set("h").alias("hs"))
     t1, t2 = hash128(F.col("text"))
-    chosen = durable(every.join(candidates, "rid").select("rid", "text", "hs", t1.alias("t1"), t2.alias("t2")), "span-candidates")
+    chosen = durable(index.texts().join(candidates, "rid").select("rid", "text", "hs", t1.alias("t1"), t2.alias("t2")), "span-candidates")
     members = durable(
         chosen.select("rid", "t1", "t2").join(chosen.groupBy("t1", "t2").agg(F.min("rid").alias("rep"), (F.count("*") > 1).alias("copied")), ["t1", "t2"]).select("rid", "rep", "copied"),
         "span-copies",
     )
-    reps = durable(sized_join(chosen.drop("t1", "t2"), members.where("rid <> rep").select("rid"), "rid", "left_anti"), "span-texts")
-    windows = durable(reps.mapInArrow(_window_rows(span, anchor), "w bigint, rid bigint, start int"), "span-windows")
-    shared = windows.groupBy("w").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b")
-    partners = windows.join(shared, "w").select("rid", "start", F.when(F.col("a") == F.col("rid"), F.col("b")).otherwise(F.col("a")).alias("partner"))
+    reps = sized_join(chosen.drop("t1", "t2"), members.where("rid <> rep").select("rid"), "rid", "left_anti")
+    windows = durable(reps.mapInArrow(_window_rows(span, anchor), "w bigint, v bigint, rid bigint, start int"), "span-windows")
+    shared = windows.groupBy("w", "v").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b")
+    partners = windows.join(shared, ["w", "v"]).select("rid", "start", F.when(F.col("a") == F.col("rid"), F.col("b")).otherwise(F.col("a")).alias("partner"))
     copied = durable(members.where("copied and rid = rep").select("rid"), "span-copied")
     runs = sized_join(partners, copied, "rid", "left_anti").groupBy("rid", "partner").agg(F.collect_set("start").alias("starts"))
-    texts = reps.select("rid", "text")
+    texts = chosen.select("rid", "text")
     checked = runs.join(texts, "rid").join(texts.select(F.col("rid").alias("partner"), F.col("text").alias("other")), "partner")
     spans = checked.select("rid", "starts", "text", "other").mapInArrow(_verified(span), "rid bigint, start int, stop int")
     whole = sized_join(texts, copied, "rid", "left_semi").mapInArrow(_whole(span), "rid bigint, start int, stop int")
+    merged = _joined(spans).unionByName(whole)
+    each = index.add_spans(merged.withColumnRenamed("rid", "rep").join(members.select("rid", "rep"), "rep").select("rid", "start", "stop"))
+    if not before:
+        return _rows(each)
+    earlier = spark.read.schema(each.schema).parquet(*[f"{index.path}/{name}" for name in before])
+    return _rows(_joined(each.unionByName(earlier.join(each.select("rid").distinct(), "rid", "left_semi"))))
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """The spans `rid, start, stop` of each record, overlapping and adjoining ones as one."""
     per = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    merged = per.select("rid", F.explode(_merged("spans")).alias("m")).select("rid", "m.start", "m.stop").unionByName(whole)
-    every_copy = merged.withColumnRenamed("rid", "rep").join(members.select("rid", "rep"), "rep")
-    if going_on:
-        every_copy = every_copy.join(own, "rid", "left_semi")
-    return every_copy.select("rid", (F.col("start") + 1).cast("bigint").alias("span_start"), (F.col("stop") - F.col("start")).cast("bigint").alias("span_len"))
+    return per.select("rid", F.explode(_merged("spans")).alias("m")).select("rid", "m.start", "m.stop")
+
+
+def _rows(spans: DataFrame) -> DataFrame:
+    return spans.select("rid", (F.col("start") + 1).cast("bigint").alias("span_start"), (F.col("stop") - F.col("start")).cast("bigint").alias("span_len"))
 
 
 def _whole(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -87,26 +87,38 @@ def test_index_is_compacted_and_reopened(spark, tmp_path):
     assert sorted(level for level, _ in index.runs) == [0, 2]
     again = shared_spans.FingerprintIndex.open(spark, str(tmp_path / "index"), fanout=2)
     assert again.runs == index.runs and again.postings().count() == index.postings().count()
-    assert {r["rid"] for r in again.candidates().collect()} <= set(range(5))
-
-
-def test_spans_shared_with_a_reopened_index(spark, tmp_path):
-    """Batches one call at a time against the history give what all records at once give."""
-    a, b = LONG[:300], LONG[300:500]
-    rows = [(1, a), (2, "x" + a[100:150] + "y"), (3, b), (4, b[:39]), (5, LONG[700:800]), (6, a), (7, b[50:120] + "z" + LONG[720:790]), (8, LONG[900:990]), (9, LONG[900:990]), (10, "q" + LONG[710:760])]
-    df = spark.createDataFrame(rows, "rid bigint, text string")
-    batches, path = [df.where("rid <= 3"), df.where("rid in (4, 5, 6)"), df.where("rid = 7"), df.where("rid >= 8")], str(tmp_path / "index")
-    shared_spans.shared_spans(batches[:1], index=shared_spans.FingerprintIndex(spark, path, fanout=2)).collect()
-    for k in (1, 2, 3):
-        seen = df.where(f"rid < {(4, 4, 7, 8)[k]}")
-        now = seen.unionByName(batches[k])
-        own = {r["rid"] for r in batches[k].collect()}
-        want = sorted(tuple(r) for r in shared_spans.shared_spans([now]).collect() if r["rid"] in own)
-        index = shared_spans.FingerprintIndex.open(spark, path, fanout=2)
-        assert want and sorted(map(tuple, shared_spans.shared_spans([batches[k]], index=index, history=seen).collect())) == want
-    for history in (None, df.where("rid < 3")):
-        with pytest.raises(ValueError):
-            shared_spans.shared_spans([df.where("rid = 3").withColumn("rid", F.lit(11))], index=shared_spans.FingerprintIndex.open(spark, path), history=history)
+    assert sum(p.name.startswith("run_") for p in (tmp_path / "index").iterdir()) == 2
+    with pytest.raises(ValueError):
+        shared_spans.FingerprintIndex.open(spark, str(tmp_path / "index"), span=50)
+
+
+def test_runs_are_merge_joined_without_shuffling(spark, tmp_path):
+    index = shared_spans.FingerprintIndex(spark, str(tmp_path / "index"))
+    for i in range(2):
+        index.append(spark.createDataFrame([(2 * k + i, LONG[k * 90 : k * 90 + 100]) for k in range(50)], "rid bigint, text string"))
+    a, b = (index._run(name, False) for _, name in index.runs)
+    plan = a.join(b.select("h").hint("merge"), "h", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_batches_give_what_one_call_gives(spark, tmp_path):
+    """One batch a call, the index opened anew each time, hot spans among them, against all records at once."""
+    a, b, hot = LONG[:300], LONG[300:500], LONG[2000:2060]
+    rows = [(1, a), (2, "x" + a[100:150] + "y"), (3, b), (4, b[:39]), (5, LONG[700:800]), (6, a), (7, b[50:120] + "z" + LONG[720:790]), (8, LONG[900:990]), (9, LONG[900:990]), (10, "q" + LONG[710:760]), (11, b[:45] + a[290:])]
+    rows += [(100 + k, LONG[3000 + 50 * k : 3030 + 50 * k] + hot[: 60 - k % 3]) for k in range(90)] + [(300, hot[:50]), (301, "q" + hot[3:]), (302, a)]
+    df = spark.createDataFrame(rows, "rid bigint, text string").coalesce(1)
+    cuts = ["rid <= 4", "rid in (5, 6, 7, 300)", "rid between 100 and 149", "rid in (8, 9, 10, 11, 301)", "rid between 150 and 200 or rid = 302"]
+    want = sorted(tuple(r) for r in shared_spans.shared_spans([df]).collect())
+    path = str(tmp_path / "index")
+    for k, cut in enumerate(cuts):
+        index = shared_spans.FingerprintIndex.open(spark, path, fanout=2) if k else shared_spans.FingerprintIndex(spark, path, fanout=2)
+        got = {tuple(r) for r in shared_spans.shared_spans([df.where(cut)], index=index).collect()}
+        own = {r["rid"] for r in df.where(cut).collect()}
+        now = {tuple(r) for r in index.spans().collect()}
+        assert {r for r in now if r[0] in own} <= got <= now
+    assert sorted(now) == want and len(want) > 95
+    assert sorted(map(tuple, shared_spans.shared_spans([df.where(c) for c in cuts], index=shared_spans.FingerprintIndex(spark, fanout=2)).collect())) == want
+    assert index.runs[0][0] == 2 and index._run(index.runs[0][1], True).count() > 50 and index._run(index.runs[0][1], False).count() > 50
 
 
 def test_near_duplicates(spark):
