@@ -249,44 +249,87 @@ class FingerprintIndex:
         return _rows(_joined(found))
 
 
-def _window_rows(span: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The windows whose anchor is among the record's hashes `hs`, each with two hashes of the whole window, 128 bits in all."""
+def _grouped(w: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by window hash and record: where each hash begins, and a partner of each row among the others with its hash (itself: none)."""
+    if not len(w):
+        return np.zeros(0, np.int64), rid
+    first = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
+    least, most = rid[first], rid[np.append(first[1:], len(w)) - 1]
+    return first, np.where(rid == least[group], most[group], least[group])
+
+
+def _window_rows(span: int, anchor: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows whose anchor is among the record's hashes `hs`, with a hash of the whole window and, where the batch has one, a partner.
+
+    Of the rows of a hash that have a partner in the batch only one goes on to look for others, so a window on a third of all
+    records is a row a batch in the exchange by hash.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids, hs = b.column("text").to_pylist(), b.column("rid").to_numpy(), b.column("hs")
             for x, y in slices(texts):
-                w = Windows(texts[x:y], span, anchor)
+                windows = Windows(texts[x:y], span, anchor)
                 part = hs.slice(x, y - x)
                 row = np.repeat(np.arange(y - x), pc.list_value_length(part).to_numpy())
                 known = mix64(part.flatten().to_numpy().view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                mine = mix64(w.anchor.view(np.uint64) + w.of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                mine = mix64(windows.anchor.view(np.uint64) + windows.of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 keep = np.isin(mine, known)
-                yield pa.RecordBatch.from_arrays([pa.array(w.fingerprints(2)[keep]), pa.array(w.fingerprints(3)[keep]), pa.array(ids[x:y][w.of[keep]]), pa.array(w.start[keep].astype(np.int32))], ["w", "v", "rid", "start"])
+                w, rid, start = windows.fingerprints(seed)[keep], ids[x:y][windows.of[keep]], windows.start[keep].astype(np.int32)
+                order = np.lexsort((rid, w))
+                w, rid, start = w[order], rid[order], start[order]
+                first, partner = _grouped(w, rid)
+                met = partner != rid
+                again = first[met[first]]
+                none = np.concatenate([~met, np.ones(len(again), bool)])
+                w, rid, start, partner = (np.concatenate([c, c[again]]) for c in (w, rid, start, partner))
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(rid), pa.array(start), pa.array(partner, mask=none)], ["w", "rid", "start", "partner"])
 
     return scan
 
 
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partner for each window of rows sorted by hash and record; rows that have one already pass."""
+
+    def rows(rid: np.ndarray, start: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start), pa.array(partner)], ["rid", "start", "partner"])
+
+    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    for b in batches:
+        done = b.filter(pc.is_valid(b.column("partner")))
+        if done.num_rows:
+            yield rows(*(done.column(c).to_numpy() for c in ("rid", "start", "partner")))
+        left = b.filter(pc.is_null(b.column("partner")))
+        w, rid, start = (np.concatenate([old, left.column(c).to_numpy()]) for old, c in zip(rest, ("w", "rid", "start"), strict=True))
+        first, partner = _grouped(w, rid)
+        upto = int(first[-1]) if len(first) else 0
+        rest = w[upto:], rid[upto:], start[upto:]
+        met = np.nonzero(partner[:upto] != rid[:upto])[0]
+        yield rows(rid[met], start[met], partner[met])
+    w, rid, start = rest
+    partner = _grouped(w, rid)[1]
+    met = partner != rid
+    yield rows(rid[met], start[met], partner[met])
+
+
 def _verified(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Checks, for each record and partner, that the windows stand in a stretch of the partner's text; gives runs of windows."""
+    """Checks, for each record and partner, that the windows stand in a stretch of the partner's text; gives runs of windows, `held` or not."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, at, to = [], [], []
+            out: list[tuple[int, int, int, bool]] = []
             for r, starts, text, other in zip(b.column("rid").to_pylist(), b.column("starts"), b.column("text").to_pylist(), b.column("other").to_pylist(), strict=True):
                 s = np.sort(starts.values.to_numpy())
+                parts = [p for _, p in stretches(other, span)]
                 for run in np.split(s, np.nonzero(np.diff(s) != 1)[0] + 1):
-                    parts = [p for _, p in stretches(other, span)]
                     a, z = int(run[0]), int(run[-1]) + span
                     if any(text[a:z] in p for p in parts):
-                        found = [(a, z)]
+                        out.append((r, a, z, True))
                     else:
-                        found = [(int(x), int(x) + span) for x in run if any(text[x : x + span] in p for p in parts)]
-                    for a, z in found:
-                        rid.append(r)
-                        at.append(a)
-                        to.append(z)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(at, pa.int32()), pa.array(to, pa.int32())], ["rid", "start", "stop"])
+                        out += [(r, int(x), int(x) + span, any(text[x : x + span] in p for p in parts)) for x in run]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["rid", "start", "stop", "held"])
 
     return scan
 
@@ -295,9 +338,9 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
     """For records (DataFrames `rid, text`, one per batch) which stretches also stand, unchanged, in another record.
 
     Each batch is appended to the fingerprint index, which merge-joins its hashes with those of all earlier batches. Records with
-    a hash that meets, usually few, are the candidates; of their windows only those with such a hash are compared by a
-    128-bit hash of the whole window. Each window gets a partner record and is verified against its text; verified windows are
-    joined to maximal runs of shared characters. Of candidates with one and the same text (128-bit hash) only the first takes
+    a hash that meets, usually few, are the candidates; of their windows only those with such a hash are compared by a hash of
+    the whole window. Each window gets a partner record and is verified against its text, with a second hash where the first
+    gave a wrong one; verified windows are joined to maximal runs of shared characters. Of candidates with one and the same text (128-bit hash) only the first takes
     part in this; all of them share every long stretch.
 
     An index that already holds records goes on. Returned are the spans of this call's records and of earlier records that share
@@ -324,14 +367,24 @@ def shared_spans(records: list[DataFrame], span: int = SPAN, anchor: int = ANCHO
         "span-copies",
     )
     reps = sized_join(chosen.drop("t1", "t2"), members.where("rid <> rep").select("rid"), "rid", "left_anti")
-    windows = durable(reps.mapInArrow(_window_rows(span, anchor), "w bigint, v bigint, rid bigint, start int"), "span-windows")
-    shared = windows.groupBy("w", "v").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b")
-    partners = windows.join(shared, ["w", "v"]).select("rid", "start", F.when(F.col("a") == F.col("rid"), F.col("b")).otherwise(F.col("a")).alias("partner"))
     copied = durable(members.where("copied and rid = rep").select("rid"), "span-copied")
-    runs = sized_join(partners, copied, "rid", "left_anti").groupBy("rid", "partner").agg(F.collect_set("start").alias("starts"))
     texts = chosen.select("rid", "text")
-    checked = runs.join(texts, "rid").join(texts.select(F.col("rid").alias("partner"), F.col("text").alias("other")), "partner")
-    spans = checked.select("rid", "starts", "text", "other").mapInArrow(_verified(span), "rid bigint, start int, stop int")
+
+    def verified(seed: int, only: DataFrame | None = None) -> DataFrame:
+        windows = reps.mapInArrow(_window_rows(span, anchor, seed), "w bigint, rid bigint, start int, partner bigint")
+        met = windows.repartition(F.when(F.col("partner").isNull(), F.col("w")).otherwise(F.col("rid"))).sortWithinPartitions("w", "rid")
+        partners = sized_join(met.mapInArrow(_partners, "rid bigint, start int, partner bigint"), copied, "rid", "left_anti")
+        if only is not None:
+            partners = partners.join(only, ["rid", "start"], "left_semi")
+        runs = partners.groupBy("rid", "partner").agg(F.collect_set("start").alias("starts"))
+        checked = runs.join(texts, "rid").join(texts.select(F.col("rid").alias("partner"), F.col("text").alias("other")), "partner")
+        return durable(checked.select("rid", "starts", "text", "other").mapInArrow(_verified(span), "rid bigint, start int, stop int, held boolean"), "span-verified")
+
+    spans = verified(2)
+    failed = spans.where("not held").select("rid", "start").distinct()
+    if not failed.isEmpty():  # another window with the same hash was the partner: another hash decides, 128 bits in all
+        spans = spans.where("held").unionByName(verified(3, failed).where("held"))
+    spans = spans.select("rid", "start", "stop")
     whole = sized_join(texts, copied, "rid", "left_semi").mapInArrow(_whole(span), "rid bigint, start int, stop int")
     merged = _joined(spans).unionByName(whole)
     each = index.add_spans(merged.withColumnRenamed("rid", "rep").join(members.select("rid", "rep"), "rep").select("rid", "start", "stop"))
