@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,94 +23,191 @@ def document_frequency(grams: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def pool(queries: DataFrame, entries: DataFrame, n: int, limit: int) -> DataFrame:
-    """For each query the entries that share most n-grams: `q, e`; ties by normalised length, first shared gram, entry."""
-    q, e = gram_table(queries, "q", "source", n).withColumnRenamed("id", "q"), gram_table(entries, "e", "source", n).withColumnRenamed("id", "e")
-    counts = q.join(e, "gram").groupBy("q", "e").agg(F.count("*").alias("shared"), F.min("gram").alias("first"))
-    sized = counts.join(entries.select("e", F.length(tx.normalized(F.col("source"))).alias("size")), "e")
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("shared"), "size", "first", "e"))
-    return sized.withColumn("rank", rank).where(F.col("rank") <= limit).select("q", "e")
+def with_layer(entries: DataFrame) -> DataFrame:
+    """Entries with a `layer`; without one all of them are one layer. Each layer is looked up by itself."""
+    return entries if "layer" in entries.columns else entries.withColumn("layer", F.lit(""))
 
 
-def recall(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Candidates `q, e` of the queries `q, source` among the entries `e, source`: both pools; for short queries, all entries.
+def compact(entries: DataFrame, most: int = max(POOLS.values())) -> tuple[DataFrame, DataFrame]:
+    """The distinct sources of each layer of entries `e, source` and their first entries: `t, layer, source, n, size` and `t, e`.
 
-    A query of at most 6 characters without separators is compared with every distinct source of bounded length: its ratio can
-    reach the threshold only for sources of at most 7/3 of its length, so the join is on that length.
+    t is the text's first entry, n the number of its entries, size its normalised length. At most `most` entries of a text are
+    kept, as no pool can hold more; that limit is applied by each task before the shuffle.
     """
+    solid = with_layer(entries).where("source is not null")
+    texts = durable(solid.groupBy("layer", "source").agg(F.min("e").alias("t"), F.count("*").alias("n")).withColumn("size", F.length(tx.normalized(F.col("source")))), "memory-texts")
+    ranked = solid.withColumn("k", F.row_number().over(W.partitionBy("layer", "source").orderBy("e"))).where(F.col("k") <= most)
+    return texts, durable(ranked.select("layer", "source", "e").join(texts.select("layer", "source", "t"), ["layer", "source"]).select("t", "e"), "memory-members")
+
+
+def grams_of(texts: DataFrame, n: int) -> DataFrame:
+    """The texts of compact() with their distinct n-grams as one array: `t, layer, n, size, grams`."""
+    return durable(texts.select("t", "layer", "n", "size", tx.ngrams(tx.segments(F.col("source")), n).alias("grams")), "text-grams")
+
+
+def shared_grams(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """For queries `q, grams` the texts that share a gram, with the number of shared ones: `q, t, layer, n, shared`."""
+    known = grams.select("t", F.explode("grams").alias("gram"))
+    counts = asked.select("q", F.explode("grams").alias("gram")).join(known, "gram").groupBy("q", "t").agg(F.count("*").alias("shared"))
+    return counts.join(grams.select("t", "layer", "n"), "t")
+
+
+def at_least(counts: DataFrame, limit: int, by: str = "shared") -> DataFrame:
+    """The rows of `q, layer, n` that can be among the first `limit` entries of a query and layer by a whole number: ties stay in.
+
+    From a histogram of each query's numbers, so that nothing but what is needed is ever sorted.
+    """
+    steps = counts.groupBy("q", "layer", by).agg(F.sum(F.least("n", F.lit(limit))).alias("m"))
+    upto = steps.withColumn("upto", F.sum("m").over(W.partitionBy("q", "layer").orderBy(F.desc(by))))
+    least = upto.groupBy("q", "layer").agg(F.coalesce(F.max(F.when(F.col("upto") >= limit, F.col(by))), F.min(by)).alias("least"))
+    return counts.join(least, ["q", "layer"]).where(F.col(by) >= F.col("least")).drop("least")
+
+
+def _cut(texts: DataFrame, members: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
+    """The first `limit` entries of each query and layer by the order, then by entry: rows of `texts` with `e`."""
+    own = [c for c in texts.columns if c not in ("q", "layer")]
+    first = texts.withColumn("k", F.row_number().over(W.partitionBy("q", "layer").orderBy(*order, "t"))).where(F.col("k") <= limit).drop("k")
+    few = F.sum(F.least("n", F.lit(limit)))
+    before = first.withColumn("tie", F.dense_rank().over(W.partitionBy("q", "layer").orderBy(*order)))
+    before = before.withColumn("before", few.over(W.partitionBy("q", "layer").orderBy("tie")) - few.over(W.partitionBy("q", "layer", "tie"))).where(F.col("before") < limit)
+    wide = before.select("q", "layer", *own).join(members, "t")
+    return wide.withColumn("k", F.row_number().over(W.partitionBy("q", "layer").orderBy(*order, "e"))).where(F.col("k") <= limit).drop("k")
+
+
+def pool(queries: DataFrame, texts: DataFrame, members: DataFrame, n: int, limit: int) -> DataFrame:
+    """For each query `q, source` and layer the entries that share most n-grams with it: `q, t, e`; ties by normalised length, first shared gram, entry.
+
+    Counted over distinct texts, queries with one source once, so a text on a third of all rows is one row in the join. A
+    histogram of the counts leaves out what cannot be in the pool before anything is sorted; the first shared gram is
+    looked up for the rest only.
+    """
+    grams = grams_of(texts, n)
+    asked = durable(queries.groupBy("source").agg(F.min("q").alias("q")).withColumn("grams", tx.ngrams(tx.segments(F.col("source")), n)), "pool-queries")
+    left = at_least(durable(shared_grams(asked, grams), "pool-counts"), limit)
+    both = left.join(asked.select("q", F.col("grams").alias("asked")), "q").join(grams.select("t", "size", "grams"), "t")
+    named = both.select("q", "t", "layer", "n", "shared", "size", F.array_min(F.array_intersect("asked", "grams")).alias("first"))
+    ranked = _cut(named, members, [F.desc("shared"), "size", "first"], limit).select("q", "t", "e")
+    return _to_all(ranked, queries, asked)
+
+
+def _to_all(found: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows found for one query of each source, for all queries with it."""
+    names = queries.select("source", F.col("q").alias("id")).join(asked.select("source", "q"), "source").select("q", "id")
+    return found.join(names, "q").drop("q").withColumnRenamed("id", "q")
+
+
+def short_pairs(short: DataFrame, texts: DataFrame) -> DataFrame:
+    """Short queries `q, source` with the texts that can reach the threshold: `q, t`.
+
+    A ratio of 0.6 needs lengths within 3/7 and 7/3 of each other and a common character; the join is on both, so that texts
+    without a common character never meet.
+    """
+    plain = tx.strip_markup(F.col("source"))
+    letters = F.array_distinct(F.split(plain, ""))
+    known = texts.select("t", F.length(plain).alias("n"), F.explode(letters).alias("c"))
+    wide = short.select("q", F.length(plain).alias("m"), letters.alias("cs")).select("q", F.explode("cs").alias("c"), F.sequence(F.ceil(F.col("m") * 3 / 7).cast("int"), F.floor(F.col("m") * 7 / 3).cast("int")).alias("ns"))
+    return wide.select("q", "c", F.explode("ns").alias("n")).join(known, ["n", "c"]).select("q", "t").distinct()
+
+
+def recall(queries: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the queries `q, source` among the entries of each layer, both pools; for short queries, all that can reach the threshold.
+
+    Gives `q, t` with the texts, and the texts `t, layer, source, ...`. A pool is cut by entries: one text on very many of them fills it.
+    """
+    texts, members = compact(entries)
     bare = F.length(F.regexp_replace(tx.normalized(F.col("source")), tx.SEPARATORS, ""))
     short, long = queries.where(bare <= SHORT_QUERY), queries.where(bare > SHORT_QUERY)
-    pools = [pool(long, entries, n, limit) for n, limit in POOLS.items()]
-    plain = F.length(tx.strip_markup(F.col("source")))
-    sized = entries.select("e", plain.alias("n"))
-    wide = short.select("q", plain.alias("m")).select("q", F.explode(F.sequence(F.ceil(F.col("m") * 3 / 7).cast("int"), F.floor(F.col("m") * 7 / 3).cast("int"))).alias("n"))
-    return pools[0].unionByName(pools[1]).unionByName(wide.join(sized, "n").select("q", "e")).distinct()
+    pairs = short_pairs(short, texts)
+    for n, limit in POOLS.items():
+        pairs = pairs.unionByName(pool(long, texts, members, n, limit).select("q", "t"))
+    return durable(pairs.distinct(), "tm-recall"), texts
 
 
 def fuzzy_matches(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, top: int = TOP) -> DataFrame:
-    """The best entries for each query: `q, e, similarity, rank`.
+    """The best entries of each layer for each query: `q, layer, e, similarity, rank`.
 
-    queries: `q, source, context`; entries: `e, source, context`. Sources are compacted to distinct texts before the gram join and before the ratio.
-    Sorted by rounded similarity, context affinity, entry.
+    queries: `q, source, context`; entries: `e, source, context` and perhaps `layer`. The ratio is worked out once for each pair
+    of distinct texts; of one text's entries with one context only the first `top` can be among the best. Sorted by rounded
+    similarity, context affinity, entry.
     """
-    texts = durable(entries.groupBy("source").agg(F.min("e").alias("e")), "tm-texts")
     asked = durable(queries.where("source <> ''").groupBy("source").agg(F.min("q").alias("q")), "tm-queries")
-    pairs = durable(recall(asked, texts), "tm-recall")
-    both = pairs.join(asked.select("q", F.col("source").alias("query")), "q").join(texts.select("e", F.col("source").alias("entry")), "e")
-    scored = both.withColumn("r", ratio(tx.strip_markup(F.col("query")), tx.strip_markup(F.col("entry")), F.lit(threshold))).where(F.col("r") >= threshold)
-    hits = durable(scored.select("query", "entry", F.bround("r", 4).alias("similarity")), "tm-hits")
-    rows = queries.select("q", F.col("source").alias("query"), F.col("context").alias("qc")).join(hits, "query").join(entries.select("e", F.col("source").alias("entry"), F.col("context").alias("ec")), "entry")
-    order = W.partitionBy("q").orderBy(F.desc("similarity"), F.desc(tx.context_affinity(F.coalesce("qc", F.lit("")), F.coalesce("ec", F.lit("")))), "e")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("q", "e", "similarity", "rank")
+    pairs, texts = recall(asked, entries)
+    known = texts.select("t", "layer", F.col("source").alias("entry"))
+    named = pairs.join(asked.select("q", F.col("source").alias("query")), "q").join(known, "t").select("query", "entry", "layer")
+    once = named.select("query", "entry").distinct()
+    scored = once.withColumn("r", ratio(tx.strip_markup(F.col("query")), tx.strip_markup(F.col("entry")), F.lit(threshold))).where(F.col("r") >= threshold)
+    hits = durable(named.join(scored, ["query", "entry"]).select("query", "entry", "layer", F.bround("r", 4).alias("similarity")), "tm-hits")
+    contexts = W.partitionBy("layer", "entry", "ec").orderBy("e")
+    first = with_layer(entries).select("e", "layer", F.col("source").alias("entry"), F.coalesce("context", F.lit("")).alias("ec")).withColumn("k", F.row_number().over(contexts)).where(F.col("k") <= top).drop("k")
+    rows = queries.select("q", F.col("source").alias("query"), F.coalesce("context", F.lit("")).alias("qc")).join(hits, "query").join(first, ["layer", "entry"])
+    order = W.partitionBy("q", "layer").orderBy(F.desc("similarity"), F.desc(tx.context_affinity(F.col("qc"), F.col("ec"))), "e")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("q", "layer", "e", "similarity", "rank")
 
 
 def idf_candidates(queries: DataFrame, entries: DataFrame, limit: int = 200) -> DataFrame:
-    """Entries by the sum of the inverse frequencies of shared 3- and 2-grams: `q, e, score`, at most `limit` a query."""
-    total = entries.count() + 1
+    """Entries of each layer by the sum of the inverse frequencies of shared 3- and 2-grams: `q, layer, e, score`, at most `limit` a query and layer.
+
+    Frequencies count entries, worked out from distinct texts and their numbers.
+    """
+    texts, members = compact(entries, limit)
+    asked = durable(queries.groupBy("source").agg(F.min("q").alias("q")).withColumn("segs", tx.segments(F.col("source"))), "idf-queries")
+    totals = texts.groupBy("layer").agg((F.sum("n") + 1).alias("total"))
     parts = []
     for n in (3, 2):
-        grams = gram_table(entries, "e", "source", n)
-        idf = document_frequency(grams).select("gram", (F.log(F.lit(total) / (F.col("df") + 1)) + 1).alias("idf"))
-        parts.append(gram_table(queries, "q", "source", n).withColumnRenamed("id", "q").join(idf, "gram").join(grams.withColumnRenamed("id", "e"), "gram"))
-    scores = parts[0].unionByName(parts[1]).groupBy("q", "e").agg(F.sum("idf").alias("score"))
-    sized = scores.join(entries.select("e", F.length(tx.normalized(F.col("source"))).alias("size")), "e")
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "size", "e"))
-    return sized.withColumn("rank", rank).where(F.col("rank") <= limit).select("q", "e", "score")
+        known = grams_of(texts, n).select("t", "layer", "n", F.explode("grams").alias("gram"))
+        df = known.groupBy("layer", "gram").agg(F.sum("n").alias("df"))
+        idf = df.join(totals, "layer").select("layer", "gram", (F.log(F.col("total") / (F.col("df") + 1)) + 1).alias("idf"))
+        wanted = asked.select("q", F.explode(tx.ngrams(F.col("segs"), n)).alias("gram")).join(idf, "gram")
+        parts.append(wanted.join(known.select("t", "layer", "gram"), ["layer", "gram"]).groupBy("q", "t").agg(F.sum("idf").alias("score")))
+    sums = parts[0].unionByName(parts[1]).groupBy("q", "t").agg(F.round(F.sum("score"), 9).alias("score"))
+    scores = durable(sums.join(texts.select("t", "layer", "n", "size"), "t").withColumn("step", F.floor(F.col("score") * 8)), "idf-scores")
+    ranked = _cut(at_least(scores, limit, "step").drop("step"), members, [F.desc("score"), "size"], limit).select("q", "layer", "e", "score")
+    return _to_all(ranked, queries, asked)
 
 
 def fragment_support(fragments: DataFrame, entries: DataFrame) -> DataFrame:
-    """How many distinct sources and files have a segment with each fragment: `fragment, sources, files`.
+    """How many distinct sources and files have a segment with each fragment: `layer, fragment, sources, files`.
 
-    Found through the fragment's first gram of four characters, so no fragment is compared with every entry.
+    Found through the fragment's first gram of four characters, so no fragment is compared with every entry; only segments
+    with such a gram go on, each once per layer.
     """
-    segs = entries.select("source", "file", F.explode(tx.segments(F.col("source"))).alias("segment")).distinct()
-    keyed = segs.withColumn("gram", F.explode(tx.ngrams(F.array("segment"), 4)))
-    asked = fragments.select("fragment").distinct().withColumn("gram", F.substring("fragment", 1, 4))
-    hits = asked.join(keyed, "gram").where(F.expr("contains(segment, fragment)"))
-    return hits.groupBy("fragment").agg(F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("files"))
+    fragments, entries = with_layer(fragments), with_layer(entries)
+    pairs = durable(entries.select("layer", "source", "file").distinct(), "support-pairs")
+    asked = fragments.select("layer", "fragment").distinct().withColumn("gram", F.substring("fragment", 1, 4))
+    each = pairs.select("layer", "source").distinct().select("layer", "source", F.explode(tx.segments(F.col("source"))).alias("segment"))
+    keyed = each.select("layer", "source", "segment", F.explode(tx.ngrams(F.array("segment"), 4)).alias("gram"))
+    hits = durable(keyed.join(asked, ["layer", "gram"]).where(F.expr("contains(segment, fragment)")).select("layer", "fragment", "source").distinct(), "support-hits")
+    found = hits.join(pairs, ["layer", "source"])
+    return found.groupBy("layer", "fragment").agg(F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("files"))
 
 
-def fragment_matches(queries: DataFrame, entries: DataFrame, top: int = 5, limit: int = 200) -> DataFrame:
-    """Reusable fragments for each query: `q, fragment, e, target, score, coverage, sources, files, rank`.
+def fragment_matches(queries: DataFrame, entries: DataFrame, top: int = 5, limit: int = 200, exclude: DataFrame | None = None) -> DataFrame:
+    """Reusable fragments of each layer for each query: `q, layer, fragment, e, target, score, coverage, sources, files, rank`.
 
-    queries: `q, source`; entries: `e, source, target, file`. An entry with the query's own source is no evidence for it.
+    queries: `q, source` and perhaps `layer`, if a query asks some layers only; entries: `e, source, target, file`. An entry with
+    the query's own source is no evidence for it, nor one with a source that `exclude` (`q, layer, source`) names.
     """
-    candidates = idf_candidates(queries, entries, limit)
+    entries = with_layer(entries)
+    candidates = idf_candidates(queries.select("q", "source").distinct(), entries, limit)
+    if "layer" in queries.columns:
+        candidates = candidates.join(queries.select("q", "layer").distinct(), ["q", "layer"], "left_semi")
     known = entries.select("e", "target", F.coalesce("file", F.lit("")).alias("file"), F.col("source").alias("entry"))
-    both = candidates.join(queries.select("q", F.col("source").alias("query")), "q").join(known, "e").where("query <> entry")
+    both = candidates.join(queries.select("q", F.col("source").alias("query")).distinct(), "q").join(known, "e").where("query <> entry")
+    if exclude is not None:
+        both = both.join(exclude.select("q", "layer", F.col("source").alias("entry")).distinct(), ["q", "layer", "entry"], "left_anti")
     cut = both.withColumns({"qs": tx.segments(F.col("query")), "es": tx.segments(F.col("entry"))})
-    best = durable(cut.withColumn("b", best_fragment("qs", "es")).select("q", "e", "score", "target", "file", "entry", "b.fragment", F.length("b.segment").alias("n"), F.aggregate("qs", F.lit(0), lambda a, s: a + F.length(s)).alias("m")).where(~tx.weak_fragment(F.col("fragment"))), "fragments")
+    best = durable(cut.withColumn("b", best_fragment("qs", "es")).select("q", "layer", "e", "score", "target", "file", "entry", "b.fragment", F.length("b.segment").alias("n"), F.aggregate("qs", F.lit(0), lambda a, s: a + F.length(s)).alias("m")).where(~tx.weak_fragment(F.col("fragment"))), "fragments")
     size, cover = F.length("fragment"), F.length("fragment") / F.greatest("m", F.lit(1))
-    scored = best.join(fragment_support(best, entries), "fragment").withColumns({
+    scored = best.join(fragment_support(best, entries), ["layer", "fragment"]).withColumns({
         "coverage": F.bround(cover, 4),
         "score": F.bround(F.col("score") + size * 2.0 + cover * 10.0 + size / F.greatest("n", F.lit(1)) * 2.0 + F.col("sources") * 1.25 + F.col("files") * 0.75, 4),
     })
     order = [F.desc("score"), F.desc("files"), F.desc("sources"), F.desc(F.length("fragment")), "file", "entry", "e"]
-    once = durable(scored.withColumn("k", F.row_number().over(W.partitionBy("q", "fragment", "target").orderBy(*order))).where("k = 1").drop("k"), "fragments-once")
-    other = once.select("q", F.col("fragment").alias("f2"), F.col("score").alias("s2"), F.col("e").alias("e2"), F.col("target").alias("t2"))
-    nested = once.join(other, "q").where("contains(f2, fragment) and s2 >= score and not (f2 = fragment and e2 = e and t2 <=> target)").select("q", "fragment", "target", "e")
-    left = once.join(nested, ["q", "fragment", "target", "e"], "left_anti")
-    return left.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("rank") <= top).select("q", "fragment", "e", "target", "score", "coverage", "sources", "files", "rank")
+    once = durable(scored.withColumn("k", F.row_number().over(W.partitionBy("q", "layer", "fragment", "target").orderBy(*order))).where("k = 1").drop("k"), "fragments-once")
+    other = once.select("q", "layer", F.col("fragment").alias("f2"), F.col("score").alias("s2"), F.col("e").alias("e2"), F.col("target").alias("t2"))
+    nested = once.join(other, ["q", "layer"]).where("contains(f2, fragment) and s2 >= score and not (f2 = fragment and e2 = e and t2 <=> target)").select("q", "layer", "fragment", "target", "e")
+    left = once.join(nested, ["q", "layer", "fragment", "target", "e"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(W.partitionBy("q", "layer").orderBy(*order))).where(F.col("rank") <= top).select("q", "layer", "fragment", "e", "target", "score", "coverage", "sources", "files", "rank")
 
 
 def first_wins(entries: DataFrame, order: str = "entry_id") -> DataFrame:
@@ -122,24 +219,32 @@ def first_wins(entries: DataFrame, order: str = "entry_id") -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, replace: bool = True) -> DataFrame:
-    """MERGE of new entries into a memory, by source and context (outer blanks aside).
+    """MERGE of new entries into a memory, by source and context (outer blanks aside), as if they came one after another by entry_id.
 
-    A new key is appended with a new entry_id, its own counted on from the memory's last (no global numbering); an existing key takes the new target if `replace` and the file is the same, and
-    keeps the old row otherwise, as if the new rows came one after another by entry_id. A null file equals none.
+    Of old rows with one key only the first counts. If `replace` and the new row's file is the same (null and empty are one), it
+    takes the new row's texts, the last of several; another file leaves it as it is. A new key is appended with a new entry_id,
+    its own counted on from the memory's last (no global numbering); later new rows with its key and file replace it likewise.
     """
-    key = {"_s": tx.stripped(F.coalesce("source", F.lit(""))), "_c": tx.stripped(F.coalesce("context", F.lit("")))}
+    key = {"_s": tx.stripped(F.coalesce("source", F.lit(""))), "_c": tx.stripped(F.coalesce("context", F.lit(""))), "_f": F.coalesce("file", F.lit(""))}
     o, n = old.withColumns(key), new.withColumns(key)
-    same_file = n.groupBy("_s", "_c", "file").agg(F.max_by(F.struct("source", "target", "context"), "entry_id").alias("u"))
-    changed = o.join(same_file, ["_s", "_c", "file"], "left")
+    texts = F.struct("source", "target", "context", "file")
+    last_of = n.groupBy("_s", "_c", "_f").agg(F.max_by(texts, "entry_id").alias("u"))
+    firsts = o.groupBy("_s", "_c").agg(F.min_by(F.struct("entry_id", "_f"), "entry_id").alias("x")).select("_s", "_c", F.col("x.entry_id").alias("entry_id"), F.col("x._f").alias("_f"))
     pick = lambda c: F.when(F.col("u").isNotNull() & F.lit(replace), F.col(f"u.{c}")).otherwise(F.col(c)).alias(c)
-    kept = changed.select("entry_id", pick("source"), pick("target"), pick("context"), "file")
-    fresh = n.join(o.select("_s", "_c").distinct(), ["_s", "_c"], "left_anti").groupBy("_s", "_c").agg(F.min_by(F.struct("source", "target", "context", "file"), "entry_id").alias("u"), F.min("entry_id").alias("at"))
-    last = old.agg(F.coalesce(F.max("entry_id"), F.lit(0))).first()[0]
-    fresh = fresh.select("_s", "_c", "at", "u.*").join(same_file, ["_s", "_c", "file"], "left")
-    added = fresh.select((F.lit(last) + F.col("at")).cast("bigint").alias("entry_id"), pick("source"), pick("target"), pick("context"), "file")
+    columns = ["entry_id", pick("source"), pick("target"), pick("context"), pick("file")]
+    kept = o.join(firsts.join(last_of, ["_s", "_c", "_f"]).select("entry_id", "u"), "entry_id", "left").select(*columns)
+    fresh = n.join(firsts.select("_s", "_c"), ["_s", "_c"], "left_anti").groupBy("_s", "_c").agg(F.min_by(F.struct("source", "target", "context", "file", "_f"), "entry_id").alias("x"), F.min("entry_id").alias("at"))
+    start = old.agg(F.coalesce(F.max("entry_id"), F.lit(0))).first()[0]
+    added = fresh.select("_s", "_c", (F.lit(start) + F.col("at")).cast("bigint").alias("entry_id"), "x.*").join(last_of, ["_s", "_c", "_f"]).select(*columns)
     return kept.unionByName(added)
 
 
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New entries after the old ones without looking for equal keys, numbered on from the memory's last entry_id."""
+    start = old.agg(F.coalesce(F.max("entry_id"), F.lit(0))).first()[0]
+    return old.unionByName(new.withColumn("entry_id", (F.lit(start) + F.col("entry_id")).cast("bigint")))
+
+
 def layered(entries: DataFrame) -> DataFrame:
     """The entry that counts for each source and context: permanent before runtime, later batches before earlier ones.
 

@@ -130,11 +130,12 @@ def tm_first_wins(spark: SparkSession, d: str) -> DataFrame:
 _KEY = STRIP("coalesce(source, '')") + " AS s, " + STRIP("coalesce(context, '')") + " AS c"
 
 
-@query(f"""WITH o AS (SELECT *, {_KEY} FROM tm_store WHERE scope = 'permanent'), n AS (SELECT *, {_KEY} FROM tm_store WHERE scope = 'runtime'),
-u AS (SELECT s, c, file, max(entry_id) AS id FROM n WHERE file IS NOT NULL GROUP BY s, c, file), l AS (SELECT coalesce(max(entry_id), 0) AS last FROM o),
-k AS (SELECT o.entry_id, CASE WHEN u.id IS NULL THEN o.target ELSE n.target END AS target FROM o LEFT JOIN u ON o.s = u.s AND o.c = u.c AND o.file = u.file LEFT JOIN n ON n.entry_id = u.id),
-a AS (SELECT min(entry_id) AS id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.s = n.s AND o.c = n.c) GROUP BY s, c)
-SELECT entry_id, target FROM k UNION ALL SELECT l.last + a.id, coalesce(m.target, n.target) FROM a JOIN n ON n.entry_id = a.id LEFT JOIN u ON u.s = n.s AND u.c = n.c AND u.file = n.file LEFT JOIN n m ON m.entry_id = u.id, l""")
+@query(f"""WITH o AS (SELECT *, {_KEY}, coalesce(file, '') AS f FROM tm_store WHERE scope = 'permanent'), n AS (SELECT *, {_KEY}, coalesce(file, '') AS f FROM tm_store WHERE scope = 'runtime'),
+x AS (SELECT s, c, min(entry_id) AS id, arg_min(f, entry_id) AS f FROM o GROUP BY s, c), u AS (SELECT s, c, f, max(entry_id) AS id FROM n GROUP BY s, c, f), l AS (SELECT coalesce(max(entry_id), 0) AS last FROM o),
+w AS (SELECT x.id, n.target FROM x JOIN u ON x.s = u.s AND x.c = u.c AND x.f = u.f JOIN n ON n.entry_id = u.id),
+a AS (SELECT s, c, min(entry_id) AS id, arg_min(f, entry_id) AS f FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.s = n.s AND o.c = n.c) GROUP BY s, c)
+SELECT o.entry_id, CASE WHEN w.id IS NULL THEN o.target ELSE w.target END AS target FROM o LEFT JOIN w ON w.id = o.entry_id
+UNION ALL SELECT l.last + a.id, m.target FROM a JOIN u ON u.s = a.s AND u.c = a.c AND u.f = a.f JOIN n m ON m.entry_id = u.id, l""")
 def tm_upsert(spark: SparkSession, d: str) -> DataFrame:
     store = _store(spark, d)
     return memory.upsert(store.where("scope = 'permanent'"), store.where("scope = 'runtime'")).select("entry_id", "target")
@@ -147,25 +148,26 @@ _G = lambda n: f"""SELECT q.id AS q, e.id AS e, count(*) AS shared, min(q.gram)
        + f", c AS ({_G(3)}) SELECT q, e FROM (SELECT q, e, row_number() OVER (PARTITION BY q ORDER BY shared DESC, length(" + HALF("regexp_replace(t.source, '<[^>]+>', '', 'g')") + "), first, e) AS k FROM c JOIN tm_store t ON t.entry_id = c.e) WHERE k <= 300")
 def recall_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = _units(spark, d).where("unit_id % 20 = 0 and source_text is not null").select(F.col("unit_id").alias("q"), F.col("source_text").alias("source"))
-    return memory.pool(queries, _store(spark, d).select(F.col("entry_id").alias("e"), "source"), 3, 300)
+    texts, members = memory.compact(_store(spark, d).select(F.col("entry_id").alias("e"), "source"), 300)
+    return memory.pool(queries, texts, members, 3, 300).select("q", "e")
 
 
 @query()
 def fuzzy_tm_match(spark: SparkSession, d: str) -> DataFrame:
     queries = _units(spark, d).where("unit_id % 20 = 0 and source_text is not null").select(F.col("unit_id").alias("q"), F.col("source_text").alias("source"), "context")
-    return memory.fuzzy_matches(queries, _store(spark, d).select(F.col("entry_id").alias("e"), "source", "context"))
+    return memory.fuzzy_matches(queries, _store(spark, d).select(F.col("entry_id").alias("e"), "source", "context")).drop("layer")
 
 
 @query()
 def fragment_tm_match(spark: SparkSession, d: str) -> DataFrame:
     queries = _units(spark, d).where("unit_id % 20 = 0 and source_text is not null").select(F.col("unit_id").alias("q"), F.col("source_text").alias("source"))
-    return memory.fragment_matches(queries, _store(spark, d).select(F.col("entry_id").alias("e"), "source", "target", "file"))
+    return memory.fragment_matches(queries, _store(spark, d).select(F.col("entry_id").alias("e"), "source", "target", "file")).drop("layer")
 
 
 @query("SELECT t.ja AS fragment, count(DISTINCT s.source) AS sources, count(DISTINCT nullif(s.file, '')) AS files FROM (SELECT DISTINCT ja FROM terms WHERE length(ja) >= 4) t JOIN (SELECT DISTINCT source, file, unnest(" + SEGMENTS("source") + ") AS seg FROM tm_store) s ON contains(s.seg, t.ja) GROUP BY t.ja")
 def fragment_support(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "terms").where("length(ja) >= 4").select(F.col("ja").alias("fragment"))
-    return memory.fragment_support(asked, _store(spark, d))
+    return memory.fragment_support(asked, _store(spark, d)).drop("layer")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT source, scope, {NORMAL('target')} AS target FROM tm_store WHERE {STRIP("coalesce(target, '')")} <> ''),
