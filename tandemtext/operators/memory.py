@@ -181,11 +181,12 @@ def fragment_support(fragments: DataFrame, entries: DataFrame) -> DataFrame:
     return found.groupBy("layer", "fragment").agg(F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("files"))
 
 
-def fragment_matches(queries: DataFrame, entries: DataFrame, top: int = 5, limit: int = 200, exclude: DataFrame | None = None) -> DataFrame:
+def fragment_matches(queries: DataFrame, entries: DataFrame, top: int = 5, limit: int = 200, seen: DataFrame | None = None) -> DataFrame:
     """Reusable fragments of each layer for each query: `q, layer, fragment, e, target, score, coverage, sources, files, rank`.
 
     queries: `q, source` and perhaps `layer`, if a query asks some layers only; entries: `e, source, target, file`. An entry with
-    the query's own source is no evidence for it, nor one with a source that `exclude` (`q, layer, source`) names.
+    the query's own source is no evidence for it, nor, with `seen` (`q, entry, since`), one with a source that a layer not after its
+    own has matched; entries then have the `place` of their layer.
     """
     entries = with_layer(entries)
     candidates = idf_candidates(queries.select("q", "source").distinct(), entries, limit)
@@ -193,8 +194,8 @@ def fragment_matches(queries: DataFrame, entries: DataFrame, top: int = 5, limit
         candidates = candidates.join(queries.select("q", "layer").distinct(), ["q", "layer"], "left_semi")
     known = entries.select("e", "target", F.coalesce("file", F.lit("")).alias("file"), F.col("source").alias("entry"))
     both = candidates.join(queries.select("q", F.col("source").alias("query")).distinct(), "q").join(known, "e").where("query <> entry")
-    if exclude is not None:
-        both = both.join(exclude.select("q", "layer", F.col("source").alias("entry")).distinct(), ["q", "layer", "entry"], "left_anti")
+    if seen is not None:
+        both = both.join(entries.select("e", "place"), "e").join(seen, ["q", "entry"], "left").where("since is null or since > place").drop("since", "place")
     cut = both.withColumns({"qs": tx.segments(F.col("query")), "es": tx.segments(F.col("entry"))})
     best = durable(cut.withColumn("b", best_fragment("qs", "es")).select("q", "layer", "e", "score", "target", "file", "entry", "b.fragment", F.length("b.segment").alias("n"), F.aggregate("qs", F.lit(0), lambda a, s: a + F.length(s)).alias("m")).where(~tx.weak_fragment(F.col("fragment"))), "fragments")
     size, cover = F.length("fragment"), F.length("fragment") / F.greatest("m", F.lit(1))

@@ -8,6 +8,8 @@ import json
 import re
 from typing import Any
 
+from tandemtext.functions.text import PROTECTED
+
 #: The default policies.
 VALIDATION: dict[str, Any] = {
     "ignored_tag_types": ["br"], "forbidden_target_tag_types": [], "tag_mode": "exact", "enforce_maxlength": True, "enforce_newline_count": False,
@@ -18,9 +20,8 @@ SEVERITIES = {
     "punctuation_balance": "warning", "untranslated": "warning", "length_ratio": "warning", "term_consistency": "warning", "duplicate_consistency": "warning",
     "newline_count": "warning", "newline_semantics": "error", "newline_suspicious_break": "warning",
 }
-PROTECTED = [r"\$\{[^{}]+\}", r"%(?:\d+\$)?[sdif]", r"\{\d+\}", r"\\[nrt]"]
 QUALITY: dict[str, Any] = {
-    "rules": {rule: {"enabled": rule != "newline_count", "severity": severity} for rule, severity in SEVERITIES.items()}, "protected_patterns": PROTECTED,
+    "rules": {rule: {"enabled": rule != "newline_count", "severity": severity} for rule, severity in SEVERITIES.items()}, "protected_patterns": list(PROTECTED),
     "length_ratio": {"min": 0.25, "max": 3.0, "min_source_chars": 4}, "ignore_rule_ids": [], "entry_overrides": {}, "plugin": None,
 }
 QUALITY["rules"]["number_parity"]["comparison"] = "numeric_value"
@@ -35,6 +36,10 @@ def validation_policy(given: dict[str, Any] | None = None) -> dict[str, Any]:
     """Defaults replaced key by key; without its own newline policy, an enforced newline count means exact."""
     given = given or {}
     _known(given, VALIDATION, "validation policy")
+    for entry, over in given.get("entry_overrides", {}).items():
+        _known(over, {k: v for k, v in VALIDATION.items() if k not in ("entry_overrides", "allow_empty_ids")} | {"allow_empty": False}, f"override of {entry}")
+    if given.get("tag_mode", "exact") not in ("exact", "count", "ignore"):
+        raise ValueError("tag_mode: exact, count or ignore")
     out = {**copy.deepcopy(VALIDATION), **given}
     if "newline_policy" not in given and out["enforce_newline_count"]:
         out["newline_policy"] = {**out["newline_policy"], "mode": "exact"}
@@ -77,3 +82,18 @@ def revision(validation: dict[str, Any], quality: dict[str, Any], plugin: bytes
     """The content address of a set of rules."""
     text = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
     return hashlib.sha256(b"\x00".join([text(validation), text(quality), plugin])).hexdigest()
+
+
+def load(text: str | None, kind: str) -> dict[str, Any]:
+    """A policy from JSON, `validation` or `quality`; without a text the defaults."""
+    given = json.loads(text) if text and text.strip() else {}
+    if not isinstance(given, dict):
+        raise ValueError(f"{kind} policy: not an object")
+    return {"validation": validation_policy, "quality": quality_policy}[kind](given)
+
+
+def one_revision(revisions: list[str]) -> str:
+    """The revision that all batches share; an error if they were made by different rules."""
+    if len(set(revisions)) != 1:
+        raise ValueError(f"{len(set(revisions))} different revisions")
+    return revisions[0]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+import sys
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +16,17 @@ from tandemtext.operators import terms as glossary
 from tandemtext.operators.policy import entry_rules, quality_policy
 
 
+#: Rules whose findings cannot be set aside.
+STRUCTURAL = ("newline_semantics",)
+
+
 def exact_targets(memory: DataFrame) -> DataFrame:
     """The authoritative targets of each source: those of the permanent layer, else those of the runtime layers.
 
     `source, scope, targets` with the distinct displayed targets, sorted.
     """
-    solid = memory.where(tx.stripped(F.coalesce("target", F.lit(""))) != "").withColumn("target", tx.normal_text(F.col("target")))
-    sets = solid.select("source", "scope", "target").distinct().groupBy("source").agg(
+    solid = memory.where(tx.stripped(F.coalesce("target", F.lit(""))) != "").select("source", "scope", "target").distinct()  # each text is displayed once
+    sets = solid.withColumn("target", tx.normal_text(F.col("target"))).distinct().groupBy("source").agg(
         F.sort_array(F.collect_list(F.when(F.col("scope") == "permanent", F.col("target")))).alias("p"), F.sort_array(F.collect_list(F.when(F.col("scope") == "runtime", F.col("target")))).alias("r"),
     )
     first = F.size("p") > 0
@@ -47,7 +54,7 @@ def local_rules(policy: dict[str, Any]) -> dict[str, Column]:
         "number_parity": tx.numbers(s) != tx.numbers(t) if literal else (s.rlike(r"(?U)\d") | t.rlike(r"(?U)\d")) & numbers_differ(s, t),
         "url_email_parity": tx.addresses(s) != tx.addresses(t),
         "newline_count": breaks(tx.normal_text(s)) != breaks(tx.normal_text(t)),
-        "newline_semantics": (F.col("source").rlike("<tag|\n") | F.col("target").rlike("<tag|\n")) & (F.size(newline_issues(F.col("source"), F.col("target"), F.lit("source_guided"))) > 0),
+        "newline_semantics": (F.col("source").rlike("<tag|\n") | F.col("target").rlike("<tag|\n")) & (F.size(newline_issues(F.col("source"), F.col("target"), F.lit("source_guided"), F.lit(True), F.lit(True))) > 0),
         "newline_suspicious_break": shown.rlike(r"(?U)\d\n\d|[A-Za-z0-9_]\n[A-Za-z0-9_]") | shown.rlike(r"\n[ \t　]*[.,，。！？；：、…!?;:）】」』》]+[ \t　]*(?:\n|$)"),
         "whitespace": tx.whitespace_issue(s, t),
         "punctuation_balance": ~tx.balanced(t),
@@ -107,13 +114,13 @@ def with_plugin(found: DataFrame, extra: DataFrame, known: DataFrame) -> DataFra
 
 
 def reconcile(found: DataFrame, decisions: DataFrame, baseline: DataFrame, result: DataFrame) -> DataFrame:
-    """Errors of decisions `finding_id, id, status, reason` on findings: `finding_id, error`.
+    """Errors of decisions `finding_id, id, status, reason` on findings `finding_id, id, rule`: `finding_id, error`.
 
     baseline and result are `id, target` before and after. Errors: missing, duplicate, unknown, bad_status, other_id,
-    fixed_but_unchanged, accepted_but_changed, no_reason.
+    fixed_but_unchanged, accepted_but_changed, no_reason, structural: a broken structure of line breaks is no matter of taste.
     """
     twice = decisions.groupBy("finding_id").agg(F.count("*").alias("times"))
-    both = found.select("finding_id", F.col("id").alias("fid")).join(decisions, "finding_id", "full_outer").join(twice, "finding_id", "left")
+    both = found.select("finding_id", F.col("id").alias("fid"), "rule").join(decisions, "finding_id", "full_outer").join(twice, "finding_id", "left")
     texts = baseline.select("id", F.coalesce("target", F.lit("")).alias("before")).join(result.select("id", F.coalesce("target", F.lit("")).alias("after")), "id", "full_outer").withColumnRenamed("id", "fid")
     rows = both.join(texts, "fid", "left")
     changed = ~F.col("before").eqNullSafe(F.col("after"))
@@ -123,5 +130,43 @@ def reconcile(found: DataFrame, decisions: DataFrame, baseline: DataFrame, resul
         F.when(F.col("times").isNotNull() & ~F.coalesce(F.col("status").isin("fixed", "false_positive"), F.lit(False)), F.lit("bad_status")), F.when(F.col("fid").isNotNull() & (F.col("id") != F.col("fid")), F.lit("other_id")),
         F.when((F.col("status") == "fixed") & F.col("fid").isNotNull() & ~changed, F.lit("fixed_but_unchanged")), F.when((F.col("status") == "false_positive") & F.col("fid").isNotNull() & changed, F.lit("accepted_but_changed")),
         F.when((F.col("status") == "false_positive") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), F.lit("no_reason")),
+        F.when((F.col("status") == "false_positive") & F.col("rule").isin(*STRUCTURAL), F.lit("structural")),
     ))
     return rows.select("finding_id", F.explode(errors).alias("error")).distinct()
+
+
+def remaining(found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Findings of a second check that no decision set aside as a false positive."""
+    return found.join(decisions.where("status = 'false_positive'").select("finding_id").distinct(), "finding_id", "left_anti")
+
+
+def nested(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with their findings as an array `findings`, in order of rule and id; empty where there are none."""
+    each = found.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("rule", "finding_id", "severity", "detail"))).alias("findings"))
+    joined = entries.join(each, F.col("id").cast("string") == F.col("_id"), "left").drop("_id")
+    return joined.withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<rule:string,finding_id:string,severity:string,detail:string>>")))
+
+
+def run_plugin(path: str, results: list[dict], entries: list[dict], found: list[dict], timeout: float = 30.0) -> list[dict]:
+    """A project's own check as a process of its own: one JSON object in, exactly `{"findings": [...]}` out.
+
+    For the entries of one batch, which is what fits in a task. The process gets no environment but its path, and at most
+    `timeout` seconds. Anything else than well-formed findings on known ids is an error; with_plugin() adds them.
+    """
+    given = json.dumps({"schema_version": 1, "results": results, "entries": entries, "default_findings": found}, ensure_ascii=False)
+    try:
+        done = subprocess.run([sys.executable, "-I", path], input=given.encode(), capture_output=True, timeout=timeout, env={"PATH": "/usr/bin:/bin", "PYTHONIOENCODING": "utf-8"}, check=False)
+    except subprocess.TimeoutExpired as e:
+        raise RuntimeError(f"the plugin took more than {timeout} s") from e
+    if done.returncode:
+        raise RuntimeError(f"the plugin failed: {done.stderr.decode(errors='replace')[-500:]}")
+    said = json.loads(done.stdout)
+    if not isinstance(said, dict) or set(said) != {"findings"} or not isinstance(said["findings"], list):
+        raise RuntimeError("the plugin may print findings only")
+    ids = {str(e.get("id")) for e in entries}
+    for f in said["findings"]:
+        if not isinstance(f, dict) or not {"id", "rule", "severity", "message"} <= set(f) <= {"id", "rule", "severity", "message", "details"}:
+            raise RuntimeError(f"malformed finding: {f}")
+        if str(f["id"]) not in ids or f["severity"] not in ("error", "warning", "info"):
+            raise RuntimeError(f"unknown id or severity: {f}")
+    return [{"id": str(f["id"]), "rule": f["rule"], "severity": f["severity"], "detail": json.dumps({"details": f.get("details"), "message": f["message"]}, ensure_ascii=False, sort_keys=True)} for f in said["findings"]]

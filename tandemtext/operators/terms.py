@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,32 +15,35 @@ from tandemtext.functions import text as tx
 def candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Texts `id, text` with the distinct terms `ja` they contain: `id, ja`.
 
-    Joined on the first two characters of a term (one for a term of one), so the glossary may have any size; Catalyst
-    broadcasts it while it is below the session's threshold.
+    Joined on the first two characters of a term (one for a term of one), taken only where a term can begin, so the glossary may
+    have any size; Catalyst broadcasts it while it is below the session's threshold. The driver gets the first characters of
+    all terms: no more than there are characters.
     """
     asked = terms.where("ja <> ''").select("ja").distinct().withColumn("head", F.substring("ja", 1, 2))
-    n = F.length("text")
-    heads = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.substring(F.col("text"), i, F.lit(2)), F.substring(F.col("text"), i, F.lit(1))))))
-    keyed = texts.where(n > 0).select("id", "text", F.explode(heads).alias("head"))
+    begins = sorted({r["c"] for r in asked.select(F.substring("ja", 1, 1).alias("c")).distinct().collect()})
+    if not begins:
+        return texts.select("id", F.lit("").alias("ja")).where("false")
+    first = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in begins) + "]"
+    heads = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=({first}.?))"), F.lit(1)))
+    both = F.array_distinct(F.concat(heads, F.transform(heads, lambda h: F.substring(h, 1, 1))))
+    keyed = texts.where(F.length("text") > 0).select("id", "text", F.explode(both).alias("head"))
     return keyed.join(asked, "head").where(F.expr("contains(text, ja)")).select("id", "ja").distinct()
 
 
 def accepted(text: str, found: list[str], order: dict[str, int] | None = None) -> list[str]:
-    """The terms that keep an occurrence when longer terms, then earlier ones, take theirs first; only other terms block."""
-    taken: list[tuple[int, int, str]] = []
-    out = []
-    for ja in sorted(found, key=lambda t: (-len(t), (order or {}).get(t, 0), t)):
-        at, kept = text.find(ja), False
-        while at >= 0:
-            end = at + len(ja)
-            if any(a < end and at < z and other != ja for a, z, other in taken):
-                at = text.find(ja, at + 1)
-                continue
-            taken.append((at, end, ja))
-            kept, at = True, text.find(ja, end)
-        if kept:
-            out.append(ja)
-    return out
+    """The terms that keep an occurrence when longer terms, then earlier ones, take theirs first; only other terms block.
+
+    All occurrences of a term are listed, then those on characters that no other term owns are taken from the left.
+    """
+    owner, kept = [0] * len(text), []
+    for rank, ja in enumerate(sorted(found, key=lambda t: (-len(t), (order or {}).get(t, 0), t)), 1):
+        free, size = 0, len(ja)
+        for a in [m.start() for m in re.finditer(f"(?={re.escape(ja)})", text)]:
+            if a >= free and {0, rank}.issuperset(owner[a : a + size]):
+                owner[a : a + size], free = [rank] * size, a + size
+        if rank in owner:
+            kept.append(ja)
+    return kept
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

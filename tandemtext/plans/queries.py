@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions import text as tx
 from tandemtext.functions.vectorized import layout_of, nfkc
-from tandemtext.operators import batching, memory, quality, terms, validation
+from tandemtext.operators import batching, layers, memory, quality, tasks, terms, validation
 from tandemtext.session import table
+from tandemtext.sources import bilingual
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,7 +306,7 @@ def last_result_wins(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def validation_violations(spark: SparkSession, d: str) -> DataFrame:
     units = _units(spark, d)
-    expected = units.select(F.col("unit_id").alias("id"), F.col("source_text").alias("source"), F.lit("").alias("baseline"), F.lit(False).alias("locked"), F.lit(False).alias("source_locked"), F.lit(False).alias("preserve"), "maxlengthchars")
+    expected = units.select(F.col("unit_id").alias("id"), F.col("source_text").alias("source"), F.lit("").alias("baseline"), F.coalesce("is_locked", F.lit(False)).alias("locked"), F.lit(False).alias("source_locked"), F.lit(False).alias("preserve"), "maxlengthchars")
     return validation.violations(expected, units.where("status <> 'NotStarted'").select(F.col("unit_id").alias("id"), F.col("unit_id").alias("ord"), F.col("target_text").alias("target")))
 
 
@@ -319,3 +320,80 @@ def maxlength_violations(spark: SparkSession, d: str) -> DataFrame:
     expected = units.select(F.col("unit_id").alias("id"), F.col("source_text").alias("source"), F.lit("").alias("baseline"), F.lit(False).alias("locked"), F.lit(False).alias("source_locked"), F.lit(False).alias("preserve"), "maxlengthchars")
     found = validation.violations(expected, units.select(F.col("unit_id").alias("id"), F.col("unit_id").alias("ord"), F.col("target_text").alias("target")))
     return found.where("code in ('too_long', 'maxlength_unreadable')").select("id", "code")
+
+
+@query(f"""WITH b AS (SELECT unit_id AS id, coalesce(target_text, '') AS t, CASE WHEN status = 'Pretranslated' THEN {STRIP("coalesce(target_text, '')")} ELSE '' END AS base, coalesce(is_locked, false) AS locked, status = 'Rejected' AND has_inline_tags AS preserve FROM transunit)
+SELECT id, code FROM (SELECT id, CASE WHEN preserve OR (locked AND base <> '') THEN CASE WHEN t <> base THEN 'preserved_changed' END WHEN locked AND t <> base THEN 'locked_changed' END AS code FROM b
+UNION ALL SELECT id, CASE WHEN NOT (preserve OR (locked AND base <> '')) AND {STRIP("t")} = '' THEN 'empty_target' END FROM b) WHERE code IS NOT NULL""")
+def preserved_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Earlier targets of pretranslated units are those without outer blanks; rejected units with tags are to be preserved."""
+    units = _units(spark, d)
+    base = F.when(F.col("status") == "Pretranslated", tx.stripped(F.coalesce("target_text", F.lit("")))).otherwise("")
+    expected = units.select(F.col("unit_id").alias("id"), F.col("source_text").alias("source"), base.alias("baseline"), F.col("is_locked").alias("locked"), F.lit(False).alias("source_locked"), ((F.col("status") == "Rejected") & F.col("has_inline_tags")).alias("preserve"), "maxlengthchars")
+    found = validation.violations(expected, units.select(F.col("unit_id").alias("id"), F.col("unit_id").alias("ord"), F.col("target_text").alias("target")))
+    return found.where("code in ('preserved_changed', 'locked_changed', 'empty_target')").select("id", "code")
+
+
+# Layers and tasks
+
+
+@query("SELECT scope, count(DISTINCT CASE WHEN scope = 'permanent' THEN 'permanent' ELSE 'runtime/' || coalesce(document, '') || '/' || coalesce(batch::VARCHAR, '') END) AS layers, count(*) AS entries FROM tm_store GROUP BY scope")
+def layer_counts(spark: SparkSession, d: str) -> DataFrame:
+    return layers.layer_counts(_store(spark, d))
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    base = F.when(F.col("status") != "NotStarted", F.col("target_text")).alias("baseline")
+    return _units(spark, d).select(F.col("unit_id").alias("id"), F.col("source_text").alias("source"), F.col("target_text").alias("target"), "context", "note", base, "maxlengthchars", F.coalesce("is_locked", F.lit(False)).alias("source_locked"), F.lit(False).alias("preserve"), F.lit(None).cast("boolean").alias("locked"), "status", "has_inline_tags")
+
+
+_TASKS = "b AS (SELECT unit_id AS id, source_text AS source, context, note, maxlengthchars, coalesce(CASE WHEN status <> 'NotStarted' THEN target_text END, '') AS base, coalesce(is_locked, false) AS sl FROM transunit)"
+
+
+@query(f"""WITH {_TASKS}, h AS (SELECT *, sl OR {STRIP("base")} <> '' AS held FROM b) SELECT id, source, nullif(context, '') AS context,
+nullif({STRIP("concat_ws(' ', nullif(note, ''), CASE WHEN sl THEN '" + tasks.SOURCE_LOCKED + "' WHEN held THEN '" + tasks.TARGET_LOCKED + "' END)")}, '') AS note, CASE WHEN held THEN base ELSE '' END AS target, held AS locked, CASE WHEN held THEN true END AS preserve_existing FROM h""")
+def translate_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.translate_rows(_tasks(spark, d))
+
+
+@query(f"""WITH {_TASKS} SELECT id, source, base AS translated, nullif(context, '') AS context, nullif(note, '') AS note, nullif(maxlengthchars, '') AS maxlengthchars, sl OR {STRIP("base")} <> '' AS locked, CASE WHEN sl THEN true END AS preserve_existing FROM b""")
+def review_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.review_rows(_tasks(spark, d))
+
+
+@query(f"SELECT unit_id AS id FROM transunit WHERE NOT coalesce(is_locked, false) AND {STRIP("coalesce(source_text, '')")} <> '' AND {STRIP("coalesce(target_text, '')")} = ''")
+def untranslated_units(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.untranslated(_tasks(spark, d))
+
+
+@query(f"SELECT count(*) AS units, count(*) FILTER ({STRIP("coalesce(target_text, '')")} <> '') AS targets, CASE WHEN count(*) FILTER ({STRIP("coalesce(target_text, '')")} <> '') = 0 THEN 'none' WHEN count(*) FILTER ({STRIP("coalesce(target_text, '')")} <> '') = count(*) THEN 'full' ELSE 'mixed' END AS mode FROM transunit")
+def target_mode(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.target_mode(_tasks(spark, d))
+
+
+@query(f"""WITH k AS (SELECT 'all' AS kind, '' AS name FROM transunit UNION ALL SELECT 'status', coalesce(status, '') FROM transunit UNION ALL SELECT 'tags', '' FROM transunit WHERE has_inline_tags
+UNION ALL SELECT 'target', '' FROM transunit WHERE {STRIP("coalesce(target_text, '')")} <> '' UNION ALL SELECT 'context', split_part(context, '.', 1) FROM transunit WHERE coalesce(context, '') <> ''),
+c AS (SELECT kind, name, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, name) AS r FROM k GROUP BY kind, name)
+SELECT kind, name, n, printf('%.1f%%', n / (SELECT count(*) FROM transunit) * 100) AS share FROM c WHERE kind <> 'context' OR r <= 10""")
+def file_info(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.file_info(_tasks(spark, d))
+
+
+@query("""WITH c AS (SELECT unnest(['target_text', 'note', 'first_label']) AS col, unnest([0, 1, 2]) AS pos, unnest([trim(coalesce(target_text, ''), ' '), trim(coalesce(note, ''), ' '), trim(coalesce(first_label, ''), ' ')]) AS v FROM transunit),
+p AS (SELECT col, pos, count(*) FILTER (v <> '') AS filled, count(*) FILTER (v LIKE '#%' OR v LIKE '//%' OR regexp_matches(v, '^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2})')) AS spoilt FROM c GROUP BY col, pos)
+SELECT col AS "column", (CASE WHEN filled = 0 THEN 1000000000 ELSE spoilt END)::BIGINT AS penalty, filled FROM p ORDER BY penalty, filled DESC, pos LIMIT 1""")
+def column_choice(spark: SparkSession, d: str) -> DataFrame:
+    return bilingual.column_choice(_units(spark, d), ["target_text", "note", "first_label"])
+
+
+@query()
+def layered_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Whole matches of every unit with an id divisible by 20 in all layers."""
+    asked = _units(spark, d).where("unit_id % 20 = 0 and source_text is not null").select(F.col("unit_id").alias("q"), F.col("source_text").alias("source"), "context")
+    return layers.whole_matches(asked, _store(spark, d).withColumnRenamed("entry_id", "e"))
+
+
+@query()
+def layered_fragments(spark: SparkSession, d: str) -> DataFrame:
+    asked = _units(spark, d).where("unit_id % 20 = 0 and source_text is not null").select(F.col("unit_id").alias("q"), F.col("source_text").alias("source"), "context")
+    return layers.fragments(asked, _store(spark, d).withColumnRenamed("entry_id", "e"))

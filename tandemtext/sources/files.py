@@ -6,6 +6,7 @@ task that holds it. A file that cannot be read gives one row with `error` instea
 
 from __future__ import annotations
 
+import html
 import io
 import json
 import re
@@ -139,6 +140,26 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+#: What format codes are called; others close something or keep their name.
+FORMAT_NAMES = {
+    "<color.strong/>": "强调色开始", "<color/>": "颜色结束", "<b/>": "粗体开始", "</b>": "粗体结束", "<i/>": "斜体开始", "</i>": "斜体结束", "<u/>": "下划线开始", "</u>": "下划线结束",
+    "<color.attention/>": "警示色开始", "<color.sub/>": "副色开始", "<color.weak/>": "弱色开始", "<size.large/>": "大字号开始", "<size/>": "字号结束",
+}
+NO_FORMAT = "格式标签"
+
+
+def format_name(code: str) -> str:
+    """What a format code is called in a marker's description."""
+    code = code.strip()
+    closed = re.fullmatch(r"</(.*?)>?", code, re.DOTALL)
+    return NO_FORMAT if not code else FORMAT_NAMES.get(code) or (f"{closed[1]}结束" if closed else code.translate(str.maketrans("<>", "⟨⟩")))
+
+
+def escaped(text: str) -> str:
+    """A description as it can stand in a marker."""
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("'", "&apos;")
+
+
 def inline_text(node: ET.Element | None) -> str:
     """Mixed content with inline elements as tag markers, in order."""
     if node is None:
@@ -147,10 +168,11 @@ def inline_text(node: ET.Element | None) -> str:
     for x in node:
         kind, ident, inner = _local(x.tag), x.get("id", ""), "".join(x.itertext())
         value = re.search(r"(?:val|displaytext)=['\"]([^'\"]*)['\"]", inner)
-        desc = value.group(1) if value else inner.strip()
-        desc = re.sub(r"['<>]", "", desc)
+        raw = html.unescape(value.group(1) if value else inner.strip())
+        desc, name = re.sub(r"['<>]", "", raw), re.sub("['<>]", "", format_name(raw))
+        name = name if name in FORMAT_NAMES.values() or name.endswith("结束") else f"⟨{desc.strip('⟨⟩')}⟩"
         if kind == "ph":
-            marks = (("<mq:ch", "br", "换行"), ("<mq:rxt-req", "req", f"⟨{desc.strip('⟨⟩')}⟩"), ("<mq:rxt", "/fmt" if desc.lstrip("⟨").startswith("/") else "fmt", f"⟨{desc.strip('⟨⟩')}⟩"))
+            marks = (("<mq:ch", "br", "换行"), ("<mq:rxt-req", "req", f"⟨{desc.strip('⟨⟩')}⟩"), ("<mq:rxt", "/fmt" if desc.lstrip("⟨").startswith("/") or name.endswith("结束") else "fmt", name))
             typ, shown = next(((t, d) for m, t, d in marks if inner.lstrip().startswith(m)), ("unknown", desc))
         elif kind in ("bpt", "ept"):
             typ, shown, ident = ("fmt-open", f"⟨{desc}⟩", ident) if kind == "bpt" else ("fmt-close", f"⟨/{desc.lstrip('/')}⟩", f"{ident}_ept")

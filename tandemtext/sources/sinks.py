@@ -12,10 +12,13 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tandemtext.functions import text as tx
 from tandemtext.sources.files import REL, SHEET, WORD, _column, _local, decoded
 
 _MARKER = re.compile(r"<tag id='([^']*)' type='([^']*)' desc='([^']*)'/>")
+_BARE = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9]*(?:=[^>]*)?)>")
 
 
 def lines_with_targets(data: bytes, targets: dict[str, str]) -> bytes:
@@ -162,6 +165,54 @@ def write_back(files: DataFrame, results: DataFrame, kind: str) -> DataFrame:
     return files.groupBy("file").cogroup(results.groupBy("file")).applyInPandas(build, "file string, content binary, error string")
 
 
+#: Names by which a closing tag may be written, with the word its description has.
+CLOSE_ALIASES = {"color": "color", "颜色": "color", "i": "斜体", "斜体": "斜体", "b": "粗体", "粗体": "粗体", "u": "下划线", "下划线": "下划线", "size": "字号", "字号": "字号"}
+FORMAT_TYPES = ("fmt", "/fmt", "fmt-open", "fmt-close")
+
+
+def markers_for_bare_tags(target: str, source: str) -> str:
+    """Bare tags of a target as the markers of the source that are described so, or that close what they name; others stay."""
+    known = [(m[2], m[3], m[0]) for m in _MARKER.finditer(source) if m[2] in FORMAT_TYPES and m[3]]
+    shown = {desc: whole for _, desc, whole in known}
+    ends = {desc[:-2]: whole for kind, desc, whole in known if kind in ("/fmt", "fmt-close") and desc.endswith("结束")}
+    closing = {alias: ends[word] for alias, word in CLOSE_ALIASES.items() if word in ends}
+
+    def marker(m: re.Match) -> str:
+        own = shown.get(f"⟨{m[1]}⟩")
+        return own or (closing.get(m[1][1:]) if m[1].startswith("/") else None) or m[0]
+
+    return _BARE.sub(marker, target)
+
+
+@F.pandas_udf(T.StringType())
+def bare_to_markers(target: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else markers_for_bare_tags(t, s or "") for t, s in zip(target, source, strict=True)])
+
+
+def written_errors(expected: DataFrame, parsed: DataFrame) -> DataFrame:
+    """What is wrong with written targets, read again: `file, id, error`.
+
+    expected and parsed are `file, id, target`. The sequences of tag ids must be equal, no inline element may stand in a text as
+    letters, and every unit must be there.
+    """
+    ids = lambda c: F.transform(tx.tags(F.coalesce(F.col(c), F.lit(""))), lambda t: t["id"])
+    both = expected.select("file", "id", F.col("target").alias("want")).join(parsed.select("file", "id", F.coalesce("target", F.lit("")).alias("got"), F.lit(True).alias("there")), ["file", "id"], "left")
+    error = F.when(F.col("there").isNull(), "missing").when(ids("want") != ids("got"), "tag_sequence").when(F.col("got").rlike("<(?:ph|bpt|ept) "), "literal_element")
+    return both.select("file", "id", error.alias("error")).where("error is not null")
+
+
+def export(expected: DataFrame, parsed: DataFrame, waiting: DataFrame, source_path: str, target_path: str) -> DataFrame:
+    """Gates before a final export, as `gate, id` of what fails: units that are untranslated, texts that differ after reading them again without markers.
+
+    Writing over the source is an error.
+    """
+    if source_path.rstrip("/") == target_path.rstrip("/"):
+        raise ValueError("the export would overwrite its source")
+    plain = lambda c: tx.plain(F.col(c))
+    differ = expected.select("file", "id", plain("target").alias("want")).join(parsed.select("file", "id", plain("target").alias("got")), ["file", "id"], "left").where(~F.col("want").eqNullSafe(F.col("got")))
+    return waiting.select(F.lit("untranslated").alias("gate"), F.col("id").cast("string").alias("id")).unionByName(differ.select(F.lit("round_trip").alias("gate"), F.col("id").cast("string").alias("id")))
+
+
 def round_trip_errors(expected: DataFrame, parsed: DataFrame) -> DataFrame:
     """Units whose written target differs from the expected one: `file, id`."""
     same = F.col("e.target").eqNullSafe(F.col("p.target"))

@@ -84,3 +84,34 @@ def test_stream_of_layers(spark, tmp_path):
     table = sinks.VersionedTable(spark, str(tmp_path / "store"))
     assert [r["target"] for r in table.read().collect()] == ["t2"] and [r["target"] for r in table.read(0).collect()] == ["t"]
     assert memory.first_wins(table.read()).count() == 1
+
+
+def test_bilingual_columns():
+    from tandemtext.sources import bilingual
+
+    rows = [(1, {0: "title"}), (2, {0: "ID", 1: "日本語A", 2: "日本語B", 3: "中文"}), (3, {0: "1", 1: "# 注", 2: "甲", 3: "A"}), (4, {0: "2", 1: "2024-01-01", 2: "乙", 3: "B"})]
+    assert bilingual.header(rows) == (2, [1, 2], [3])
+    assert bilingual.columns_of(rows) == (1, 3, 2) and bilingual.columns_of(rows, clean=True) == (2, 3, 2)
+    assert bilingual.columns_of(rows[2:]) == (0, 1, 0) and bilingual.columns_of(rows, "B", "B") == (1, 2, 2) and bilingual.columns_of(rows, header_row=0)[2] == 0
+    assert bilingual.cleanest(rows[2:], [5, 2]) == 2 and bilingual.cleanest([], []) is None
+
+
+def test_bare_tags_and_written_errors(spark):
+    from tandemtext.sources import sinks
+
+    source = "<tag id='1' type='fmt' desc='⟨actor⟩'/>あ<tag id='2' type='fmt' desc='粗体开始'/>い<tag id='3' type='/fmt' desc='粗体结束'/>"
+    assert sinks.markers_for_bare_tags("<actor>甲</b><what>", source) == "<tag id='1' type='fmt' desc='⟨actor⟩'/>甲<tag id='3' type='/fmt' desc='粗体结束'/><what>"
+    want = spark.createDataFrame([("f", "1", source), ("f", "2", "a"), ("f", "3", source)], "file string, id string, target string")
+    got = spark.createDataFrame([("f", "1", source), ("f", "2", "<ph id='1'/>"), ("f", "3", "x")], "file string, id string, target string")
+    assert {(r["id"], r["error"]) for r in sinks.written_errors(want, got).collect()} == {("2", "literal_element"), ("3", "tag_sequence")}
+    waiting = want.where("id = '2'").select("id")
+    assert {(r["gate"], r["id"]) for r in sinks.export(want, got, waiting, "/a", "/b").collect()} == {("untranslated", "2"), ("round_trip", "2"), ("round_trip", "3")}
+
+
+def test_rebuilt_memory_and_column_choice(spark):
+    from tandemtext.sources import bilingual
+
+    pairs = spark.createDataFrame([("b", 2, "s", "late", "c"), ("a", 9, " s", "first", "c"), ("a", 10, "s", "", "c"), ("a", 11, "t", "t", "")], "file string, row bigint, source string, target string, context string").selectExpr("*", "cast(null as string) as error")
+    assert sorted((r["source"], r["target"], r["file"]) for r in bilingual.rebuilt_memory(pairs).collect()) == [("s", "first", "a"), ("t", "t", "a")]
+    df = spark.createDataFrame([("# x", "a", None), ("b", "b", None), ("c", None, None)], "p string, q string, r string")
+    assert tuple(bilingual.column_choice(df, ["p", "q", "r"]).first()) == ("q", 0, 2)

@@ -58,6 +58,15 @@ def test_upsert_and_first_wins(spark):
     assert [r["entry_id"] for r in memory.first_wins(new.unionByName(new.withColumn("entry_id", F.col("entry_id") + 10))).orderBy("entry_id").collect()] == [1, 2]
 
 
+def test_upsert_with_null_files_and_repeated_keys(spark):
+    old = store(spark, [("s", "a", "c", None, "permanent", None), ("s", "b", "c", "", "permanent", None), ("t", "t", None, "x", "permanent", None)])
+    new = store(spark, [("s", "n1", "c", "", "runtime", 1), ("s", "n2", "c", None, "runtime", 1), ("t", "no", "", None, "runtime", 1), ("u", "u1", "", None, "runtime", 1), ("u", "u2", "", "y", "runtime", 1), ("u", "u3", "", "", "runtime", 1)])
+    rows = sorted((r["source"], r["target"]) for r in memory.upsert(old, new).collect())
+    assert rows == [("s", "b"), ("s", "n2"), ("t", "t"), ("u", "u3")]
+    assert sorted(r["target"] for r in memory.upsert(old, new, replace=False).collect()) == ["a", "b", "t", "u1"]
+    assert memory.append(old, new).count() == 9 and memory.append(old, new).select("entry_id").distinct().count() == 9
+
+
 def test_layers(spark):
     rows = [("s", "run1", "", "f", "runtime", 1), ("s", "perm", "", "f", "permanent", None), ("t", "run1", None, "f", "runtime", 1), ("t", "run2", "", "f", "runtime", 2), ("t", " ", "", "f", "runtime", 3)]
     got = {r["source"]: r["target"] for r in memory.layered(store(spark, rows)).collect()}
@@ -134,11 +143,11 @@ def test_exact_memory_and_terms(spark):
 
 
 def test_reconcile_decisions(spark):
-    found = spark.createDataFrame([("f1", "1"), ("f2", "2"), ("f3", "3"), ("f4", "4")], "finding_id string, id string")
+    found = spark.createDataFrame([("f1", "1", "a"), ("f2", "2", "newline_semantics"), ("f3", "3", "a"), ("f4", "4", "a")], "finding_id string, id string, rule string")
     decisions = spark.createDataFrame([("f1", "1", "fixed", ""), ("f2", "2", "false_positive", ""), ("f3", "3", "what", "r"), ("f3", "3", "what", "r"), ("f9", "9", "fixed", "")], "finding_id string, id string, status string, reason string")
     texts = spark.createDataFrame([(str(i), "t") for i in range(1, 5)], "id string, target string")
     got = sorted((r["finding_id"], r["error"]) for r in quality.reconcile(found, decisions, texts, texts).collect())
-    assert got == [("f1", "fixed_but_unchanged"), ("f2", "no_reason"), ("f3", "bad_status"), ("f3", "duplicate"), ("f4", "missing"), ("f9", "unknown")]
+    assert got == [("f1", "fixed_but_unchanged"), ("f2", "no_reason"), ("f2", "structural"), ("f3", "bad_status"), ("f3", "duplicate"), ("f4", "missing"), ("f9", "unknown")]
 
 
 def test_plugin_only_appends(spark):
@@ -154,3 +163,107 @@ def test_violations(spark):
     submitted = spark.createDataFrame([("1", 1, "new"), ("2", 1, "bb<i>"), ("3", 1, "ok"), ("4", 1, " "), ("9", 1, "x"), ("9", 2, "x")], "id string, ord bigint, target string")
     got = {(r["id"], r["code"]) for r in validation.violations(expected, submitted).collect()}
     assert got == {("1", "preserved_changed"), ("2", "bare_tag"), ("2", "tag_exact"), ("2", "too_long"), ("3", "maxlength_unreadable"), ("4", "empty_target"), ("5", "missing"), ("9", "extra"), ("9", "duplicate")}
+
+
+def test_policies_of_single_entries(spark):
+    schema = "id string, source string, baseline string, locked boolean, source_locked boolean, preserve boolean, maxlengthchars string"
+    br = "<tag id='1' type='br' desc='换行'/>"
+    color = "<tag id='2' type='fmt' desc='x'/>"
+    expected = spark.createDataFrame([(str(i), color + "甲" + br + "乙", "", False, False, False, "3") for i in range(1, 6)], schema)
+    submitted = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate((br + "一二三四", br + "一二三四", "", color + "一" + br + "二", "一"), 1)], "id string, ord bigint, target string")
+    given = {"entry_overrides": {"1": {"tag_mode": "ignore", "enforce_maxlength": False, "newline_policy": {"mode": "free", "forbid_edge_breaks": False}}, "3": {"allow_empty": True, "tag_mode": "ignore"}, "4": {"forbidden_target_tag_types": ["fmt"]}}}
+    got = {(r["id"], r["code"], r["detail"]) for r in validation.violations(expected, submitted, given).collect()}
+    assert got == {("2", "tag_exact", ""), ("2", "too_long", "4>3"), ("2", "newline_semantics", "leading_break"), ("4", "forbidden_tag_type", "fmt"), ("5", "tag_exact", "")}
+    with pytest.raises(ValueError):
+        policy.validation_policy({"entry_overrides": {"1": {"tagmode": "ignore"}}})
+    kept = spark.createDataFrame([("1", color, "x"), ("4", color, color), ("5", color, "<tag oops"), ("6", "a", None), ("7", color, "x")], "id string, source string, baseline string").withColumns({"locked": F.lit(False), "source_locked": F.lit(True), "preserve": F.lit(False)})
+    assert {(r["id"], r["code"]) for r in validation.audit_preserved(kept, given).collect()} == {("4", "forbidden_tag_type"), ("5", "malformed"), ("6", "not_string"), ("7", "tag_mismatch")}
+    assert policy.load(None, "quality") == policy.quality_policy() and policy.load('{"tag_mode": "count"}', "validation")["tag_mode"] == "count"
+    assert policy.one_revision(["a", "a"]) == "a"
+
+
+def test_wrapped_results(spark):
+    files = spark.createDataFrame([('[{"id": "1", "target": "a"}, {"id": "2"}]',), ('{"entries": [{"id": "3", "target": "b"}]}',), ("what",)], "value string")
+    got = {(r["id"], r["target"], r["code"]) for r in validation.wrapped_results(files).collect()}
+    assert got == {("1", "a", None), ("2", None, "bad_entry"), ("3", "b", None), (None, None, "wrapped"), (None, None, "unreadable")}
+
+
+def test_findings_on_entries_and_what_remains(spark):
+    rows = [("同じ", "同じ", False), ("a", "b", False)]
+    found = quality.findings(pairs(spark, rows))
+    got = {r["id"]: [f["rule"] for f in r["findings"]] for r in quality.nested(pairs(spark, rows), found).collect()}
+    assert got == {"0": ["untranslated"], "1": []}
+    decisions = found.select("finding_id", "id", F.lit("false_positive").alias("status"), F.lit("r").alias("reason"))
+    assert quality.remaining(found, decisions).count() == 0 and quality.remaining(found, decisions.withColumn("status", F.lit("fixed"))).count() == 1
+
+
+def test_plugin_process(tmp_path):
+    def plugin(code):
+        (tmp_path / "p.py").write_text("import json, sys, time\nd = json.load(sys.stdin)\n" + code)
+        return lambda timeout=5: quality.run_plugin(str(tmp_path / "p.py"), [], [{"id": 1}], [], timeout)
+
+    said = plugin("print(json.dumps({'findings': [{'id': e['id'], 'rule': 'r', 'severity': 'info', 'message': 'm'} for e in d['entries']]}))")()
+    assert said == [{"id": "1", "rule": "r", "severity": "info", "detail": '{"details": null, "message": "m"}'}]
+    for code in ("print(json.dumps({'findings': [], 'more': 1}))", "print(json.dumps({'findings': [{'id': '2', 'rule': 'r', 'severity': 'info', 'message': 'm'}]}))", "raise SystemExit(3)"):
+        with pytest.raises(RuntimeError):
+            plugin(code)()
+    with pytest.raises(RuntimeError, match="took more"):
+        plugin("time.sleep(5)")(0.2)
+
+
+def test_layered_lookup(spark):
+    from tandemtext.operators import layers
+
+    rows = [
+        (1, "装備とマテリア", "装备与魔石", "m", "a", "permanent", None, None), (2, "装備とマテリア", "旧", "m", "r1", "runtime", 1, "d"), (3, "装備とマテリア", "新", "m", "r2", "runtime", 2, "d"),
+        (4, "魔法マテリアの説明文を読む", "读", "", "a", "permanent", None, None), (5, "裏側の世界だ", "里侧", "", "r1", "runtime", 1, "d"), (6, "これが裏側の世界", "里侧的", "", "r2", "runtime", 2, "e"),
+    ]
+    entries = spark.createDataFrame(rows, "e bigint, source string, target string, context string, file string, scope string, batch int, document string")
+    queries = spark.createDataFrame([(1, "装備とマテリア", "m"), (2, "裏側の世界で待っています", "")], "q bigint, source string, context string")
+    matches, fragments = layers.lookup(queries, entries)
+    got = [(r["scope"], r["batch"], r["target"], r["pos"]) for r in matches.where("q = 1").orderBy("scope", "pos").collect()]
+    assert got == [("permanent", None, "装备与魔石", 1), ("runtime", 2, "新", 1)]
+    found = {(r["q"], r["batch"], r["fragment"]) for r in fragments.collect()}
+    assert (2, 1, "裏側の世界") in found and (2, 2, "裏側の世界") in found and not [f for f in found if f[0] == 1]
+    assert {r["scope"]: (r["layers"], r["entries"]) for r in layers.layer_counts(entries).collect()} == {"permanent": (1, 2), "runtime": (3, 4)}
+
+
+def test_runtime_entries(spark, tmp_path):
+    from tandemtext.operators import layers, tasks
+
+    units = spark.createDataFrame([("1", " a ", "x ", "c", "", False, False, False), ("2", "b", "y", None, "", False, True, False), ("3", "c", " ", None, "", False, False, False), ("4", "d", "z", None, "", False, False, False), ("5", "e", "", None, "", False, False, False)], "id string, source string, target string, context string, baseline string, locked boolean, source_locked boolean, preserve boolean")
+    asked = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    assert [tuple(r)[1:] for r in layers.runtime_entries(units, asked, "d", 3).collect()] == [("a", "x", "c", "runtime", "d", 3)]
+    assert sorted(r["id"] for r in tasks.writable(units, asked).collect()) == ["1", "3"]
+    done = asked.withColumns({"document": F.lit("d"), "batch": F.lit(1)})
+    again = layers.rebuilt(spark.createDataFrame([("d", 1), ("q", 9)], "document string, batch int"), units, done).collect()
+    assert [(r["id"], r["former"]) for r in again] == [("1", True)]
+    assert sorted(r["id"] for r in tasks.untranslated(units).collect()) == ["3", "5"]
+    assert tuple(tasks.target_mode(units).first()) == (5, 3, "mixed")
+    for name in ("x_batch_002.json", "a_batch_010.json", "note.json"):
+        (tmp_path / name).write_text("{}")
+    listed = layers.layer_files(spark, [str(tmp_path), str(tmp_path) + "/."]).orderBy("ord").collect()
+    assert [(r["path"].rpartition("/")[2], r["batch"]) for r in listed] == [("x_batch_002.json", 2), ("a_batch_010.json", 10), ("note.json", None)]
+
+
+def test_task_rows(spark):
+    from tandemtext.operators import tasks
+
+    df = spark.createDataFrame([("1", "a", "", None, "n", None, False, False, None), ("2", "b", "t", "x.y", "", "7", True, False, None), ("3", "c", "t", "x", None, None, False, False, False)], "id string, source string, baseline string, context string, note string, maxlengthchars string, source_locked boolean, preserve boolean, locked boolean").withColumn("target", F.col("baseline"))
+    got = {r["id"]: (r["target"], r["locked"], r["note"]) for r in tasks.translate_rows(df).collect()}
+    assert got == {"1": ("", False, "n"), "2": ("t", True, tasks.SOURCE_LOCKED), "3": ("t", True, tasks.TARGET_LOCKED)}
+    assert {r["id"]: (r["locked"], r["preserve_existing"]) for r in tasks.review_rows(df).collect()} == {"1": (False, None), "2": (True, True), "3": (False, None)}
+    assert {r["id"]: r["entry"] for r in tasks.analysis_json(df).collect()}["2"] == '{"id":"2","source":"b","target":"t","context":"x.y","source_locked":true,"maxlengthchars":"7"}'
+    terms = spark.createDataFrame([("1", "a", "A", ""), ("1", "aa", "AA", "")], "id string, ja string, zh string, note string")
+    none = spark.createDataFrame([], "q string, scope string, pos int, target string")
+    one = spark.createDataFrame([("1", "runtime", 2, "w"), ("1", "runtime", 1, "v")], "q string, scope string, pos int, target string")
+    said = {r["id"]: r["entry"] for r in tasks.enriched(df.select("id", "source"), terms, one, none).collect()}
+    assert said["1"].index('"aa"') < said["1"].index('"ja":"a"') and '"runtime_tm_matches":[{"scope":"runtime","target":"v"}' in said["1"] and said["2"] == '{"id":"2","source":"b"}'
+    info = {(r["kind"], r["name"]): (r["n"], r["share"]) for r in tasks.file_info(df.withColumns({"status": F.lit("Edited"), "has_inline_tags": F.col("id") == "1"})).collect()}
+    assert info == {("all", ""): (3, "100.0%"), ("status", "Edited"): (3, "100.0%"), ("tags", ""): (1, "33.3%"), ("target", ""): (2, "66.7%"), ("context", "x"): (2, "66.7%")}
+    report = spark.createDataFrame([("# t\n## gaps here\na\nb\n## next\nc",), ("none",)], "t string")
+    assert [r[0] for r in report.select(tasks.section(F.col("t"), "gaps")).collect()] == ["## gaps here\na\nb", None]
+    codes = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y")], "id string, code string")
+    assert [r[0] for r in tasks.problem_report(codes, 1).collect()] == ["- x: 2 (1)", "- y: 1 (3)"]
+    units = spark.createDataFrame([("1", "a", "c", False), ("2", "<tag id='1' type='x' desc='y'/>", "", False), ("3", "b", "", True)], "id string, source string, context string, locked boolean")
+    assert [r["id"] for r in tasks.memory_entries(units, spark.createDataFrame([("1", "t"), ("2", "t"), ("3", "t")], "id string, target string"), "f").collect()] == ["1"]

@@ -81,3 +81,38 @@ def test_batches_fold_as_single_texts():
     texts = ["ΛΟΓΟΣ", "λογος", "ΣΑΣ. Σ", "İstanbul", "ǅ Ⅷ Ⓐ", None, "", "Straße <tag id='1' type='br' desc='x'/>K"] + ["".join(chr(rng.choice((rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x20000)))) for _ in range(30)) for _ in range(2000)]
     points, offsets = fold_batch(texts)
     assert [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(offsets, offsets[1:])] == [fold(t) for t in texts]
+
+
+def test_chinese_numerals_and_breaks():
+    from tandemtext.functions.vectorized import break_issues, break_lines, chinese_value
+
+    known = {"零": 0, "十": 10, "二十": 20, "十二": 12, "一百二十四": 124, "一百零五": 105, "三千": 3000, "一万二千": 12000, "二十万": 200000, "一亿零三": 100000003, "万": 10000, "二〇二五": 2025, "两百": 200, "": None, "x": None}
+    assert {k: chinese_value(k) for k in known} == known
+    br = lambda *ids: "".join(f"<tag id='{i}' type='br' desc='换行'/>" for i in ids)
+    source = "定义" + br(1) + "说明" + br(2, 3) + "后续动作"
+    assert break_lines(source) == [{"tag_ids": ["1"], "after_line": 0, "before_line": 1, "hard": False}, {"tag_ids": ["2", "3"], "after_line": 1, "before_line": 3, "hard": True}]
+    assert break_lines("a") == []
+    assert break_issues(source, "甲" + br(2, 3) + "乙") == []
+    assert break_issues(source, "甲" + br(1) + "乙" + br(2, 3)) == ["trailing_break"]
+    assert break_issues(source, "甲" + br(2, 3) + "乙" + br(1) + "丙") == ["break_order"]
+    assert break_issues(source, "甲" + br(1) + "乙" + br(1) + "丙") == ["repeated_break_id:1", "break_order", "paragraph_lost:2,3", "paragraph_count"]
+    assert break_issues(source, "甲" + br(9) + "乙" + br(2, 3) + "丙", "exact") == ["unknown_break_id", "break_order", "breaks_not_exact"]
+    assert break_issues(source, br(1), "free", edges=False) == [] and break_issues("a", "b") == []
+
+
+def test_names(spark, tmp_path):
+    import pytest
+
+    from tandemtext.functions import names
+
+    assert names.project_id(" a b ") == "a b" and names.free_project_id("a", "/x", {"a": "/x"}) == "a"
+    assert len(names.free_project_id("a", "/x", {"a": "/y"})) == 10
+    for bad in ("", ".", "a.", "a/b", "a\x01"):
+        with pytest.raises(ValueError):
+            names.project_id(bad)
+    (tmp_path / "f").write_text("x")
+    before = names.file_digests(spark, str(tmp_path)).collect()
+    assert before[0]["sha256"].startswith("2d711642")
+    kept = spark.createDataFrame(before)
+    assert names.changed_files(kept, names.file_digests(spark, str(tmp_path))).count() == 0
+    assert names.distinct_paths(spark.createDataFrame([("C:\\a\\B",), ("c:/a/./b",), ("d",)], "path string")).count() == 2
