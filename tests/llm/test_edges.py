@@ -248,6 +248,26 @@ def test_pair_defects(spark):
     assert pair_defects.pair_defects(df.limit(0), "unit_id", "s", "t").count() == 0
 
 
+def test_a_pair_keeps_several_labels(spark):
+    """An English text that breaks off is in a wrong language and truncated; rare ideographs count as letters of the source."""
+    assert pair_defects.scripts("𠮷カがA1é한") == {"kana": 2, "han": 1, "latin": 2, "other": 1}
+    good = [(100 + i, f"ゲム{i}は昨夜、港へ剣を{i}本隠した。ホケは緑の門を離れた。", f"盖姆{i}昨晚把{i}把剑藏到了港口。霍凯离开了绿色大门。") for i in range(150)]
+    both = [(1000 + i, f"ラム{i}は昨夜、港へ剣を隠した。ホケは緑の門を離れた。ミナは歌う。", f"Ramu number {i} hid a sword at the port last night. Hoke left the green ga [...]") for i in range(12)]
+    df = spark.createDataFrame(good + both, "unit_id bigint, s string, t string")
+    got = {(r["id"], r["defect"]) for r in pair_defects.pair_defects(df, "unit_id", "s", "t").collect()}
+    assert {(1000 + i, d) for i in range(12) for d in ("wrong_language", "truncated")} == got
+
+
+def test_validated_cutoff():
+    model = labels.LabelModel(0.1, np.array([[0.05, 0.9, 0.05]] * 2), np.array([[0.9, 0.05, 0.05]] * 2), 0.5)
+    patterns, counts = np.array([[1, 1], [1, 0], [0, 0]]), np.array([80.0, 40.0, 880.0])
+    low = labels.validated_cutoff(model, patterns, counts, np.array([[1, 0]]), np.array([10.0]))
+    high = labels.validated_cutoff(model, patterns, counts, np.array([[1, 1]]), np.array([10.0]))
+    assert model.posterior(np.array([[1, 0]]))[0] < 0.3 and low == 0.5 and high == 0.5
+    near = labels.LabelModel(0.4, model.given_yes, model.given_no, 0.5)
+    assert labels.validated_cutoff(near, patterns, counts, np.array([[1, 0]]), np.array([10.0])) < 0.5
+
+
 def test_label_model_beats_its_functions():
     rng = np.random.default_rng(4)
     truth = rng.random(20_000) < 0.05
