@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemtext.functions.arrays import summed
+from tandemtext.functions.arrays import ASIDE, added_up, partial_sums
 from tandemtext.functions.codepoints import MASK53, fold_batch, mix64, trigrams
 from tandemtext.session import durable, sized_join
 
@@ -30,6 +30,10 @@ BLOCK = 4096
 BUCKET = 3_000_000
 
 
+#: A key on more classes than this, and on more than this share of all keys, is hot: its entries are spread over buckets.
+HOT, HOT_SHARE = 200_000, 2.0**-16
+
+
 @dataclass(frozen=True)
 class Partition:
     """How token sets are cut into groups of segments.
@@ -162,13 +166,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield part.column("cid").to_numpy(), h, owner, np.bincount(owner, minlength=part.num_rows)
 
 
-def _entries(part: Partition, frequency: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(part: Partition, frequency: np.ndarray, counts: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Packs the index and probe entries of each block by bucket: keys (32 bits), record and kind (16 bits), and what is needed of the records."""
     in_band = np.where(counts > 0, np.maximum(1, -(-counts // BUCKET)), 1)  # buckets of each band
     base = np.concatenate([[0], np.cumsum(in_band)])
     band_of = np.repeat(np.arange(BANDS), in_band)
-    width = [part.words(b, 1 << 20) if counts[b] else 1 for b in range(BANDS)]
-    hot = np.maximum(1, -(-frequency // 200_000)).astype(np.int64)  # a key on more records than that is spread over several buckets
+    width = [part.words(b) if counts[b] else 1 for b in range(BANDS)]
+    hot_keys, hot_spread = hot  # sorted, and over how many buckets each is spread
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for no, (cid, h, owner, size) in enumerate(_blocks(batches)):
@@ -188,7 +192,10 @@ def _entries(part: Partition, frequency: np.ndarray, counts: np.ndarray) -> Call
                 local.append(np.broadcast_to(of[:, None], keys.shape)[wanted])
                 level.append(lower[local[-1]])
             key, kind, local, level = np.concatenate(key), np.concatenate(kind), np.concatenate(local), np.concatenate(level)
-            spread = hot[key & np.uint64(len(hot) - 1)]
+            spread = np.ones(len(key), np.int64)
+            if len(hot_keys):
+                place = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                spread = np.where(hot_keys[place] == key, hot_spread[place], 1)
             salt = np.where(spread > 1, (no * 7919 + int(cid[0])) % spread, 0)
             if (spread > 1).any():  # probes go to every bucket of a hot key, index entries to one
                 again = np.nonzero((spread > 1) & (kind & PROBING > 0))[0]
@@ -225,6 +232,30 @@ def _entries(part: Partition, frequency: np.ndarray, counts: np.ndarray) -> Call
     return scan
 
 
+def often(keys: np.ndarray) -> bytes:
+    """The keys that make at least HOT_SHARE of a block's keys, with their numbers: what is hot among all is so in some block."""
+    x = np.sort(keys.ravel())
+    first = np.nonzero(np.concatenate([[True], x[1:] != x[:-1]]))[0] if len(x) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(x)))
+    many = times >= max(2, HOT_SHARE * len(x))
+    return np.stack([x[first][many], times[many].astype(np.uint64)]).tobytes()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for data in b.column("data").to_pylist():
+            key, n = np.frombuffer(data, np.uint64).reshape(2, -1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+
+def hot_keys(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hot keys, sorted, and over how many buckets each is spread; no more than 1 / HOT_SHARE keys, whatever the data."""
+    least = max(HOT, HOT_SHARE * total)
+    counted = rows.where(f"block = {ASIDE}").select("data").mapInArrow(_unpacked, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = sorted((r["key"] & (1 << 64) - 1, -(-r["n"] // HOT)) for r in counted.collect())
+    return np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
 def _meet(part: Partition) -> Callable[[pa.Table], pa.Table]:
     """Pairs of records in one bucket: one looks for a key that the other has, and their signatures and sizes allow the threshold."""
 
@@ -336,10 +367,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
 
     Records equal after folding form one class, named by its smallest id. A class's set holds the distinct runs of three code
     points of its two folded fields. The tokens are hashed into segments, their number given by the band of the set's size,
-    so that two sets at the threshold must agree in some allocated segment, or differ there by one token where the allocation
-    counts that segment twice. Each class allocates its cheapest segments by the frequencies of all keys, counted over all
-    classes in a table of fixed size. Entries are packed by key into buckets of bounded size; a key more frequent than 200,000
-    classes is spread over several. Candidates are verified by their exact sets, so the result is exact: nothing is capped.
+    so that two sets at the threshold must agree in some allocated group of segments, or differ there in one segment where the
+    allocation counts that group twice. Each class allocates its cheapest segments by the frequencies of all keys, counted over all
+    classes in a table of fixed size. Entries are packed by key into buckets of bounded size; hot keys, counted key by
+    key, are spread over several. Candidates are verified by their exact sets, so the result is exact: nothing is capped.
 
     Nulls count as empty. Records whose first field has fewer than `least` folded code points, or with a null id, are left
     out. Repeated records are in one class. Other columns are ignored. Empty tables give no rows.
@@ -353,21 +384,27 @@ def near_duplicate_classes(df: DataFrame, id_col: str, first: str, second: str,
     copies = members.where("cid <> id").select("id")
     texts = durable(sized_join(long, copies, "id", "left_anti").mapInArrow(_folded_rows(least), "cid bigint, s string, t string"), "near-texts")
 
-    def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
+    def count(total: np.ndarray, batch: pa.RecordBatch) -> bytes:
+        every = []
         for cid, h, owner, size in _blocks(iter([batch])):
             his = part.bands(int(size.max(initial=1)))
             band = np.searchsorted(his, size)
             keys, _, of = group_keys(h, owner, np.ones(len(cid), bool), band, part, his)
             total[: part.slots] += np.bincount((keys.ravel() & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
             total[part.slots :] += np.bincount(band[of], minlength=BANDS) * keys.shape[1]
+            every.append(keys.ravel())
+        return often(np.concatenate(every))
 
-    total = summed(texts, lambda: np.zeros(part.slots + BANDS, np.int64), count)
+    start = lambda: np.zeros(part.slots + BANDS, np.int64)
+    rows = durable(partial_sums(texts, start, count), "near-counts")
+    total = added_up(rows, start)
     frequency, counts = total[: part.slots], total[part.slots :]
+    hot = hot_keys(rows, int(counts.sum()))
     frequency = np.minimum(frequency, 2**31 - 1).astype(np.int32) if frequency.max(initial=0) < 2**31 else frequency
-    shared = df.sparkSession.sparkContext.broadcast(frequency)  # a table of fixed size: slots * 4 bytes
+    shared = df.sparkSession.sparkContext.broadcast((frequency, hot))  # tables of fixed size: slots * 4 bytes, 65,536 keys at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _entries(part, shared.value, counts)(batches)
+        yield from _entries(part, shared.value[0], counts, shared.value[1])(batches)
 
     entries = texts.mapInArrow(emit, "bucket int, keys binary, kinds binary, records binary, words int")
     candidates = durable(entries.groupBy("bucket").applyInArrow(_meet(part), "a bigint, b bigint").distinct(), "near-candidates")

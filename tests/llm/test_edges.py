@@ -139,6 +139,47 @@ def test_short_folded_records_are_left_out_of_links(spark):
     assert got == [(1, 1, 1), (4, 4, 1)]
 
 
+def _packed(texts, part, monkeypatch):
+    """The number of entries of each bucket, and the entries a class, for records with one phrase in common."""
+    monkeypatch.setattr(near_duplicates, "HOT", 500)
+    monkeypatch.setattr(near_duplicates, "BUCKET", 20_000)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([""] * len(texts))], ["cid", "s", "t"])
+    total, counts, every = np.zeros(part.slots, np.int64), np.zeros(near_duplicates.BANDS, np.int64), []
+    for cid, h, owner, size in near_duplicates._blocks(iter([batch])):
+        his = part.bands(int(size.max()))
+        band = np.searchsorted(his, size)
+        keys, _, of = near_duplicates.group_keys(h, owner, np.ones(len(cid), bool), band, part, his)
+        total += np.bincount((keys.ravel() & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
+        counts += np.bincount(band[of], minlength=near_duplicates.BANDS) * keys.shape[1]
+        every.append(keys.ravel())
+    key, n = np.frombuffer(near_duplicates.often(np.concatenate(every)), np.uint64).reshape(2, -1)
+    hot = n >= 500
+    return near_duplicates._entries(part, total, counts, (key[hot], -(-n[hot].astype(np.int64) // 500)))([batch]), int(hot.sum())
+
+
+def test_entries_a_class_do_not_grow_with_a_hot_key(monkeypatch):
+    rng, part = random.Random(6), near_duplicates.Partition(slots=1 << 10)
+    sizes = {}
+    for n in (400, 4_000):
+        texts = ["".join(rng.choices("あいうえおかきくけこさしすせそたちつてと", k=60)) if k % 3 else "同" * 70 + chr(0x4E00 + k % 5000) for k in range(n)]
+        batches, hot = _packed(texts, part, monkeypatch)
+        import zstandard
+
+        unpack, per = zstandard.ZstdDecompressor().decompress, {}
+        for b in batches:
+            for bucket, keys in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), strict=True):
+                per[bucket] = per.get(bucket, 0) + len(unpack(keys)) // 4
+        sizes[n] = (sum(per.values()) / n, max(per.values()), hot)
+    assert sizes[4_000][2] > 0 and sizes[4_000][0] < 1.3 * sizes[400][0] and sizes[4_000][1] < 80_000
+
+
+def test_very_large_sets_have_a_signature():
+    part = near_duplicates.Partition()
+    assert part.words(int(np.searchsorted(part.bands(1 << 40), 3_000_000))) > 10_000
+
+
 def test_partition_loses_no_pair():
     """Any two sets at the threshold share a key that the larger one looks for."""
     rng, part = np.random.default_rng(2), near_duplicates.Partition(slots=1 << 10)
