@@ -17,6 +17,10 @@ from tandemtext.session import durable
 
 #: Fixed point of the latent coordinates: sums of integers are exact, so equal passages have equal vectors.
 SCALE = 1 << 20
+#: Fixed point of the sketch: the order in which tasks are summed changes nothing.
+SKETCH = float(1 << 16)
+#: Neighbouring parts that are first looked at as one.
+GROUP = 4
 
 
 @dataclass(frozen=True)
@@ -114,9 +118,10 @@ def fit_space(docs: DataFrame, how: Passages) -> tuple[np.ndarray, np.ndarray]:
             scaled = (aw / norm[:, None] ** 2)[np.cumsum(np.concatenate([[0], mine[1:] != mine[:-1]]))]
             order = np.argsort(part.astype(np.uint16), kind="stable") if d <= 1 << 16 else np.argsort(part, kind="stable")
             first = np.nonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))[0]
-            total[part[order][first]] += np.add.reduceat(scaled[order], first, axis=0)
+            sums = np.add.reduceat(scaled[order].astype(np.float64), first, axis=0)
+            total[part[order][first]] += np.round(sums * SKETCH).astype(np.int64)
 
-    y = summed(docs, lambda: np.zeros((d, k), np.float32), sketch).astype(np.float64) * idf[:, None]
+    y = summed(docs, lambda: np.zeros((d, k), np.int64), sketch) / SKETCH * idf[:, None].astype(np.float64)
     nu = 1e-6 * max(np.linalg.norm(y), 1e-9)
     y += nu * w
     gram = w.T.astype(np.float64) @ y
@@ -149,7 +154,7 @@ class Retriever:
         planes = np.random.default_rng(4).standard_normal((coordinates.shape[1], how.bits)).astype(np.float32)
         self.planes = planes
         vectors = latent(self.points, self.at, coordinates, how)
-        self.unit = self._unit(vectors)
+        self.unit, self.zero = self._unit(vectors), ~vectors.any(axis=1)
         side = self.unit @ planes
         code = self._code(side)
         near = np.argsort(np.abs(side), axis=1)[:, : how.probes]
@@ -173,15 +178,22 @@ class Retriever:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(at), 50_000):
             some = at[a : a + 50_000]
-            unit = self._unit(latent(points[some[0] : some[-1] + self.how.length], some - some[0], self.coordinates, self.how))
+            vectors = latent(points[some[0] : some[-1] + self.how.length], some - some[0], self.coordinates, self.how)
+            unit, zero = self._unit(vectors), ~vectors.any(axis=1)
             code = self._code(unit @ self.planes)
             lo, hi = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
             n = hi - lo
-            row = np.repeat(np.arange(len(some)), n)
-            item = self.places[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-            cosine = (unit[row] * self.unit[item]).sum(axis=1)
-            keep = cosine >= self.how.cosine
-            found.append((some[row[keep]], item[keep], cosine[keep]))
+            ends, x = np.cumsum(n), 0
+            while x < len(some):  # texts that repeat a short piece meet themselves at many places: 2 million at a time
+                z = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + 2_000_000, "right")))
+                part = n[x:z]
+                row = np.repeat(np.arange(x, z), part)
+                item = self.places[np.repeat(lo[x:z], part) + np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part)]
+                cosine = (unit[row] * self.unit[item]).sum(axis=1)
+                cosine[zero[row] & self.zero[item]] = 1.0  # passages of nothing but features that are everywhere
+                keep = cosine >= self.how.cosine
+                found.append((some[row[keep]], item[keep], cosine[keep]))
+                x = z
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
@@ -255,33 +267,61 @@ class Paraphrases:
             a = z
 
     def overlaps(self, text: str, blocks: np.ndarray, items: np.ndarray) -> dict[int, float]:
-        """For each item the largest part of it that is a subsequence of one of the text's parts; all items at once, side by side in one number."""
-        chosen = sorted(set(items.tolist()), key=lambda i: -self.size[i])
-        shift, full, upto = 0, [0], [0]
-        places: dict[str, int] = dict.fromkeys(text, 0)
-        for i in chosen:  # the longest lies lowest, a free bit above each takes its carry
-            mine = self.masks[i]
-            for ch in mine.keys() & places.keys():
-                places[ch] |= mine[ch] << shift
-            full.append(full[-1] | ((1 << int(self.size[i])) - 1) << shift)
-            shift += int(self.size[i]) + 1
-            upto.append(shift)
-        best = dict.fromkeys(chosen, 0)
-        row = [places[ch] for ch in text]
-        for b in np.unique(blocks).tolist():
+        """For each item that may reach how.overlap the largest part of it that is a subsequence of one of the text's parts.
+
+        Parts that begin near each other are first taken as one long part: what is no subsequence of that is none of its parts, so
+        an item that stays below there is settled for all of them.
+        """
+        wide = self._subsequences(text, blocks // GROUP * GROUP, items, (GROUP - 1) * self.how.block)
+        near = np.fromiter((wide[b, i] >= self.how.overlap * self.size[i] for b, i in zip((blocks // GROUP * GROUP).tolist(), items.tolist(), strict=True)), bool, len(items))
+        best: dict[int, float] = {}
+        for (_, i), common in self._subsequences(text, blocks[near], items[near], 0).items():
+            best[i] = max(best.get(i, 0.0), common / int(self.size[i]))
+        return best
+
+    def _subsequences(self, text: str, blocks: np.ndarray, items: np.ndarray, more: int) -> dict[tuple[int, int], int]:
+        """Lengths of the longest common subsequences of items and the parts that begin at their blocks, `more` code points longer.
+
+        The items of a block lie side by side in one number, the longest lowest, a free bit above each takes its carry.
+        """
+        out: dict[tuple[int, int], int] = {}
+        order = np.lexsort((-self.size[items], blocks))
+        blocks, items = blocks[order], items[order]
+        letters: dict[int, dict[str, int]] = {}
+        used = set(text)
+        for i in np.unique(items).tolist():
+            letters[i] = {ch: m for ch, m in self.masks[i].items() if ch in used}
+        first = np.nonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))[0] if len(blocks) else np.zeros(0, np.int64)
+        made: dict[tuple[int, ...], tuple[dict[str, int], list[int], list[int]]] = {}
+        for x, z in zip(first.tolist(), np.append(first[1:], len(blocks)).tolist(), strict=False):
+            b, chosen = int(blocks[x]), tuple(dict.fromkeys(items[x:z].tolist()))
+            if chosen not in made:
+                places, shift, full, upto = {}, 0, [0], [0]
+                for i in chosen:
+                    for ch, m in letters[i].items():
+                        places[ch] = places.get(ch, 0) | m << shift
+                    full.append(full[-1] | ((1 << int(self.size[i])) - 1) << shift)
+                    shift += int(self.size[i]) + 1
+                    upto.append(shift)
+                if len(made) > 16:
+                    made.clear()
+                made[chosen] = places, full, upto
+            places, full, upto = made[chosen]
             k, v, done, a = len(chosen), full[-1], 0, b * self.how.block
             while k:  # the shortest is ready first
                 i = chosen[k - 1]
                 n, keep = int(self.size[i]), full[k]
-                stop = n + n // 2
-                for m in row[a + done : a + stop]:
-                    u = v & m
-                    v = ((v + u) | (v - u)) & keep
-                done = stop
-                best[i] = max(best[i], n - (v >> upto[k - 1]).bit_count())
+                stop = n + n // 2 + more
+                for ch in text[a + done : a + stop]:
+                    m = places.get(ch)
+                    if m:
+                        u = v & m
+                        v = ((v + u) | (v - u)) & keep
+                done = max(done, stop)
+                out[b, i] = n - (v >> upto[k - 1]).bit_count()
                 k -= 1
                 v &= full[k]
-        return {i: x / int(self.size[i]) for i, x in best.items()}
+        return out
 
 
 def common_run(a: str, i: int, b: str, j: int) -> tuple[int, int]:

@@ -229,6 +229,16 @@ def test_paraphrases_are_found(spark):
     assert {r["doc_id"] for r in contamination.leaks(docs, items, overlaps=False).collect()} == {4}
 
 
+def test_texts_of_one_letter_leak(spark):
+    """Every passage of the corpus has the same single feature, whose weight is 0; short periods, too."""
+    docs = spark.createDataFrame([(1, "あ" * 200), (2, "あ" * 69), (3, "あ" * 70)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, "あ" * 200, "")], "item_id bigint, text string, answer string")
+    assert sorted(r["doc_id"] for r in contamination.leaks(docs, items, overlaps=False).collect()) == [1, 3]
+    docs = spark.createDataFrame([(1, "甲乙" * 50), (2, LONG[:300]), (3, "丙" + "甲乙丁" * 40)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, "乙甲" * 60, ""), (8, "乙丁甲" * 60, "")], "item_id bigint, text string, answer string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in contamination.leaks(docs, items, overlaps=False).collect()) == [(1, 9), (3, 8)]
+
+
 def test_the_longest_of_several_runs_is_given(spark):
     item = LONG[1000:1400]
     docs = spark.createDataFrame([(1, item[:80] + "違" * 30 + item[90:390]), (2, item[300:] + "違" * 30 + item[:250])], "doc_id bigint, text string")
