@@ -107,6 +107,39 @@ def test_batches(spark, partitions):
     assert batching.greedy_batches(df.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("kind", [batching.greedy_batches, batching.context_parts])
+def test_long_documents_in_blocks(spark, kind):
+    """Blocks of a few rows, with gaps between their places, give what one pass gives."""
+    rng = random.Random(9)
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([1, 1, 1, 40])
+        rows.append(("d", at, rng.choice([0, 0, 1, 2, 3, 5, 9, 14])))
+    rows += [("e", k, 3) for k in range(5)] + [(None, 1, 20), (None, 2, 0), (None, 3, 1)]
+    df = spark.createDataFrame(rows, "doc string, ord bigint, size bigint")
+    want = {}
+    for doc in ("d", "e", None):
+        total = number = 0
+        count = 0
+        for d, o, size in rows:
+            if d == doc:
+                if (count > 0 if kind is batching.context_parts else total > 0) and total + size > 12:
+                    number, total, count = number + 1, 0, 0
+                total, count = total + size, count + 1
+                want[d, o] = number
+    got = {(r["doc"], r["ord"]): r["batch_no"] for r in kind(df, 12, block_rows=7).collect()}
+    assert got == want and {(r["doc"], r["ord"]): r["batch_no"] for r in kind(df, 12).collect()} == want
+
+
+def test_context_across_blocks(spark):
+    rows = [("d", k * (1 if k % 9 else 7) + k * 30, None if k % 4 == 0 else f"t{k}") for k in range(60)] + [("e", 1, "x"), ("e", 2, "y")]
+    df = spark.createDataFrame(rows, "doc string, ord bigint, text string")
+    get = lambda n, size: {(r["doc"], r["ord"]): r["before"] for r in batching.previous_context(df, n, size).collect()}
+    ordered = sorted(r for r in rows if r[0] == "d")
+    want = {(d, o): [t for _, _, t in ordered[max(0, i - 5) : i] if t] for i, (d, o, _) in enumerate(ordered)} | {("e", 1): [], ("e", 2): ["x"]}
+    assert get(5, 100_000) == want and get(5, 3) == want and get(5, 1) == want
+
+
 def test_policy_quirks():
     q = policy.quality_policy({"rules": {"url_email_parity": {"enabled": True}, "whitespace": {}}, "ignore_rule_ids": ["untranslated"], "entry_overrides": {"7": {"disabled_rules": ["length_ratio"], "rules": {"untranslated": {"enabled": True}, "newline_count": {"enabled": True}}}}})
     rules = policy.entry_rules(q, "7")
