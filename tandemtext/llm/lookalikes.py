@@ -181,13 +181,16 @@ def consistent_form(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Brings all texts to one form: `id, form`, the most frequent text among those that look alike, ties to the smaller text.
 
     Every row with an id is returned once; a null text has a null form. Counting is by distinct text first, so a hot text is
-    one row per task.
+    one row per task; only texts that take another form are joined back, by 128-bit hashes.
     """
     raw = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("t")).where("id is not null")
     distinct = raw.where("t is not null").groupBy("t").agg(F.count("*").alias("n"))
     s1, s2 = hash128(skeleton(F.col("t")))
+    r1, r2 = hash128(F.col("t"))
     signed = durable(distinct.select("t", "n", s1.alias("s1"), s2.alias("s2")), "text-skeletons")
-    best = signed.groupBy("s1", "s2").agg(F.max("n").alias("n"))
-    top = signed.join(best, ["s1", "s2", "n"]).groupBy("s1", "s2").agg(F.min("t").alias("form"), F.count("*").alias("tied"))
-    forms = signed.select("t", "s1", "s2").join(top, ["s1", "s2"]).select("t", "form")
-    return raw.join(forms, "t", "left").select("id", F.when(F.col("t").isNotNull(), F.coalesce("form", "t")).alias("form"))
+    several = signed.groupBy("s1", "s2").agg(F.count("*").alias("texts"), F.max("n").alias("n")).where("texts > 1")
+    mixed = durable(signed.join(several.select("s1", "s2", F.col("n").alias("most")), ["s1", "s2"]), "mixed-texts")  # few texts look like another
+    top = mixed.where("n = most").groupBy("s1", "s2").agg(F.min("t").alias("form"))
+    changed = durable(mixed.join(top, ["s1", "s2"]).where("t <> form").select(r1.alias("r1"), r2.alias("r2"), "form"), "changed-texts")
+    solid = raw.where("t is not null").select("id", "t", r1.alias("r1"), r2.alias("r2"))
+    return solid.join(changed, ["r1", "r2"], "left").select("id", F.coalesce("form", "t").alias("form")).unionByName(raw.where("t is null").select("id", F.col("t").alias("form")))
