@@ -47,8 +47,8 @@ def grams_of(texts: DataFrame, n: int) -> DataFrame:
 
 def shared_grams(asked: DataFrame, grams: DataFrame) -> DataFrame:
     """For queries `q, grams` the texts that share a gram, with the number of shared ones: `q, t, layer, n, shared`."""
-    known = grams.select("t", F.explode("grams").alias("gram"))
-    counts = asked.select("q", F.explode("grams").alias("gram")).join(known, "gram").groupBy("q", "t").agg(F.count("*").alias("shared"))
+    known = grams.repartition("t").select("t", F.explode("grams").alias("gram"))  # where the queries are broadcast, a text's counts stay in its task
+    counts = known.join(asked.select("q", F.explode("grams").alias("gram")), "gram").groupBy("t", "q").agg(F.count("*").alias("shared"))
     return counts.join(grams.select("t", "layer", "n"), "t")
 
 
