@@ -70,6 +70,23 @@ def test_p3(spark, data, tables):
     assert left == {first(m): len(m) for m in groups.values()}
 
 
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+def test_same_as_sql(spark, data, name):
+    import os
+
+    import duckdb
+
+    db = duckdb.connect()
+    for f in os.listdir(data):
+        db.execute(f"create view {f[:-8]} as select * from '{data}/{f}'")
+    df = q.QUERIES[name](spark, data)
+    cursor = db.execute(q.ORACLE_SQL[name])
+    names = [x[0] for x in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(tuple, df.select(*names).collect()), key=key) == sorted(cursor.fetchall(), key=key)
+
+
 def test_p4_pairs_look_alike(spark, data, tables):
     from tandemtext.llm.lookalikes import Prototypes, skeleton_text
 
