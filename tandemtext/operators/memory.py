@@ -219,12 +219,13 @@ def first_wins(entries: DataFrame, order: str = "entry_id") -> DataFrame:
     return solid.drop("_s", "_c").join(firsts.select(order), order, "left_semi")
 
 
-def upsert(old: DataFrame, new: DataFrame, replace: bool = True) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, replace: bool = True, last: int | None = None) -> DataFrame:
     """MERGE of new entries into a memory, by source and context (outer blanks aside), as if they came one after another by entry_id.
 
     Of old rows with one key only the first counts. If `replace` and the new row's file is the same (null and empty are one), it
     takes the new row's texts, the last of several; another file leaves it as it is. A new key is appended with a new entry_id,
-    its own counted on from the memory's last (no global numbering); later new rows with its key and file replace it likewise.
+    its own counted on from the memory's last, `last` where `old` is a part of the memory (no global numbering); later new rows with
+    its key and file replace it likewise.
     """
     key = {"_s": tx.stripped(F.coalesce("source", F.lit(""))), "_c": tx.stripped(F.coalesce("context", F.lit(""))), "_f": F.coalesce("file", F.lit(""))}
     o, n = old.withColumns(key), new.withColumns(key)
@@ -235,7 +236,7 @@ def upsert(old: DataFrame, new: DataFrame, replace: bool = True) -> DataFrame:
     columns = ["entry_id", pick("source"), pick("target"), pick("context"), pick("file")]
     kept = o.join(firsts.join(last_of, ["_s", "_c", "_f"]).select("entry_id", "u"), "entry_id", "left").select(*columns)
     fresh = n.join(firsts.select("_s", "_c"), ["_s", "_c"], "left_anti").groupBy("_s", "_c").agg(F.min_by(F.struct("source", "target", "context", "file", "_f"), "entry_id").alias("x"), F.min("entry_id").alias("at"))
-    start = old.agg(F.coalesce(F.max("entry_id"), F.lit(0))).first()[0]
+    start = old.agg(F.coalesce(F.max("entry_id"), F.lit(0))).first()[0] if last is None else last
     added = fresh.select("_s", "_c", (F.lit(start) + F.col("at")).cast("bigint").alias("entry_id"), "x.*").join(last_of, ["_s", "_c", "_f"]).select(*columns)
     return kept.unionByName(added)
 

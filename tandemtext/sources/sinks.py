@@ -10,7 +10,7 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -246,4 +246,43 @@ class VersionedTable:
         return sorted((json.loads(r["value"]) for r in self.spark.read.text(f"{self.path}/commit-*").collect()), key=lambda v: v["version"])
 
     def read(self, version: int = -1) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data-{self.versions()[version]['data']}")
+        known = self.versions()[version]
+        places = [f"data-{name}/bucket={b}" for b, name in known["places"].items()] if "places" in known else [f"data-{known['data']}"]
+        return self.spark.read.parquet(*[f"{self.path}/{place}" for place in places])
+
+
+class BucketedTable(VersionedTable):
+    """A versioned table in buckets by key: a commit writes the buckets it touches, a version is the newest writing of each bucket.
+
+    The number of buckets is fixed by the first commit; the manifest has one entry a bucket.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64) -> None:
+        super().__init__(spark, path)
+        self.key = key
+        known = self.versions()
+        self.buckets = known[-1]["buckets"] if known else buckets
+
+    def bucket(self) -> Column:
+        """The bucket of a row by its key columns, outer blanks aside."""
+        return F.pmod(F.xxhash64(*[tx.stripped(F.coalesce(F.col(c), F.lit(""))) for c in self.key]), F.lit(self.buckets)).cast("int")
+
+    def touched(self, df: DataFrame) -> list[int]:
+        return sorted(r["b"] for r in df.select(self.bucket().alias("b")).distinct().collect())
+
+    def last(self) -> dict:
+        return versions[-1] if (versions := self.versions()) else {"places": {}, "state": {}}
+
+    def read_buckets(self, buckets: list[int] | None = None, schema: str | None = None) -> DataFrame | None:
+        """The rows of the given buckets (all without); None where none of them has been written."""
+        places = [f"{self.path}/data-{name}/bucket={b}" for b, name in sorted(self.last()["places"].items(), key=lambda x: int(x[0])) if buckets is None or int(b) in buckets]
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(*places) if places else None
+
+    def commit_buckets(self, df: DataFrame, touched: list[int], state: dict) -> None:
+        """Writes the touched buckets anew; `state` goes with the version. A bucket that has become empty stays as an empty place."""
+        name, before = uuid.uuid4().hex, self.last()
+        df.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data-{name}")
+        places = {**before["places"], **{str(b): name for b in touched}}
+        at = len(self.versions())
+        self.spark.createDataFrame([(json.dumps({"version": at, "buckets": self.buckets, "places": places, "state": state}),)], "value string").coalesce(1).write.text(f"{self.path}/commit-{at:08d}")

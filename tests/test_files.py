@@ -86,6 +86,22 @@ def test_stream_of_layers(spark, tmp_path):
     assert memory.first_wins(table.read()).count() == 1
 
 
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    from tandemtext.streaming.layers import memory_table
+
+    first = spark.createDataFrame([(k, f"s{k}", "t", "", "f") for k in range(1, 200)], ENTRY)
+    second = spark.createDataFrame([(1, "s7", "new", "", "f"), (2, "more", "m", None, None), (3, "s8", "no", "", "g")], ENTRY)
+    for part in (first, second):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        follow_layers(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+    table = memory_table(spark, str(tmp_path / "store"))
+    old, new = table.versions()
+    changed = {b for b in new["places"] if new["places"][b] != old["places"].get(b)}
+    assert 0 < len(changed) <= 3 and new["state"] == {"batch": 1, "last": 202}
+    rows = {r["source"]: (r["entry_id"], r["target"]) for r in table.read().collect()}
+    assert len(rows) == 200 and rows["s7"] == (7, "new") and rows["s8"] == (8, "t") and rows["more"] == (201, "m")
+
+
 def test_bilingual_columns():
     from tandemtext.sources import bilingual
 
