@@ -88,7 +88,7 @@ def parse_xlsx(data: bytes, name: str, source: str = "A", target: str = "B", hea
 
 
 def _run_text(paragraph: ET.Element) -> str:
-    """A paragraph's text with markers around bold, italic and underlined runs."""
+    """A paragraph's text with markers around bold, italic and underlined runs; the plain text where the runs do not hold all of it."""
     out, n = [], 0
     for run in paragraph.iter(WORD + "r"):
         text = "".join("\n" if x.tag == WORD + "br" else "\t" if x.tag == WORD + "tab" else x.text or "" for x in run if x.tag in (WORD + "t", WORD + "br", WORD + "tab"))
@@ -103,11 +103,15 @@ def _run_text(paragraph: ET.Element) -> str:
         for m in reversed(marks):
             n += 1
             out.append(f"<tag id='{n}' type='/fmt' desc='⟨/{m}⟩'/>")
-    return "".join(out)
+    plain, marked = "".join(e.text or "" for e in paragraph.iter(WORD + "t")), "".join(out)
+    return marked if re.sub(r"<tag\b[^<>]*/>|[\n\t]", "", marked) == re.sub(r"[\n\t]", "", plain) else plain
 
 
 def parse_docx(data: bytes, name: str) -> Iterator[Row]:
-    """Paragraphs of body, tables (nested ones, too), headers and footers; the context is the stack of headings above."""
+    """Paragraphs of body, tables (nested ones, too), headers and footers; the context is the stack of headings above.
+
+    A cell that goes on with a merged one above it is no cell of its own. Text boxes are not read; a row without text says how many there are.
+    """
     stack: list[str] = []
 
     def walk(parent: ET.Element, path: str) -> Iterator[Row]:
@@ -125,11 +129,16 @@ def parse_docx(data: bytes, name: str) -> Iterator[Row]:
             elif x.tag == WORD + "tbl":
                 for r, row in enumerate(x.findall(WORD + "tr")):
                     for c, cell in enumerate(row.findall(WORD + "tc")):
-                        yield from walk(cell, f"{path}.t{t}.r{r}.c{c}")
+                        merged = cell.find(f"{WORD}tcPr/{WORD}vMerge")
+                        if merged is None or merged.get(WORD + "val") == "restart":
+                            yield from walk(cell, f"{path}.t{t}.r{r}.c{c}")
                 t += 1
 
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        yield from walk(ET.fromstring(z.read("word/document.xml")).find(WORD + "body"), "body")
+        document = ET.fromstring(z.read("word/document.xml"))
+        yield from walk(document.find(WORD + "body"), "body")
+        if boxes := sum(1 for _ in document.iter(WORD + "txbxContent")):
+            yield {"ord": -1, "error": f"text boxes not read: {boxes}"}
         for part in sorted(n for n in z.namelist() if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n)):
             stack.clear()
             kind = "header" if "header" in part else "footer"

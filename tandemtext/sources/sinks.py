@@ -72,7 +72,10 @@ def xliff_with_targets(data: bytes, targets: dict[str, str], status: str = "Conf
 
 
 def xlsx_with_targets(data: bytes, targets: dict[str, str], target: str = "B") -> bytes:
-    """A workbook with target cells set; keys are `sheet:row`. Everything else in the file, macros too, is copied as it is."""
+    """A workbook with target cells set; keys are `sheet:row`. Everything else in the file, macros too, is copied as it is.
+
+    A key that is a number alone, as in a bare list of results, means the first sheet's row after it.
+    """
     ET.register_namespace("", SHEET[1:-1])
     old, out = zipfile.ZipFile(io.BytesIO(data)), io.BytesIO()
     links = {r.get("Id"): r.get("Target").lstrip("/") for r in ET.fromstring(old.read("xl/_rels/workbook.xml.rels"))}
@@ -80,6 +83,8 @@ def xlsx_with_targets(data: bytes, targets: dict[str, str], target: str = "B") -
     for sheet in ET.fromstring(old.read("xl/workbook.xml")).iter(SHEET + "sheet"):
         part = links[sheet.get(REL + "id")]
         parts[part if part.startswith("xl/") else f"xl/{part}"] = sheet.get("name")
+    first = next(iter(parts.values()), "")
+    targets = {f"{first}:{int(k) + 1}" if k.isdigit() else k: v for k, v in targets.items()}
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         for name in old.namelist():
             content = old.read(name)

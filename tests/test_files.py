@@ -131,3 +131,34 @@ def test_rebuilt_memory_and_column_choice(spark):
     assert sorted((r["source"], r["target"], r["file"]) for r in bilingual.rebuilt_memory(pairs).collect()) == [("s", "first", "a"), ("t", "t", "a")]
     df = spark.createDataFrame([("# x", "a", None), ("b", "b", None), ("c", None, None)], "p string, q string, r string")
     assert tuple(bilingual.column_choice(df, ["p", "q", "r"]).first()) == ("q", 0, 2)
+
+
+def test_merged_cells_text_boxes_and_unmarked_text():
+    cell = lambda text, merge="": f"<w:tc><w:tcPr>{merge}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    body = f"<w:tbl><w:tr>{cell('a', '<w:vMerge w:val=\"restart\"/>')}</w:tr><w:tr>{cell('ghost', '<w:vMerge/>')}</w:tr></w:tbl><w:p><w:fld><w:t>field</w:t></w:fld><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r></w:p><w:p><w:r><w:pict><w:txbxContent><w:p/></w:txbxContent></w:pict></w:r></w:p>"
+    rows = list(files.parse_docx(zipped(word__document_DOT_xml=f"<w:document {W}><w:body>{body}</w:body></w:document>"), "x.docx"))
+    assert [r.get("source") for r in rows] == ["a", "fieldbold", None] and rows[-1]["error"] == "text boxes not read: 1"
+
+
+def test_rows_of_a_bare_list():
+    book = zipped(
+        xl__workbook_DOT_xml="<workbook xmlns='http://schemas.openxmlformats.org/spreadsheetml/2006/main' xmlns:r='http://schemas.openxmlformats.org/officeDocument/2006/relationships'><sheets><sheet name='S' r:id='r1'/></sheets></workbook>",
+        **{"xl___rels__workbook_DOT_xml_DOT_rels": ""},
+    )
+    import io as _io
+
+    out = _io.BytesIO()
+    with zipfile.ZipFile(_io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", old.read("xl/workbook.xml"))
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships><Relationship Id='r1' Target='worksheets/sheet1.xml'/></Relationships>")
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet xmlns='http://schemas.openxmlformats.org/spreadsheetml/2006/main'><sheetData><row r='1'><c r='A1' t='inlineStr'><is><t>h</t></is></c></row><row r='2'><c r='A2' t='inlineStr'><is><t>s</t></is></c></row></sheetData></worksheet>")
+    written = sinks.xlsx_with_targets(out.getvalue(), {"1": "neu"})
+    assert [(r["source"], r["target"]) for r in files.parse_xlsx(written, "x.xlsx")] == [("s", "neu")]
+
+
+def test_tasks_and_round_trip(spark):
+    rows = spark.createDataFrame([("d", 0, 2, "2", "b", ""), ("d", 0, 1, "1", "a", "x")], "doc string, batch_no int, ord int, id string, source string, target string")
+    assert sinks.task_json(rows).first()["task"] == '[{"id":"1","source":"a","target":"x"},{"id":"2","source":"b","target":""}]'
+    want = spark.createDataFrame([("f", "1", "a"), ("f", "2", None), ("f", "3", "c")], "file string, id string, target string")
+    got = spark.createDataFrame([("f", "1", "a"), ("f", "2", None), ("f", "3", "x")], "file string, id string, target string")
+    assert [r["id"] for r in sinks.round_trip_errors(want, got).collect()] == ["3"]
