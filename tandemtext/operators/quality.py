@@ -55,7 +55,7 @@ def local_rules(policy: dict[str, Any]) -> dict[str, Column]:
         "url_email_parity": tx.addresses(s) != tx.addresses(t),
         "newline_count": breaks(tx.normal_text(s)) != breaks(tx.normal_text(t)),
         "newline_semantics": (F.col("source").rlike("<tag|\n") | F.col("target").rlike("<tag|\n")) & (F.size(newline_issues(F.col("source"), F.col("target"), F.lit("source_guided"), F.lit(True), F.lit(True))) > 0),
-        "newline_suspicious_break": shown.rlike(r"(?U)\d\n\d|[A-Za-z0-9_]\n[A-Za-z0-9_]") | shown.rlike(r"\n[ \t　]*[.,，。！？；：、…!?;:）】」』》]+[ \t　]*(?:\n|$)"),
+        "newline_suspicious_break": shown.rlike(r"(?U)\d\n\d|[A-Za-z0-9_]\n[A-Za-z0-9_]") | shown.rlike(r"(?d)\n[ \t　]*[.,，。！？；：、…!?;:）】」』》]+[ \t　]*(?:\n|$)"),
         "whitespace": tx.whitespace_issue(s, t),
         "punctuation_balance": ~tx.balanced(t),
         "untranslated": same | (~same & tx.has_kana(t) & ~tx.has_han(t)),

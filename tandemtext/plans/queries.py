@@ -259,10 +259,27 @@ def _rule(name: str) -> Query:
 
 _BASE = f"WITH b AS (SELECT unit_id::VARCHAR AS id, coalesce(source_text, '') AS source, coalesce(target_text, '') AS target, {PLAIN('source_text')} AS s, {PLAIN('target_text')} AS t FROM transunit WHERE {LOCKED}) SELECT id FROM b WHERE "
 _ALL = lambda c, p: f"list_sort(regexp_extract_all({c}, '{p}'))"
-_URL = r"(?:https?://|ftp://|www\.)[^\s<>\"'']+|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
+_WORD = r"\p{L}\p{M}\p{N}_"  # letters of all scripts, as the rule has them
+_URL = r"(?:https?://|ftp://|www\.)[^" + WS + r"<>\"'']+|[" + _WORD + ".+-]+@[" + _WORD + r".-]+\.[A-Za-z]{2,}"
 _TOKENS = r"\$\{[^{}]+\}|%(?:\d+\$)?[sdif]|\{\d+\}|\\[nrt]"
 _KANA = "[\\x{3040}-\\x{30FF}\\x{31F0}-\\x{31FF}]"
+_escape = lambda c: "\\" + c if c.isascii() else c
+_ESCAPED = "".join(_escape(c) for pair in tx.BRACKETS.items() for c in pair)
+
+
+def _unbalanced(c: str, depth: int = 24) -> str:
+    """Brackets alone, closed pairs taken out again and again; what is left is unbalanced (SQL needs a fixed depth)."""
+    out = f"regexp_replace({c}, '[^{_ESCAPED}]', '', 'g')"
+    pairs = "|".join(_escape(a) + _escape(z) for a, z in tx.BRACKETS.items())
+    for _ in range(depth):
+        out = f"regexp_replace({out}, '{pairs}', '', 'g')"
+    return f"{out} <> ''"
+
+
+_RENDERED = rf"regexp_replace(regexp_replace(target, '<tag\b[^<>]*\btype\s*=\s*(?:''br''|\"br\")[^<>]*/>', chr(10), 'g'), '{TAG}', chr(8232), 'g')"
 _RULE_SQL = {
+    "punctuation_balance": _unbalanced("t"),
+    "newline_suspicious_break": rf"regexp_matches({_RENDERED}, '\p{{Nd}}\n\p{{Nd}}|[A-Za-z0-9_]\n[A-Za-z0-9_]') OR regexp_matches({_RENDERED}, '\n[ \t　]*[.,，。！？；：、…!?;:）】」』》]+[ \t　]*(?:\n|$)')",
     "protected_token_parity": f"{_ALL('s', _TOKENS)} <> {_ALL('t', _TOKENS)}",
     "url_email_parity": f"{_ALL('s', _URL)} <> {_ALL('t', _URL)}",
     "whitespace": f"t <> {STRIP('t')} OR (regexp_matches(t, '[ \\t]{{2,}}') AND NOT regexp_matches(s, '[ \\t]{{2,}}')) OR regexp_matches(t, '[ \\t]+[，。！？；：、》）】」』]')",
@@ -334,6 +351,23 @@ def preserved_violations(spark: SparkSession, d: str) -> DataFrame:
     return found.where("code in ('preserved_changed', 'locked_changed', 'empty_target')").select("id", "code")
 
 
+_KEPT = lambda c: f"list_filter(regexp_extract_all({c}, '{TAG}'), lambda x: NOT contains(x, 'type=' || chr(39) || 'br' || chr(39)))"
+_HAS = lambda name: f"regexp_matches(x, '\\b{name}\\s*=\\s*[''\"]')"
+
+
+@query(f"""WITH b AS (SELECT unit_id AS id, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM transunit)
+SELECT id, 'tag_exact' AS code FROM b WHERE {_KEPT("s")} <> {_KEPT("t")}
+UNION ALL SELECT id, 'bare_tag' FROM b WHERE len(list_filter(regexp_extract_all(t, '</?[a-zA-Z][a-zA-Z0-9]*(?:=[^>]*)?>'), lambda x: NOT regexp_matches(x, '^<tag\\b'))) > 0
+UNION ALL SELECT id, 'target_tag_malformed' FROM b WHERE len(list_filter(regexp_extract_all(t, '{TAG}'), lambda x: NOT ({_HAS("id")} AND {_HAS("type")}))) > 0 OR contains(regexp_replace(t, '{TAG}', '', 'g'), '<tag')""")
+def tag_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of all targets against their sources, in order; markers are written in one way in these tables, so SQL compares them as text."""
+    units = _units(spark, d)
+    none = F.lit(False)
+    expected = units.select(F.col("unit_id").alias("id"), F.col("source_text").alias("source"), F.lit("").alias("baseline"), none.alias("locked"), none.alias("source_locked"), none.alias("preserve"), "maxlengthchars")
+    found = validation.violations(expected, units.select(F.col("unit_id").alias("id"), F.col("unit_id").alias("ord"), F.col("target_text").alias("target")))
+    return found.where("code in ('tag_exact', 'bare_tag', 'target_tag_malformed')").select("id", "code")
+
+
 # Layers and tasks
 
 

@@ -30,3 +30,27 @@ def test_same_as_sql(spark, db, data, name):
 def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rules_equal_their_sql_on_random_texts(spark):
+    """Cases that the tables lack: tokens, addresses, brackets and breaks of all kinds."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tandemtext.functions import text as tx
+    from tandemtext.operators import quality
+    from tandemtext.plans.queries import _RULE_SQL
+
+    rng = random.Random(3)
+    pieces = ["(", ")", "[", "]", "（", "）", "「", "」", "a", "b1", "２", "\n", "，", "。", " ", "　", "${x}", "%d", "{0}", "\\n", "https://a.b/c", "x@y.zz", "あ", "中", "<tag id='1' type='br' desc='x'/>", "<tag id='2' type='fmt' desc='x'/>"]
+    text = lambda: "".join(rng.choices(pieces, k=rng.randrange(0, 9)))
+    rows = [(i, a := text(), rng.choice([a, text(), text()])) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "id bigint, source string, target string").withColumns({"s": tx.plain(F.col("source")), "t": tx.plain(F.col("target"))})
+    c = duckdb.connect()
+    c.execute("create table b (id bigint, source varchar, target varchar, s varchar, t varchar)")
+    c.executemany("insert into b values (?, ?, ?, ?, ?)", [tuple(r) for r in df.collect()])
+    rules = quality.local_rules(quality.quality_policy())
+    for name, sql in _RULE_SQL.items():
+        got, want = {r["id"] for r in df.where(rules[name]).select("id").collect()}, {r[0] for r in c.execute(f"select id from b where {sql}").fetchall()}
+        assert len(got) > 20 and got == want, (name, len(got), len(want), [rows[i] for i in sorted(got ^ want)[:3]])
