@@ -50,12 +50,12 @@ def ballots(df: DataFrame, id_col: str, group: list[str], fields: dict[str, str]
 
 
 def elected(cast: DataFrame) -> DataFrame:
-    """The winner of each group and field: `g1, g2, field, winner_id, votes, dominant_id`.
+    """The winners of each group and field: `g1, g2, field, winner_id, votes, best_id, dominant_id`.
 
     winner_id: the first row (by trust, then time, then smallest id) that carries the value with the most votes; ties go to
-    the value whose best row is more trusted, then later, then has the smaller id. dominant_id: the row that wins both the
-    election by trust alone and the one by recency alone and is the only row of its ballot, else null: no other row of the
-    group is more trusted, later, or equal in both.
+    the value whose best row is more trusted, then later, then has the smaller id. best_id: the single row with the most votes,
+    ties to the more trusted, then the later one, then the smaller id. dominant_id: best_id if no other row of the group is more
+    trusted, later, or equal in both, else null. As a row's votes never fall with its trust and time, no other row can be that.
     """
     values = cast.groupBy("g1", "g2", "field", "v1", "v2").agg(
         F.sum("votes").alias("votes"), F.max(F.struct("vote_trust", "at", (-F.col("first_id")).alias("earlier"))).alias("best"),
@@ -63,13 +63,14 @@ def elected(cast: DataFrame) -> DataFrame:
     winners = values.groupBy("g1", "g2", "field").agg(F.max(F.struct("votes", "best")).alias("w")).select(
         "g1", "g2", "field", F.col("w.votes").alias("votes"), (-F.col("w.best.earlier")).alias("winner_id"),
     )
-    by_row = cast.groupBy("g1", "g2", "field", "vote_trust", "at").agg(F.sum("n").alias("n"), F.min("first_id").alias("id"))
-    both = by_row.groupBy("g1", "g2", "field").agg(
-        F.max(F.struct("vote_trust", "at", "n", "id")).alias("by_trust"), F.max(F.struct("at", "vote_trust", "n", "id")).alias("by_time"),
+    by_row = cast.groupBy("g1", "g2", "field", "vote_trust", "at").agg(F.sum("n").alias("n"), F.min("first_id").alias("id"), F.max(F.col("votes") / F.col("n")).alias("own"))
+    rank = F.struct(F.greatest("own", F.lit(0.0)), "vote_trust", "at")
+    single = by_row.groupBy("g1", "g2", "field").agg(
+        F.max_by(F.struct("id", "vote_trust", "at", "n"), rank).alias("best"), F.max("vote_trust").alias("trust"), F.max("at").alias("latest"),
     )
-    sole = (F.col("by_trust.id") == F.col("by_time.id")) & (F.col("by_trust.n") == 1) & (F.col("by_trust.at") == F.col("by_time.at"))
-    dominant = both.select("g1", "g2", "field", F.when(sole, F.col("by_trust.id")).alias("dominant_id"))
-    return winners.join(dominant, ["g1", "g2", "field"])
+    sole = (F.col("best.vote_trust") == F.col("trust")) & (F.col("best.at") == F.col("latest")) & (F.col("best.n") == 1)
+    best = single.select("g1", "g2", "field", F.col("best.id").alias("best_id"), F.when(sole, F.col("best.id")).alias("dominant_id"))
+    return winners.join(best, ["g1", "g2", "field"])
 
 
 def duplicate_groups(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:

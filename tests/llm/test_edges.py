@@ -70,6 +70,19 @@ def test_survivors(spark):
     assert survivorship.survivors(df, files.limit(0), "id", ["source", "context"], ["target"]).count() == 4
 
 
+def test_the_dominant_row_is_elected_by_votes(spark):
+    """best_id is the row with the most votes of its own, trust times decay; it is dominant only if none is more trusted or later."""
+    day = 86_400_000_000
+    rows = [
+        (1, 1, "f", 1, 1, 5, 20_000 * day, 1, 1), (1, 1, "f", 2, 2, 1, 19_000 * day, 9, 2), (2, 2, "f", 1, 1, 9, 20_000 * day, 1, 11), (2, 2, "f", 2, 2, 0, 20_100 * day, 1, 12), (3, 3, "f", 1, 1, 2, 20_000 * day, 1, 21),
+        (3, 3, "f", 2, 2, 1, 20_365 * day, 1, 22), (4, 4, "f", 1, 1, -3, 20_000 * day, 1, 31), (4, 4, "f", 2, 2, -3, 20_500 * day, 1, 32), (5, 5, "f", 1, 1, 3, 20_000 * day, 2, 41),
+    ]
+    df = spark.createDataFrame(rows, "g1 bigint, g2 bigint, field string, v1 bigint, v2 bigint, vote_trust int, at bigint, n bigint, first_id bigint")
+    cast = df.withColumn("votes", F.col("n") * (1 + F.col("vote_trust")) * F.pow(F.lit(2.0), F.col("at") / F.lit(365.0 * day) - F.lit(60.0)))
+    got = {r["g1"]: (r["best_id"], r["dominant_id"]) for r in survivorship.elected(cast).collect()}
+    assert got == {1: (1, 1), 2: (11, None), 3: (22, None), 4: (32, 32), 5: (41, None)}
+
+
 def test_shared_spans(spark):
     a, b = LONG[:300], LONG[300:500]
     tag = "<tag id='1' type='br' desc='x'/>"
