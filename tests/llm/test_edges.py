@@ -322,6 +322,14 @@ def test_a_pair_keeps_several_labels(spark):
     assert {(1000 + i, d) for i in range(12) for d in ("wrong_language", "truncated")} == got
 
 
+def test_cutoffs_are_validated_on_all_pairs(spark, monkeypatch):
+    seen, validated = [], labels.validated_cutoff
+    monkeypatch.setattr(labels, "validated_cutoff", lambda *x: seen.append(int(x[4].sum())) or validated(*x))
+    rows = [(i, f"ゲム{i}は昨夜、港へ剣を{i}本隠した。ホケは緑の門を離れた。", f"盖姆{i}昨晚把{i}把剑藏到了港口。霍凯离开了绿色大门。") for i in range(6_000)]
+    pair_defects.pair_defects(spark.createDataFrame([*rows, (-1, "", "x"), (-2, "x", None)], "unit_id bigint, s string, t string"), "unit_id", "s", "t").count()
+    assert sorted(seen) == [6_000] * 4  # no excuse stands under several sources
+
+
 def test_validated_cutoff():
     model = labels.LabelModel(0.1, np.array([[0.05, 0.9, 0.05]] * 2), np.array([[0.9, 0.05, 0.05]] * 2), 0.5)
     patterns, counts = np.array([[1, 1], [1, 0], [0, 0]]), np.array([80.0, 40.0, 880.0])
