@@ -300,3 +300,35 @@ def test_task_rows(spark):
     assert [r[0] for r in tasks.problem_report(codes, 1).collect()] == ["- x: 2 (1)", "- y: 1 (3)"]
     units = spark.createDataFrame([("1", "a", "c", False), ("2", "<tag id='1' type='x' desc='y'/>", "", False), ("3", "b", "", True)], "id string, source string, context string, locked boolean")
     assert [r["id"] for r in tasks.memory_entries(units, spark.createDataFrame([("1", "t"), ("2", "t"), ("3", "t")], "id string, target string"), "f").collect()] == ["1"]
+
+
+def test_pools_counted_in_blocks(spark, monkeypatch):
+    """Blocks give what a full count gives, for ties, texts on several entries, segments, and where one block has more than its share."""
+    monkeypatch.setattr(memory, "BLOCK_LEAST", 40)
+    rng = random.Random(8)
+    text = lambda: "、".join("".join(rng.choice("あいう𠮷") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4)))
+    sources = [text() for _ in range(400)]
+    sources += rng.choices(sources, k=300)
+    entries = spark.createDataFrame(list(enumerate(sources)), "e bigint, source string")
+    asked = [text() for _ in range(30)] + ["ん", "あ"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "q bigint, source string")
+    grams = lambda s, n: {x[i : i + n] for x in s.split("、") for i in range(len(x) - n + 1)}
+    for n, limit in ((2, 20), (3, 150)):
+        texts, members = memory.compact(entries, limit)
+        got = sorted((r["q"], r["e"]) for r in memory.pool(queries, texts, members, n, limit).select("q", "e").collect())
+        want = []
+        for q, a in enumerate(asked):
+            known = [(len(g), len(s), min(g), e) for e, s in enumerate(sources) if (g := grams(a, n) & grams(s, n))]
+            want += [(q, x[3]) for x in sorted(known, key=lambda x: (-x[0], *x[1:]))[:limit]]
+        assert got == sorted(want)
+
+
+def test_a_block_that_left_out_too_much_is_asked_again():
+    import numpy as np
+
+    from tandemtext.functions import overlap
+
+    rows = lambda ids, shared: np.array([(t, 1, shared, 5, 0) for t in ids], overlap.FOUND).tobytes()
+    assert overlap.merged([(rows(range(3), 9), True), (rows(range(10, 13), 2), True)], 5) is None
+    sure, some, room = overlap.merged([(rows(range(3), 9), False), (rows(range(10, 13), 2), True)], 5)
+    assert sure["t"].tolist() == [0, 1, 2, 10, 11] and not len(some) and room == 0
