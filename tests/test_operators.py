@@ -328,7 +328,22 @@ def test_a_block_that_left_out_too_much_is_asked_again():
 
     from tandemtext.functions import overlap
 
-    rows = lambda ids, shared: np.array([(t, 1, shared, 5, 0) for t in ids], overlap.FOUND).tobytes()
+    rows = lambda ids, shared: np.array([(t, 1, shared, 5, 0, True) for t in ids], overlap.FOUND).tobytes()
     assert overlap.merged([(rows(range(3), 9), True), (rows(range(10, 13), 2), True)], 5) is None
     sure, some, room = overlap.merged([(rows(range(3), 9), False), (rows(range(10, 13), 2), True)], 5)
     assert sure["t"].tolist() == [0, 1, 2, 10, 11] and not len(some) and room == 0
+
+
+def test_recall_leaves_out_what_cannot_be_similar(spark, monkeypatch):
+    """Pairs whose characters keep the ratio under the threshold go before texts are joined; the matches stay those of the whole pools."""
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("あいうえおかきくけこ𠮷") for _ in range(rng.randrange(7, 16)))
+    sources = [text() for _ in range(300)]
+    sources += ["<b>" + s[:4] + text()[:3] + s[4:] for s in sources[:60]]
+    entries = spark.createDataFrame([(i, s, "") for i, s in enumerate(sources)], "e bigint, source string, context string")
+    queries = spark.createDataFrame([(i, s, "") for i, s in enumerate(sources[:20] + [text() for _ in range(20)])], "q bigint, source string, context string")
+    whole = sorted(map(tuple, memory.fuzzy_matches(queries, entries).collect()))
+    every = memory.recall(queries.select("q", "source"), entries)[0].count()
+    monkeypatch.setattr(memory, "BLOCK_LEAST", 50)
+    left = memory.recall(queries.select("q", "source"), entries, 0.6)[0].count()
+    assert left < every and sorted(map(tuple, memory.fuzzy_matches(queries, entries).collect())) == whole
