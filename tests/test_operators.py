@@ -347,3 +347,28 @@ def test_recall_leaves_out_what_cannot_be_similar(spark, monkeypatch):
     monkeypatch.setattr(memory, "BLOCK_LEAST", 50)
     left = memory.recall(queries.select("q", "source"), entries, 0.6)[0].count()
     assert left < every and sorted(map(tuple, memory.fuzzy_matches(queries, entries).collect())) == whole
+
+
+def test_fragments_of_large_layers_are_scored_in_blocks(spark, monkeypatch):
+    """Large layers never meet the queries in a join of grams; ranks, scores and support stay those of the join."""
+    rng = random.Random(11)
+    part = lambda: "".join(rng.choice("アイウエオ𠮷") for _ in range(rng.randrange(3, 9)))
+    parts = [part() for _ in range(40)]
+    text = lambda: "、".join(rng.choice(parts) + part() for _ in range(rng.randrange(1, 4)))
+    sources = [text() for _ in range(150)]
+    sources += rng.choices(sources, k=80)
+    entries = spark.createDataFrame([(i, s, f"t{i % 7}", rng.choice(["", None, "a", "b", "c"])) for i, s in enumerate(sources)], "e bigint, source string, target string, file string")
+    queries = spark.createDataFrame(list(enumerate(sources[:5] + [text() for _ in range(15)] + ["ん"])), "q bigint, source string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    scores, found = rows(memory.idf_candidates(queries, entries, 12).select("q", "e", F.round("score", 6))), rows(memory.fragment_matches(queries, entries, limit=12))
+    monkeypatch.setattr(memory, "BLOCK_LEAST", 20)
+    monkeypatch.setattr(memory, "_join_scores", None)
+    assert scores and rows(memory.idf_candidates(queries, entries, 12).select("q", "e", F.round("score", 6))) == scores
+    assert found and rows(memory.fragment_matches(queries, entries, limit=12)) == found
+    held = memory.fragment_support(spark.createDataFrame([(p,) for p in [*parts, "ア、イ", "アイ\nウエ"]], "fragment string"), entries).collect()
+    files = dict(enumerate(r["file"] for r in entries.orderBy("e").collect()))
+    for p in parts:
+        texts = {s for s in sources if p in s}
+        want = [(len(texts), len({files[i] for i, s in enumerate(sources) if s in texts and files[i]}))] if len(p) >= 4 and texts else []
+        assert [(r["sources"], r["files"]) for r in held if r["fragment"] == p] == want
+    assert not [r for r in held if r["fragment"] not in parts]
