@@ -1,4 +1,5 @@
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -372,3 +373,30 @@ def test_fragments_of_large_layers_are_scored_in_blocks(spark, monkeypatch):
         want = [(len(texts), len({files[i] for i, s in enumerate(sources) if s in texts and files[i]}))] if len(p) >= 4 and texts else []
         assert [(r["sources"], r["files"]) for r in held if r["fragment"] == p] == want
     assert not [r for r in held if r["fragment"] not in parts]
+
+
+def test_small_layers_are_searched_without_pools(spark, monkeypatch):
+    """Texts of many small layers meet the queries once, in blocks; the matches are those of each layer looked up by itself."""
+    rng = random.Random(21)
+    text = lambda: "、".join("".join(rng.choice("あいうえおかきくけこさしす𠮷") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 4)))
+    sources = [text() for _ in range(60)] + ["", "<tag id='1' type='x' desc='y'/>", "".join(rng.choices("あいうえお", k=180)), "はい"]
+    sources += [s[: len(s) // 2] + "ん" + s[len(s) // 2 + 1 :] for s in sources]
+    rows = [(i, rng.choice(sources), rng.choice(["a.b", "a.c", None]), f"l{rng.randrange(40)}") for i in range(900)]
+    entries = spark.createDataFrame(rows, "e bigint, source string, context string, layer string")
+    asked = [(i, s, rng.choice(["a.b", None])) for i, s in enumerate([*sources[:30], *sources[60:64], *(text() for _ in range(20)), sources[0]])]
+    monkeypatch.setattr(memory, "recall", None)
+    monkeypatch.setattr(memory, "SPREAD", 5, raising=False)
+    plain = lambda s: re.sub("<tag[^<>]*>", "", s)
+    grams = lambda s: {x[i : i + 2] for x in plain(s).split("、") for i in range(len(x) - 1)}
+    same = lambda a, b: sum(x == y for x, y in zip(a.split("."), b.split("."), strict=False)) if a and b else 0
+    want = []
+    for q, a, c in asked:
+        for layer in {r[3] for r in rows} if a else ():
+            hits = []
+            for e, s, context, of in rows:
+                if of == layer and (len(plain(a).replace("、", "")) <= 6 or grams(a) & grams(s)):
+                    r = SequenceMatcher(None, plain(a), plain(s)).ratio()
+                    hits += [(-round(r, 4), -same(c or "", context or ""), e)] if r >= 0.6 else []
+            want += [(q, layer, h[2], k + 1) for k, h in enumerate(sorted(hits)[:3])]
+    got = memory.fuzzy_matches(spark.createDataFrame(asked, "q bigint, source string, context string"), entries)
+    assert len(want) > 200 and sorted((r["q"], r["layer"], r["e"], r["rank"]) for r in got.collect()) == sorted(want)
