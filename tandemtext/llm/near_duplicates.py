@@ -47,7 +47,7 @@ class Partition:
     threshold: Fraction = Fraction(7, 10)
     ratio: float = 1.43
     slack: float = 1.05
-    pieces: int = 2
+    pieces: int = 3
     slots: int = 1 << 20
 
     def differences(self, n: np.ndarray | int, s: np.ndarray | int) -> np.ndarray | int:

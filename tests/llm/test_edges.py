@@ -386,3 +386,30 @@ def test_truncation(spark, data):
     rates = {r["source"]: (r["docs"], r["truncated_docs"]) for r in truncation.rates(truncation.truncated(edge, "doc_id", "text", "source", model)).collect()}
     assert rates == {"a": (6, 2), None: (1, 0)}
     assert truncation.truncated(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_p6_groups_are_selective():
+    """Sets of phrases that many texts share meet in few keys: groups that lose one of two segments would leave two or three tokens, which are everywhere."""
+    import random
+
+    import numpy as np
+
+    from tandemtext.llm import near_duplicates as nd
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("アイウエオカキクケコサシスセソ") for _ in range(4))
+    words, phrases = [word() for _ in range(60)], [word() + "の" + word() + "は" + word() for _ in range(12)]
+    texts = ["".join(rng.choice(phrases) + rng.choice(words) for _ in range(6)) for _ in range(1500)]
+    h, owner = nd.token_sets(texts, [""] * len(texts))
+    size = np.bincount(owner, minlength=len(texts))
+
+    def meetings(part: nd.Partition) -> int:
+        his = part.bands(int(size.max()))
+        band = np.searchsorted(his, size)
+        keys, m, of = nd.group_keys(h, owner, np.ones(len(texts), bool), band, part, his)
+        frequency = np.bincount((keys.ravel() & np.uint64(part.slots - 1)).astype(np.int64), minlength=part.slots)
+        probes = keys[nd.allocated(keys, m, of, part.differences(size, size) + 1, frequency)]
+        every = np.sort(keys.ravel())
+        return int((np.searchsorted(every, probes, "right") - np.searchsorted(every, probes)).sum()) - len(probes)
+
+    assert 0 < meetings(nd.Partition()) < 0.8 * meetings(nd.Partition(pieces=2))
