@@ -400,3 +400,30 @@ def test_small_layers_are_searched_without_pools(spark, monkeypatch):
             want += [(q, layer, h[2], k + 1) for k, h in enumerate(sorted(hits)[:3])]
     got = memory.fuzzy_matches(spark.createDataFrame(asked, "q bigint, source string, context string"), entries)
     assert len(want) > 200 and sorted((r["q"], r["layer"], r["e"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_fragments_of_small_layers_need_no_join_of_grams(spark, monkeypatch):
+    """Whole small layers are searched in blocks; the rows are those of each layer looked up by itself with a join of grams."""
+    from tandemtext.operators import layers
+
+    rng = random.Random(31)
+    part = lambda: "".join(rng.choices("アイウエオのて𠮷Ａ", [4, 4, 4, 4, 4, 1, 1, 1, 1], k=rng.randrange(2, 10)))
+    parts = [part() for _ in range(25)]
+    text = lambda: rng.choice(["、", "", "<tag id='1' type='x' desc='y'/>", "\n"]).join(rng.choice([rng.choice(parts), part()]) for _ in range(rng.randrange(1, 6)))
+    long = "".join(rng.choices("アイウエオ", k=230))
+    sources = [text() for _ in range(150)] + [long, long[20:] + "ア", "アイ", "", None]
+    targets = [None, "", "x", "<tag id='1' type='x' desc='y'/>", "<tag id='2' type='z' desc='y'/>", "t"]
+    place = lambda: rng.choice([("permanent", None, None), ("runtime", 1, "d"), ("runtime", 2, "d"), ("runtime", None, "d"), ("runtime", 1, None), ("runtime", 2, "a"), ("runtime", 3, "a"), (None, 3, "a"), ("other", 1, "d"), *(("runtime", i, f"f{i % 3}") for i in range(12))])
+    rows = [(i, rng.choice(sources), rng.choice(targets), None, rng.choice([None, "", "a", "b"]), *place()) for i in range(500)]
+    entries = spark.createDataFrame(rows, "e bigint, source string, target string, context string, file string, scope string, batch int, document string")
+    asked = [(i, s, None) for i, s in enumerate([*sources[:8], long, long[:100] + "、" + long[90:], parts[0] * 3, *(text() for _ in range(25)), "アイ", sources[0], ""])]
+    queries = spark.createDataFrame(asked, "q bigint, source string, context string")
+    rows = lambda: sorted(map(repr, layers.fragments(queries, entries).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(memory, "CANDIDATES", -1, raising=False)  # no layer is small
+        want = rows()
+    monkeypatch.setattr(memory, "_join_scores", None)
+    assert len(want) > 300 and rows() == want
+    monkeypatch.setattr(memory, "PIECE_MOST", 20)
+    monkeypatch.setattr(memory, "PIECE_QUERIES", 9)
+    assert rows() == want
