@@ -54,3 +54,13 @@ def test_rules_equal_their_sql_on_random_texts(spark):
     for name, sql in _RULE_SQL.items():
         got, want = {r["id"] for r in df.where(rules[name]).select("id").collect()}, {r[0] for r in c.execute(f"select id from b where {sql}").fetchall()}
         assert len(got) > 20 and got == want, (name, len(got), len(want), [rows[i] for i in sorted(got ^ want)[:3]])
+
+
+def test_layered_fragments_asks_every_unit(spark, tmp_path):
+    """Units count whatever their ids; those without a source or without a run of four characters give nothing."""
+    texts = ["裏側の世界で待っています", "これは裏側の世界の地図です", "世界", None, "遠い裏側の世界へ行こう"]
+    spark.createDataFrame([(i, s, None) for i, s in zip([1, 7, 8, 9, 20], texts, strict=True)], "unit_id bigint, source_text string, context string").write.parquet(f"{tmp_path}/transunit.parquet")
+    entries = [(1, "裏側の世界だ", "里侧", None, "a", "permanent", None, None), (2, "また裏側の世界に来た", "里侧的", None, "r", "runtime", 1, "d")]
+    spark.createDataFrame(entries, "entry_id bigint, source string, target string, context string, file string, scope string, batch int, document string").write.parquet(f"{tmp_path}/tm_store.parquet")
+    rows = QUERIES["layered_fragments"](spark, str(tmp_path)).select("q", "e", "fragment").collect()
+    assert sorted(map(tuple, rows)) == [(q, e, "裏側の世界") for q in (1, 7, 20) for e in (1, 2)]
